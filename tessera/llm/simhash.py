@@ -31,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, saved, shards
+from tessera.llm.common import carried, cut, saved, shards
+
+carried(__name__)
 
 RADIUS = 2
 #: Fingerprints of a shard beyond which it is split.

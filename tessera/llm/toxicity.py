@@ -23,8 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import carried
 from tessera.llm.quality import labelled_sample
 
+carried(__name__)
+
 #: Labelled rows of each class that the fit takes at most.
 SAMPLE = 1800
 #: Terms kept as features, and the width of their interaction vectors.
