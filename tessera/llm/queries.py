@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arrow_tokens, decontam, hilbert, lines, media, packing, quality, simhash, toxicity
+from tessera.llm import arrow_tokens, chat, decontam, hilbert, lines, media, packing, quality, simhash, toxicity
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return arrow_tokens.read(spark, *arrow_tokens.write(docs, arrow_tokens.default_tokenizer()), kind=dict(docs.dtypes)["doc_id"])
+
+
+@query
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(*chat.exchanges(table(spark, sf_dir, "conversations")), chat.REPLY)
+
+
+ORACLES["op7_tool_calls"] = chat.ORACLE
