@@ -1,9 +1,9 @@
 """Token ids as Arrow IPC files of equal-length sequences.
 
 Texts in ascending doc_id order are encoded, an end id is appended to each, and the ids run on through
-sequences of `SEQUENCE` ids; a file's last sequence is filled up. A file is an Arrow IPC file (the stream
-format with a footer) whose batches hold two fixed-size lists a row: `ids`, and `mask` (1 for an id, 0 for
-filling). Both are contiguous buffers, so a reader maps the file and views any batch, sequence or document as
+sequences of `SEQUENCE` ids; a file's last sequence is filled up. Ids take 16 bits where the vocabulary allows it. A file is an Arrow IPC file (the stream
+format with a footer) whose batches hold two fixed-size lists a row: `ids`, and `mask` (a bit, set for an id, clear
+for filling). Both are contiguous buffers, so a reader maps the file and views any batch, sequence or document as
 an array without a copy. Beside each file an index file (same format) has doc_id, first id and count of ids.
 
 Documents are range-partitioned by doc_id and sorted, and each partition writes one file, under a name of
@@ -11,8 +11,8 @@ its attempt first and then renamed, so repeated and lost tasks leave whole files
 given (by default in the shared folder that the session names). Only one row per file comes to the driver.
 
 Encoding splits a text at spaces and newlines, which the pre-tokenizer drops anyway, and remembers the ids
-of each distinct word; unknown words are encoded together, parted by a mark that is a token of its own
-(words that hold the mark, or a special token, are encoded alone).
+of each distinct word; unknown words, freed of case and closing punctuation, are encoded together, parted by
+a mark that is a token of its own (words that hold the mark, or a special token, are encoded alone).
 
 Edge cases: null and empty texts have the end id only; rows with a null doc_id come first; repeated rows are
 encoded one by one; an empty table gives no file and an empty result; other columns are not read.
@@ -37,6 +37,10 @@ SEQUENCE = 2048
 #: Sequences of a batch.
 BATCH = 64
 END = 2
+#: What ends a word without a part in it (ASCII; no letter, digit or space).
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Letters below this have one lower case and no composition of their own.
+LATIN = "\u0250"
 #: Marks to choose from; the first that is one id parts unknown words.
 MARKS = "•™©®…–★→¶"
 #: Words remembered by a worker; beyond this the memory starts anew.
@@ -52,9 +56,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory: dict[str, bytes] = {}
+        self.wide = max(self.tokenizer.get_vocab_size(), END + 1) > 1 << 16
         ids = {m: self.tokenizer.encode(f" {m} ", add_special_tokens=False).ids for m in MARKS}
         self.parting, self.mark = next(((m, i[0]) for m, i in ids.items() if len(i) == 1), ("", None))
         self.alone = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self._plain_words()
         # the shortcut holds where words part at white space; made sure on a probe
         probe = ["The", "end.", "it's", "ÀB1", "x"]
         joined = self.tokenizer.encode(" \n".join(probe), add_special_tokens=False).ids
@@ -63,40 +69,92 @@ class Encoder:
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        many, lone = [], []
-        for w in words:
-            (lone if self.mark is None or self.parting in w or any(a in w for a in self.alone) else many).append(w)
-        for w in lone:
-            self.memory[w] = self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
-        for k in range(0, len(many), 500):
-            part = many[k : k + 500]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {self.parting} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark)
+    def _plain_words(self):
+        """(tokenizer, mark, its id) for words of lower-case Latin letters: each is one piece, so cutting at spaces replaces
+        normaliser and pattern; None where a probe differs."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        quick = Tokenizer(self.tokenizer.model)
+        quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the naïve été größe z niño xqzjk of thtionhe éauxment".split(" ")
+        same = all(quick.encode(w, add_special_tokens=False).ids == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
+        mark = quick.encode(".", add_special_tokens=False).ids
+        return (quick, ".", mark[0]) if same and len(mark) == 1 else None
+
+    def _many(self, words: list[str], tokenizer, parting: str, mark: int) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.asarray(tokenizer.encode_batch_fast([f" {parting} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == mark)
             if len(ends) != len(part) - 1:
-                for w in part:
-                    self.memory[w] = self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+                self._each(part)
                 continue
             raw = ids.tobytes()
             starts = [0, *(4 * (ends + 1)).tolist()]
             for w, a, b in zip(part, starts, [*(4 * ends).tolist(), len(raw)]):
                 self.memory[w] = raw[a:b]
 
+    def _each(self, words) -> None:
+        for w in words:
+            self.memory[w] = self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers words. ASCII punctuation behind a letter or digit is a piece of its own, and case never counts for Latin
+        letters, so what is still unknown of the two parts goes to the tokenizer."""
+        memory, cut, plain, many, lone = self.memory, {}, set(), set(), set()
+        for w in words:
+            rest = w.rstrip(PUNCTUATION)
+            if not rest or not (rest[-1].isalnum() and rest[-1] < LATIN):
+                rest = w
+            low = rest.lower()
+            latin = low.isalpha() and max(low) < LATIN
+            if latin or rest.isascii():
+                key = low
+            else:
+                key = rest
+            cut[w] = key, w[len(rest) :]
+            if key not in memory:
+                if latin and self.plain:
+                    plain.add(key)
+                elif self.mark is None or self.parting in key or any(a in key for a in self.alone):
+                    lone.add(key)
+                else:
+                    many.add(key)
+            if cut[w][1] and cut[w][1] not in memory:
+                lone.add(cut[w][1])
+        self._each(lone)
+        if plain:
+            self._many(list(plain), *self.plain)
+        if many:
+            self._many(list(many), self.tokenizer, self.parting, self.mark)
+        for w, (key, tail) in cut.items():
+            memory[w] = memory[key] + memory[tail] if tail else memory[key]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_words:
             return [self._bytes(e.ids) for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        # a special token that holds a space or newline can't be seen word by word
-        split = [None if any(a in (t or "") for a in self.alone) else (t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        fresh: set[str] = set()
-        for words in split:
-            if words:
-                fresh.update(words)
-        fresh.difference_update(self.memory)
-        self._learn(sorted(fresh))
-        get = self.memory.__getitem__
-        return [self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        get, fresh, found = self.memory.get, set(), []
+        for t in texts:
+            t = t or ""
+            # a special token that holds a space or newline can't be seen word by word
+            words = None if any(a in t for a in self.alone) else t.replace("\n", " ").split(" ")
+            ids = None if words is None else list(map(get, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if ids and None in ids else []
+            fresh.update([words[k] for k in gaps])
+            found.append((t, words, ids, gaps))
+        if fresh:
+            self._learn(fresh)
+        out = []
+        for t, words, ids, gaps in found:
+            if words is None:
+                out.append(self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids))
+                continue
+            for k in gaps:
+                ids[k] = self.memory[words[k]]
+            out.append(b"".join(ids))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -109,16 +167,18 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def _schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def _schema(sequence: int, wide: bool) -> pa.Schema:
+    """Ids are as wide as the vocabulary needs, 16 or 32 bits; the mask is a bit each."""
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
 class SequenceWriter:
     """Writes a run of ids as fixed-size lists."""
 
-    def __init__(self, sink, sequence: int = SEQUENCE, batch: int = BATCH) -> None:
-        self.sequence, self.room = sequence, sequence * batch
-        self.writer = pa.ipc.new_file(sink, _schema(sequence))
+    def __init__(self, sink, sequence: int = SEQUENCE, batch: int = BATCH, wide: bool = True) -> None:
+        self.sequence, self.room, self.schema = sequence, sequence * batch, _schema(sequence, wide)
+        self.kind = "<u4" if wide else "<u2"
+        self.writer = pa.ipc.new_file(sink, self.schema)
         self.held, self.size, self.ids = [], 0, 0
 
     def add(self, raw: bytes) -> None:
@@ -133,13 +193,13 @@ class SequenceWriter:
         whole = len(ids) if last else len(ids) // self.room * self.room  # every batch but the last is full
         out, rest = ids[:whole], ids[whole:]
         fill = -len(out) % self.sequence
-        mask = np.ones(len(out) + fill, np.uint8)
+        mask = np.ones(len(out) + fill, bool)
         if fill:
-            mask[len(out) :] = 0
+            mask[len(out) :] = False
             out = np.concatenate([out, np.zeros(fill, "<u4")])
         for k in range(0, len(out), self.room):
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(a[k : k + self.room]), self.sequence) for a in (out, mask)]
-            self.writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=_schema(self.sequence)))
+            cols = [pa.FixedSizeListArray.from_arrays(pa.array(a[k : k + self.room]), self.sequence) for a in (out.astype(self.kind), mask)]
+            self.writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
         self.held, self.size = ([rest.tobytes()] if len(rest) else []), len(rest)
 
     def close(self) -> None:
@@ -153,28 +213,31 @@ class SequenceReader:
     def __init__(self, source) -> None:
         self.file = pa.ipc.open_file(source)
         self.sequence = self.file.schema.field("ids").type.list_size
-        self._batches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._batches: dict[int, np.ndarray] = {}
         rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 0
         self.room = rows * self.sequence
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of batch k, flat."""
+    def batch(self, k: int) -> np.ndarray:
+        """All ids of batch k: a view of the file."""
         if k not in self._batches:
             self._batches.clear()
-            b = self.file.get_batch(k)
-            self._batches[k] = tuple(b.column(c).flatten().to_numpy() for c in range(2))
+            self._batches[k] = self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
         return self._batches[k]
 
+    def mask(self, k: int) -> np.ndarray:
+        """True where batch k holds an id."""
+        return self.file.get_batch(k).column("mask").flatten().to_numpy(zero_copy_only=False)
+
     def ids(self, start: int, count: int) -> np.ndarray:
         out = []
         while count:
             k, at = divmod(start, self.room)
-            part = self.batch(k)[0][at : at + count]
+            part = self.batch(k)[at : at + count]
             if not len(part):
                 raise ValueError("ids beyond the file's end")
             out.append(part)
             start, count = start + len(part), count - len(part)
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, "<u4")
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
 def _open(uri: str):
@@ -205,7 +268,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, sequence:
                     name = f"part-{task.partitionId():06d}"
                     draft = f"{base}/.{name}-{task.taskAttemptId()}"
                     sink = store.open_output_stream(f"{draft}.arrow")
-                    out, ids, starts, counts = SequenceWriter(sink, sequence), [], [], []
+                    out, ids, starts, counts = SequenceWriter(sink, sequence, wide=encoder(tokenizer).wide), [], [], []
                 end = np.asarray([END], "<u4").tobytes()
                 for raw in encoder(tokenizer).encode(b.column("text").to_pylist()):
                     starts.append(out.ids)
@@ -245,7 +308,7 @@ def read(spark, folder: str, files: list[tuple[str, int, int]], kind: str = "big
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)
                         starts = part.column("start").to_numpy()
-                        crc = [zlib.crc32(ids.ids(s, n).tobytes()) for s, n in zip(starts.tolist(), part.column("n_tokens").to_pylist())]
+                        crc = [zlib.crc32(ids.ids(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), part.column("n_tokens").to_pylist())]
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts + before), part.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spark.createDataFrame(base, "file string, before bigint")
