@@ -25,7 +25,6 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,17 @@ SIDE = 8
 SHARP, LEAST, AROUND = 2.5, 0.05, 5
 
 
+_MADE: dict = {}
+
+
+def _once(make, *args):
+    """make(*args), kept by this process. (A cache decorator would not travel by value.)"""
+    key = (make.__name__, *args)
+    if key not in _MADE:
+        _MADE[key] = make(*args)
+    return _MADE[key]
+
+
 def zigzag() -> np.ndarray:
     """Natural position of each coefficient in scan order, by the rule of the diagonals."""
     at = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
@@ -64,7 +74,6 @@ DC_FLAT = ([1] * 10 + [0] * 6, list(range(9, -1, -1)))
 AC_FLAT = ([1] * 8 + [0] * 8, list(range(8, 0, -1)))
 
 
-@lru_cache(1)
 def _flat_codes() -> tuple[np.ndarray, np.ndarray]:
     """Bits of each DC difference -256..256 (10 of them), and of each byte as an AC coefficient (9)."""
 
@@ -80,10 +89,9 @@ def _flat_codes() -> tuple[np.ndarray, np.ndarray]:
     return dc, ac
 
 
-@lru_cache(1)
 def _flat_values() -> tuple[np.ndarray, np.ndarray]:
     """DC difference of each 10-bit word and AC coefficient of each 9-bit word; 999 where no such word is."""
-    dc, ac = _flat_codes()
+    dc, ac = _once(_flat_codes)
     d, a = np.full(1024, 999, np.int16), np.full(512, 999, np.int16)
     d[dc @ (1 << np.arange(9, -1, -1))] = np.arange(-256, 257)
     a[ac.astype(np.int64) @ (1 << np.arange(8, -1, -1))] = to_coefficient(np.arange(256))
@@ -103,7 +111,6 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-@lru_cache(64)
 def _jpeg_head(wide: int, high: int) -> bytes:
     table = lambda kind, t: bytes([kind, *t[0], *t[1]])
     return (
@@ -127,7 +134,7 @@ def encode_frames(payload: bytes) -> tuple[int, int, list[bytes]]:
     frames = -(-n // per)
     if frames * per > n:  # the last frame is filled with blocks of byte 0
         blocks = np.concatenate([blocks, np.full((frames * per - n, 64), -128, np.int16)])
-    dc, ac = _flat_codes()
+    dc, ac = _once(_flat_codes)
     first = blocks[:, 0].reshape(frames, per)
     steps = np.diff(first, axis=1, prepend=np.zeros((frames, 1), np.int16))
     bits = np.empty((frames * per, 10 + 63 * 9), np.uint8)
@@ -136,7 +143,7 @@ def encode_frames(payload: bytes) -> tuple[int, int, list[bytes]]:
     bits = bits.reshape(frames, -1)
     if fill := -bits.shape[1] % 8:
         bits = np.concatenate([bits, np.ones((frames, fill), np.uint8)], axis=1)
-    packed, head = np.packbits(bits, axis=1), _jpeg_head(wide, high)
+    packed, head = np.packbits(bits, axis=1), _once(_jpeg_head, wide, high)
     return wide, high, [head + row.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for row in packed]
 
 
@@ -269,7 +276,7 @@ def decode_coefficients(jpeg: bytes) -> tuple[dict, list[np.ndarray]]:
         need = blocks * (10 + 63 * 9)
         if len(raw) == -(-need // 8):
             bits = np.unpackbits(raw)[:need].reshape(blocks, -1)
-            d, a = _flat_values()
+            d, a = _once(_flat_values)
             out = np.empty((blocks, 64), np.int16)
             words = np.packbits(bits[:, 10:].reshape(-1, 9), axis=1).astype(np.uint16)
             out[:, 1:] = a[(words[:, 0] << 1) | (words[:, 1] >> 7)].reshape(blocks, 63)
@@ -346,7 +353,6 @@ def _decode_any(head: dict, data: bytes) -> list[np.ndarray]:
     return [o.reshape(-1, 64) for o in out]
 
 
-@lru_cache(1)
 def _inverse() -> np.ndarray:
     """64x64: zigzag coefficients to samples, in 1/4096; whole numbers, so 32-bit float sums are exact for small coefficients."""
     n = np.arange(8)
@@ -359,7 +365,7 @@ def luma(head: dict, blocks: np.ndarray) -> np.ndarray:
     """8-bit samples of the first component's blocks."""
     q = head["q"][head["parts"][0][3]]
     c = (blocks if (q == 1).all() else blocks * q).astype(np.float32 if np.abs(blocks).max(initial=0) * q.max() <= 256 else np.float64)
-    s = c @ _inverse().astype(c.dtype)
+    s = c @ _once(_inverse).astype(c.dtype)
     return np.clip(np.floor(s / 4096 + 128.5), 0, 255).astype(np.uint8)
 
 
