@@ -119,7 +119,7 @@ def cluster(vectors: DataFrame, eps: float = 0.35, min_samples: int = 1, merge:
     """key and cluster_id of every usable vector: density clusters, robust centroids, greedy merge, dense ids."""
     roots = cut(dbscan(vectors, eps, min_samples, key=key, vector=vector))
     joined = roots.join(vectors.select(key, vector), key)
-    ids = greedy_merge(robust_centroids(joined, "root", key, vector), merge)
+    ids = greedy_merge(cut(robust_centroids(joined, "root", key, vector)), merge)
     return roots.join(ids, "root").select(key, "cluster_id")
 
 

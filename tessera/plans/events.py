@@ -113,24 +113,24 @@ def confirmation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.verified(r).select(F.col("entity_id").alias("user_id"), "votes", "verified")
 
 
-@query("WITH r AS (SELECT user_id, event_id, coalesce(sum(CASE WHEN event_type = 'purchase' AND value > 250 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h, event_type = 'purchase' AND value > 250 AS hit FROM events) SELECT user_id, count(*) AS evaluated, max(event_id) FILTER (hit) AS first_hit FROM r WHERE h = 0 GROUP BY user_id")
+@query("WITH r AS (SELECT user_id, event_id, coalesce(sum(CASE WHEN event_type = 'purchase' AND value > 250 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h, event_type = 'purchase' AND value > 250 AS hit FROM events) SELECT user_id, count(*) AS evaluated, coalesce(max(event_id) FILTER (hit), -1) AS first_hit FROM r WHERE h = 0 GROUP BY user_id")
 def first_hit_with_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), "ts", F.col("event_id").alias("rank"), ((F.col("event_type") == "purchase") & (F.col("value") > 250)).alias("hit"))
     hits, seen = sampling.first_hits(e)
-    return seen.join(hits.select("entity_id", F.col("rank").alias("first_hit")), "entity_id", "left").select(F.col("entity_id").alias("user_id"), "evaluated", "first_hit")
+    return seen.join(hits.select("entity_id", F.col("rank").alias("first_hit")), "entity_id", "left").select(F.col("entity_id").alias("user_id"), "evaluated", F.coalesce("first_hit", F.lit(-1)).alias("first_hit"))
 
 
 _SCENE = f"""WITH {_EV}, f AS (SELECT user_id, event_id, ts, [CAST(k + 1 AS DOUBLE), value, CAST(event_id % 17 + 1 AS DOUBLE)] AS hist, event_id % 9 = 0 AS static FROM ev WHERE event_id % 10 <> 3),
 l AS (SELECT *, lag(hist) OVER w AS ph, lag(static) OVER w AS ps FROM f WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 d AS (SELECT *, 100 * sqrt(greatest(0, 1 - (sqrt(hist[1] * ph[1]) + sqrt(hist[2] * ph[2]) + sqrt(hist[3] * ph[3])) / sqrt((hist[1] + hist[2] + hist[3]) * (ph[1] + ph[2] + ph[3])))) AS diff FROM l)
-SELECT event_id, round(diff, 4) AS diff, coalesce(diff >= 15 AND NOT static AND NOT ps, false) AS change FROM d"""
+SELECT event_id, CASE WHEN ph IS NULL THEN -1 ELSE round(diff, 4) END AS diff, coalesce(ph IS NOT NULL AND diff >= 15 AND NOT static AND NOT ps, false) AS change FROM d"""
 
 
 @query(_SCENE)
 def scene_change_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     f = _events(spark, sf_dir).select(F.col("user_id").alias("entity_id"), "event_id", "ts", F.when(i % 10 != 3, F.array((F.col("k") + 1).cast("double"), F.col("value"), (i % 17 + 1).cast("double"))).alias("hist"), (i % 9 == 0).alias("static"))
-    return sampling.scene_changes(f).select("event_id", F.round("diff", 4).alias("diff"), "change")
+    return sampling.scene_changes(f).select("event_id", F.coalesce(F.round("diff", 4), F.lit(-1.0)).alias("diff"), "change")
 
 
 _SCHED = """WITH spans AS (SELECT DISTINCT user_id, 20.0::DOUBLE + user_id % 7 AS duration FROM events),
