@@ -23,7 +23,8 @@ def json_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
     broken = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    return spark.read.schema(broken).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path).where("_broken is null").drop("_broken")
+    parsed = F.from_json("value", broken, {"columnNameOfCorruptRecord": "_broken"})
+    return spark.read.text(path, wholetext=True).where(F.trim("value").startswith("{")).select(parsed.alias("r")).where("r._broken is null").select("r.*").drop("_broken")
 
 
 def identity_records(raw: DataFrame) -> DataFrame:

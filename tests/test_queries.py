@@ -1,0 +1,8 @@
+import pytest
+
+from tessera.plans.catalog import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(agree, name):
+    agree(QUERIES[name], ORACLES[name])
