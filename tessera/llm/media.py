@@ -436,7 +436,7 @@ def read(media: DataFrame) -> DataFrame:
                 m = m.as_py()
                 try:
                     r = decode_avi(m)
-                except (ValueError, IndexError, KeyError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:
                     rows.append((None, None, None, m and len(m), m and hashlib.sha256(m).hexdigest(), None, [], str(e)))
                     continue
                 p = r["payload"] or b""
