@@ -14,12 +14,14 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def plain_components(prints, radius=2):
+def plain_components(prints, linked=None):
+    """Smallest member reached; linked tells of two keys."""
+    linked = linked or (lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     ids, root = list(prints), {}
     top = lambda x: x if root.setdefault(x, x) == x else top(root[x])
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= radius:
+            if linked(a, b):
                 p, q = top(a), top(b)
                 root[max(p, q)] = min(p, q)
     return {i: top(i) for i in ids}
@@ -82,3 +84,27 @@ def test_odd_rows(odd, empty):
 
 def test_repeated_rows_stay_once(docs):
     assert simhash.keep_one(docs([(5, "some text"), (5, "some text"), (6, "some text")])).count() == 1
+
+
+def test_edited_copies_are_found(docs):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{k}" for k in range(5000)]
+    rows, bases = [], {}
+    for g in range(12):
+        base = list(rng.choice(vocab, int(rng.integers(60, 400))))
+        for _ in range(4):
+            w = list(base)
+            for at in rng.integers(0, len(w), max(1, len(w) // 120)):
+                w[at] = str(rng.choice(vocab))
+            bases[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000 + k, " ".join(rng.choice(vocab, 200)) + " " + "a passage that all of these texts share word for word " * 3) for k in range(30)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+    assert got == want and len({want[d] for d in bases}) < 24
+
+
+def test_odd_rows_with_similarity(odd, empty):
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(odd, similarity=0.8).collect()) == ["1", "3", "4", "7", "None", "None"]
+    assert simhash.keep_one(empty, similarity=0.8).count() == 0
