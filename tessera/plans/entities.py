@@ -59,8 +59,8 @@ SELECT mode, accepted, count(*) AS n FROM r GROUP BY mode, accepted"""
 def rerank_mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _identities(spark, sf_dir).select("prototype")
     e = table(spark, sf_dir, "embeddings").select("embedding")
-    # ten identities, one for each label of the generator: a fixed bound
-    pairs = e.crossJoin(F.broadcast(p))
+    # identities are few by nature; they are broadcast only if a count says so
+    pairs = e.crossJoin(F.broadcast(p) if p.count() <= 10_000 else p)
     r = rerank(vec.cosine(F.col("embedding"), F.col("prototype")), vec.cosine(F.reverse("embedding"), F.col("prototype")), SAME, Fusion(least_aux=0.1))
     return pairs.select(r.alias("r")).groupBy("r.mode", "r.accepted").agg(F.count(F.lit(1)).alias("n"))
 
