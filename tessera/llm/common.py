@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
-
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.session import carried, cut, saved, scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def carried(module: str) -> None:
-    """Functions of this module travel to executors by value, so executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local sessions only) one of our own."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return spark.sparkContext.getCheckpointDir()
+__all__ = ["carried", "cut", "ranked", "saved", "scratch", "shards", "shared_dir", "table"]
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder once; later plans start from there and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), as a columnar table, for wide or often pruned rows."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shards(df: DataFrame) -> int:
@@ -70,8 +34,6 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], name: str
     rows = rows.select("*", *null_safe)
     g = [f"_g{i}" for i in range(len(group))]
     counts = rows.groupBy("_part", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_part")
     all_ = Window.partitionBy(*(g or [F.lit(0)]))
     starts = counts.select("_part", *g, "_first", (F.sum("_n").over(by) - F.col("_n")).alias("_before"), F.sum("_n").over(all_).alias(f"{name}_n"))

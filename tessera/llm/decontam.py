@@ -19,7 +19,7 @@ the pairs, and never removed from documents; empty tables give no pairs. Other c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -53,8 +53,6 @@ def least_sketch(k):
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, item_shingles, shared and containment of every pair at 0.8 or more."""
-    from pyspark.sql import Window
-
     own = cut(_shingles(items.select("item_id", "text"), "item_id").select("item_id", _hash().alias("h"), _spelt().alias("shingle"), (F.col("w4").isNull()).alias("short")).distinct())
     by = Window.partitionBy("item_id")
     sized = own.withColumn("k", F.count(F.lit(1)).over(by)).withColumn("part", F.floor(F.log2("k")).cast("int"))
