@@ -32,10 +32,9 @@ def _shingles(df: DataFrame, key: str) -> DataFrame:
     """key and the columns w0..w4 of each shingle, repeats included; a short text has w1..w4 null."""
     words = F.array_remove(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), "")
     at = df.where(F.col(key).isNotNull()).select(F.col(key), words.alias("w")).where(F.size("w") > 0)
-    runs = F.arrays_zip(*(F.slice("w", k + 1, F.size("w") - WIDTH + 1).alias(f"w{k}") for k in range(WIDTH)))
+    runs = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.lit(0), F.size("w") - WIDTH + 1)).alias(f"w{k}") for k in range(WIDTH)))
     short = F.array(F.struct(F.array_join("w", " ").alias("w0"), *(F.lit(None).cast("string").alias(f"w{k}") for k in range(1, WIDTH))))
-    long_ = at.where(F.size("w") >= WIDTH).select(key, F.inline(runs).alias(*(f"w{k}" for k in range(WIDTH))))
-    return long_.unionByName(at.where(F.size("w") < WIDTH).select(key, F.inline(short)))
+    return at.select(key, F.inline(F.when(F.size("w") >= WIDTH, runs).otherwise(short)).alias(*(f"w{k}" for k in range(WIDTH))))
 
 
 def _hash():
