@@ -10,7 +10,8 @@ however long the document, where banded signatures would (a 30-word item in a 20
 Jaccard similarity near 0.001). Documents meet sketches in a hash join; pairs that share a sketch hash are
 candidates and are verified by exact containment over the shingles' words.
 
-Sketches are broadcast only if their counted rows stay within `BROADCAST_ROWS`; else both sides shuffle.
+Sketches, and the ids of candidate documents, are broadcast only if their counted rows stay within
+`BROADCAST_ROWS`; else both sides shuffle.
 
 Edge cases: a null or empty text holds nothing and an item without words is in no document; rows of one
 doc_id (or item_id) are one document (item), their shingles united; rows with a null id are left out of
@@ -63,7 +64,8 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = docs.select("doc_id", "text")
     pairs = _shingles(text, "doc_id").select("doc_id", _hash().alias("h")).join(hint(sketch), "h").select("doc_id", "item_id").distinct()
     pairs = cut(pairs)
-    near = text.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    some = pairs.select("doc_id").distinct()
+    near = text.join(F.broadcast(some) if pairs.count() <= BROADCAST_ROWS else some, "doc_id", "left_semi")
     held = _shingles(near, "doc_id").select("doc_id", _hash().alias("h"), _spelt().alias("shingle"), F.col("w4").isNull().alias("short"))
     whole = sized.select("item_id", "h", "shingle", "short", "k")
     met = held.join(hint(whole), ["h", "shingle", "short"]).select("doc_id", "item_id", "k", "h", "shingle").distinct()
