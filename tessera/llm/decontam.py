@@ -76,7 +76,8 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item; rows with a null doc_id stay."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    bad = cut(contained(docs, items).select("doc_id").distinct())
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "doc_id", "left_anti").select(docs.columns)
 
 
 ORACLE = r"""
