@@ -43,6 +43,10 @@ carried(__name__)
 RADIUS = 2
 #: Fingerprints of a shard beyond which it is split.
 BUCKET = 1024
+#: Groups of shingles of a level that give a key.
+GROUPS = 24
+#: Members of a key up to which all that are still apart are compared; above, by rounds of hubs. Larger values find more and need more disk.
+OPEN = 4
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -217,16 +221,16 @@ def group_prints(hashes: np.ndarray) -> np.ndarray:
     """SimHashes of groups of a text's shingles, as keys.
 
     Shingles fall into 2^l groups by the low bits of their hashes, l so that a group has 6 to 12 of them, and once more
-    with l + 1, so that texts of nearly one length share a level; 16 groups of a level are used at most. Of two texts at
-    Jaccard similarity 0.8 each group is the same with a chance of 0.1 to 0.5: some group is, in 998 of 1000 pairs, while
-    texts that share a passage alone have none in common.
+    with l + 1, so that texts of nearly one length share a level; `GROUPS` groups of a level are used at most. Of two long
+    texts at Jaccard similarity 0.8 a group of the finer level is the same with a chance of 0.26 at least, so none is in
+    fewer than one of 1000 pairs, while texts that share a passage alone have none in common.
     """
     out = []
     if len(hashes):
         least = max(0, int(np.floor(np.log2(max(1.0, len(hashes) / 6)))))
         for level in (least, least + 1):
             group = hashes & np.uint64((1 << level) - 1)
-            h, group = hashes[group < 16], group[group < 16]
+            h, group = hashes[group < GROUPS], group[group < GROUPS]
             if not len(h):
                 continue
             order = np.argsort(group, kind="stable")
@@ -240,11 +244,14 @@ def group_prints(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """(u, v), u > v, doc_ids of different texts at Jaccard similarity `least` of their shingles, found by group SimHashes.
+def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """(node, root) of the components of known(u, v) and of the links between different texts at Jaccard similarity
+    `least` of their shingles, found by group SimHashes.
 
-    Equal texts count once, by their smallest doc_id. Texts that share a group's SimHash are each compared with the first
-    and the last of them, never all with all; a pair counts only if its exact similarity says so.
+    Equal texts count once, by their smallest doc_id. Of the texts that share a key, only those not yet in one component
+    are compared: in the first round each with the smallest and the largest, then in keys of up to `OPEN` members all
+    that are apart with one another, and in larger ones each with two hubs of other components, chosen anew each round,
+    until a round joins nothing. A pair counts only if its exact similarity says so.
     """
     kind = dict(docs.dtypes)["doc_id"]
     named = docs.where("doc_id is not null").select("doc_id", "text")
@@ -261,13 +268,6 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "s"])
 
-    keys = saved(texts.mapInArrow(keyed, f"doc_id {kind}, key bigint"), "group-prints")
-    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    met = keys.join(ends, "key").select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other")
-    pairs = cut(met.select(F.greatest("doc_id", "other").alias("u"), F.least("doc_id", "other").alias("v")).distinct())
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = saved(named.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, f"doc_id {kind}, s binary"), "shingle-sets")
-
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -277,8 +277,42 @@ def similar(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
-    return x.select("u", "v", "a", "b").mapInArrow(alike, f"u {kind}, v {kind}")
+    keys = saved(texts.mapInArrow(keyed, f"doc_id {kind}, key bigint"), "group-prints")
+    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    shared = saved(keys.join(ends, "key").select("key", "doc_id", "low", "high", "n"), "shared-prints")
+    sets = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+        return cut(x.select("u", "v", "a", "b").mapInArrow(alike, f"u {kind}, v {kind}"))
+
+    def ordered(df: DataFrame, x: str, y: str) -> DataFrame:
+        return df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+
+    pairs = cut(ordered(shared.select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other"), "doc_id", "other"))
+    # every member of a shared key is in a pair of the first round
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = saved(named.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, f"doc_id {kind}, s binary"), "shingle-sets")
+    roots = cut(components(known.unionByName(verified(pairs))))
+    open_, turn = shared.select("key", "doc_id", "n"), 0
+    while True:
+        turn += 1
+        at = open_.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        by = F.struct("root", F.xxhash64("doc_id", "key", F.lit(turn)))
+        hubs = at.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by("doc_id", by).alias("low"), F.max_by("doc_id", by).alias("high")).where("r1 <> r2")
+        apart = cut(at.join(hubs, "key"))
+        few = apart.where(F.col("n") <= OPEN).select("key", "doc_id", "root")
+        other = few.select("key", F.col("doc_id").alias("other"), F.col("root").alias("far"))
+        near = ordered(few.join(other, "key").where("doc_id < other and root <> far"), "doc_id", "other")
+        many = apart.where(F.col("n") > OPEN)
+        hub = F.explode(F.array(F.struct(F.col("low").alias("other"), F.col("r1").alias("far")), F.struct(F.col("high").alias("other"), F.col("r2").alias("far")))).alias("x")
+        met = many.select("doc_id", "root", hub).where("root <> x.far").select("doc_id", F.col("x.other").alias("other"))
+        found = verified(near.unionByName(ordered(met, "doc_id", "other")).distinct())
+        if found.isEmpty():
+            return roots
+        roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
+        # keys of few members are done: all that were apart in them have been compared
+        open_ = many.select("key", "doc_id", "n")
 
 
 def groups(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -290,7 +324,7 @@ def groups(docs: DataFrame, width: int = 3, similarity: float | None = None) ->
     if similarity is None:
         return found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     edges = found.where("doc_id <> group_id").select(F.col("doc_id").alias("u"), F.col("group_id").alias("v"))
-    roots = components(edges.unionByName(similar(docs, similarity)))
+    roots = similar(docs, edges, similarity)
     return found.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
 

@@ -108,3 +108,21 @@ def test_edited_copies_are_found(docs):
 def test_odd_rows_with_similarity(odd, empty):
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(odd, similarity=0.8).collect()) == ["1", "3", "4", "7", "None", "None"]
     assert simhash.keep_one(empty, similarity=0.8).count() == 0
+
+
+def test_chains_within_a_key_are_joined(docs, monkeypatch):
+    """Texts of one key that only link through others, neither first nor last; in keys of few members and of many."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in rng.integers(0, 9000, 300)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for at in rng.permutation(300)[: int(rng.integers(0, 14))]:
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    for most in (32, 4):
+        monkeypatch.setattr(simhash, "OPEN", most)
+        got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+        assert got == want and 1 < len(set(want.values())) < 40
