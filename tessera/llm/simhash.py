@@ -45,8 +45,10 @@ RADIUS = 2
 BUCKET = 1024
 #: Groups of shingles of a level that give a key.
 GROUPS = 24
-#: Members of a key up to which all that are still apart are compared; above, by rounds of hubs. Larger values find more and need more disk.
+#: Members of a key up to which all that are still apart are compared at once; above, rounds of hubs come first (see similar()).
 OPEN = 4
+#: Members of a block of a key, and counters of a text's sketch.
+BLOCK, SLOTS = 256, 256
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -244,6 +246,65 @@ def group_prints(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each of `SLOTS` slots, 255 at most. Two sketches differ by no more than their sets do."""
+    return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS), 255).astype(np.uint8).tobytes()
+
+
+def apart_in_keys(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v, distinct: all pairs of members(key, doc_id, root) that share a key, have different roots and may have
+    Jaccard similarity `least` by sketches(doc_id, n, h): sets at that similarity differ by (1 - least) / (1 + least) of their
+    summed sizes at most, and the shorter has `least` of the longer's size, so no such pair is lost.
+
+    Of keys with the same members one is read. Members of a key fall into blocks of about `BLOCK`; a task holds two blocks.
+    """
+    kind = dict(members.dtypes)["doc_id"]
+    mark = lambda k: F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(20,0)"))
+    alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y"))
+    one = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(one, "key").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    cells = own.select("key", "doc_id", "root", "n", "h", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("far"))
+    cells = cells.select("key", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "doc_id", "root", "n", "h", "own")
+
+    def met(t: pa.Table) -> pa.RecordBatch:
+        """Pairs of the cells of t."""
+        cell = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        n, own = t.column("n").to_numpy(), t.column("own").to_numpy()
+        root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
+        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
+        left, right = [], []
+        for s, e in zip(starts, [*starts[1:], len(n)]):
+            i, j = cell[s, 1:]
+            rows = np.arange(s, e)
+            for a in rows[own[s:e] == i]:
+                b = rows[rows > a] if i == j else rows[own[s:e] == j]
+                b = b[root[b] != root[a]]
+                b = b[np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9]
+                b = b[np.abs(h[b] - h[a]).sum(1) <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9]
+                left.append(np.full(len(b), a))
+                right.append(b)
+        at = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right)]
+        ids = t.column("doc_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(x) for x in at], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            last = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+            whole = int(np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in last]))[-1]) + 1 if any((c != c[-1]).any() for c in last) else 0
+            if whole:
+                yield met(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield met(held)
+
+    dealt = cells.repartition(shards(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
 def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """(node, root) of the components of known(u, v) and of the links between different texts at Jaccard similarity
     `least` of their shingles, found by group SimHashes.
@@ -251,7 +312,8 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
     Equal texts count once, by their smallest doc_id. Of the texts that share a key, only those not yet in one component
     are compared: in the first round each with the smallest and the largest, then in keys of up to `OPEN` members all
     that are apart with one another, and in larger ones each with two hubs of other components, chosen anew each round,
-    until a round joins nothing. A pair counts only if its exact similarity says so.
+    until a round joins nothing; at last all that are apart in the larger ones with one another (see apart_in_keys()). So all
+    texts that share a key are compared or in one component. A pair counts only if its exact similarity says so.
     """
     kind = dict(docs.dtypes)["doc_id"]
     named = docs.where("doc_id is not null").select("doc_id", "text")
@@ -266,7 +328,9 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_hashes(t.as_py(), width).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "s"])
+            got = [shingle_hashes(t.as_py(), width) for t in b.column("text")]
+            n, s, h = pa.array([len(g) for g in got], pa.int32()), pa.array([g.tobytes() for g in got], pa.binary()), pa.array([sketch(g) for g in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, s, h], names=["doc_id", "n", "s", "h"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,7 +356,7 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
     pairs = cut(ordered(shared.select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other"), "doc_id", "other"))
     # every member of a shared key is in a pair of the first round
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = saved(named.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, f"doc_id {kind}, s binary"), "shingle-sets")
+    sets = saved(named.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, f"doc_id {kind}, n int, s binary, h binary"), "shingle-sets")
     roots = cut(components(known.unionByName(verified(pairs))))
     open_, turn = shared.select("key", "doc_id", "n"), 0
     while True:
@@ -309,7 +373,8 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
         met = many.select("doc_id", "root", hub).where("root <> x.far").select("doc_id", F.col("x.other").alias("other"))
         found = verified(near.unionByName(ordered(met, "doc_id", "other")).distinct())
         if found.isEmpty():
-            return roots
+            last = verified(cut(apart_in_keys(many.select("key", "doc_id", "root"), sets.select("doc_id", "n", "h"), least)))
+            return cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)))
         roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
         # keys of few members are done: all that were apart in them have been compared
         open_ = many.select("key", "doc_id", "n")

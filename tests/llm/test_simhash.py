@@ -126,3 +126,24 @@ def test_chains_within_a_key_are_joined(docs, monkeypatch):
         monkeypatch.setattr(simhash, "OPEN", most)
         got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
         assert got == want and 1 < len(set(want.values())) < 40
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_members_of_large_keys_are_all_compared(docs, monkeypatch, block):
+    """Copies of one original, each edited in a way of its own and alike to few others only, under one key; in one block and in several."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for at in rng.permutation(400)[:60]:
+            w[at] = f"x{k}-{at}"
+        rows.append((1000 - 3 * k, " ".join(w)))
+        for c in range(int(rng.integers(0, 3))):
+            rows.append((1000 - 3 * k + c + 1, " ".join([*w[:-2], f"y{c}", f"z{c}"])))
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "group_prints", lambda hashes: np.array([7], np.uint64))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+    assert got == want and len(set(want.values())) == 60
