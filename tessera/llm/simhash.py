@@ -16,8 +16,8 @@ Each shard gives the links of a spanning forest only, which leaves components as
 come from alternating large-star and small-star rounds, with lineage cut in the shared folder.
 
 Two bits tell apart what word edits change: most copies with one word in a hundred edited differ by more. `keep_one`
-with `similarity` therefore also links texts whose groups of five-word shingles share a SimHash and whose exact
-Jaccard similarity is high enough (see similar()).
+with `similarity` therefore also links texts whose exact Jaccard similarity is high enough, among those that share a
+shingle of their prefixes (short texts) or the SimHash of a group of five-word shingles (long ones; see similar()).
 
 Edge cases: a null text counts as empty; all empty texts are one group. A null doc_id takes part, but a
 component's id is its smallest doc_id that is not null (null if there is none). Repeated rows share a
@@ -49,6 +49,10 @@ GROUPS = 24
 OPEN = 4
 #: Members of a block of a key, and counters of a text's sketch.
 BLOCK, SLOTS = 256, 256
+#: Shingles from which on texts have keys by group SimHashes; texts that one with fewer can be alike to have keys by prefix.
+SHORT = 120
+#: A shingle of so many short texts counts as common, and the most common ones that are told to the tasks.
+COMMON, TOLD = 8, 100_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -305,9 +309,25 @@ def apart_in_keys(members: DataFrame, sketches: DataFrame, least: float) -> Data
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
 
 
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(least * n) + 1 of a text's n shingles in an order that all texts share: two sets at Jaccard
+    similarity `least` share `least` of the larger's size at least, so their prefixes meet. `common` has the common
+    shingles, the most common first; they come last, others by their hash. The order decides the work alone."""
+    if not len(hashes):
+        return hashes
+    n = len(hashes)
+    late = np.zeros(n, np.int64)
+    if len(common):
+        by = np.argsort(common)
+        at = np.minimum(np.searchsorted(common, hashes, sorter=by), len(common) - 1)
+        late = np.where(common[by[at]] == hashes, len(common) - by[at], 0)
+    return hashes[np.lexsort((hashes, late))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
 def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """(node, root) of the components of known(u, v) and of the links between different texts at Jaccard similarity
-    `least` of their shingles, found by group SimHashes.
+    `least` of their shingles. Texts of fewer than `SHORT` shingles are found by prefix(), which loses no pair; pairs of longer
+    texts by group SimHashes (see group_prints()).
 
     Equal texts count once, by their smallest doc_id. Of the texts that share a key, only those not yet in one component
     are compared: in the first round each with the smallest and the largest, then in keys of up to `OPEN` members all
@@ -320,9 +340,24 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
     first = named.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     texts = named.join(first, "doc_id", "left_semi")
 
+    most = int((SHORT - 1) / least + 1e-9)  # shingles of a text that one below SHORT can be alike to
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [g for t in b.column("text") if len(g := shingle_hashes(t.as_py(), width)) <= most]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
+
+    told = texts.mapInArrow(short, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(TOLD)
+    common = np.array([r["s"] for r in told.select("s").collect()], np.int64).view(np.uint64)
+
+    def keys_of(text: str | None) -> np.ndarray:
+        h = shingle_hashes(text, width)
+        found = ([prefix(h, least, common)] if len(h) <= most else []) + ([group_prints(h)] if len(h) >= SHORT else [])
+        return np.unique(np.concatenate(found)).view(np.int64)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [group_prints(shingle_hashes(t.as_py(), width)).view(np.int64) for t in b.column("text")]
+            got = [keys_of(t.as_py()) for t in b.column("text")]
             ids = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got])))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["doc_id", "key"])
 

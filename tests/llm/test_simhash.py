@@ -147,3 +147,31 @@ def test_members_of_large_keys_are_all_compared(docs, monkeypatch, block):
     want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
     assert got == want and len(set(want.values())) == 60
+
+
+def test_short_copies_with_words_added_are_found(docs):
+    """Texts of 12 to 150 words and copies with words added at the end, which share a common opening of five words or more."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(150):
+        n = int(rng.integers(12, 16)) if k < 90 else int(rng.integers(16, 150))
+        w = ["all", "of", "these", "texts", "begin", "so"][: 6 * (k % 2)] + [f"w{x}" for x in rng.integers(0, 9000, n)]
+        rows.append((2 * k, " ".join(w)))
+        more = (len(w) - 4) // 4 if k % 5 else (len(w) - 4) // 4 + 1
+        rows.append((2 * k + 1, " ".join(w + [f"e{k}-{x}" for x in range(more)])))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+    assert len(set(want.values())) == 180
+    assert got == want
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(1, 150))
+        more = int(rng.integers(0, n // 4 + 1))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a, rng.integers(0, 2**63, min(more, len(a) // 4)).astype(np.uint64)])
+        common = rng.permutation(b)[: int(rng.integers(0, len(b) + 1))]
+        assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
