@@ -2,8 +2,8 @@
 
 Calls are rows (conv_id, turn, call_id, name, arguments JSON); results are rows (conv_id, turn, call_id,
 content). `messages` takes them from conversation turns: a text that is a JSON object with `tool_calls`
-(a list of {id, name, arguments}) makes calls, one with `tool_call_id` and `content` a result, any other text
-a plain message. Arguments may refer to results: a value {"$ref": call_id} makes a call depend on that call.
+(a list of {id, name, arguments}) makes calls, and a plain message too if it has `content` that is not empty; one
+with `tool_call_id` and `content` makes a result, any other text a plain message. Arguments may refer to results: a value {"$ref": call_id} makes a call depend on that call.
 
 Calls and results meet in a hash join on (conv_id, call_id). A call's depth is 0, or one more than the
 deepest call it depends on; depths come from rounds over the dependencies still open, as many as the longest
@@ -67,7 +67,10 @@ def messages(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     maybe = maybe.withColumn("listed", F.try_variant_get("v", "$.tool_calls", "array<struct<id:string,name:string,arguments:variant>>")).withColumn("of", F.try_variant_get("v", "$.tool_call_id", "string"))
     calls = maybe.where(F.size("listed") > 0).select("conv_id", "turn", F.inline("listed")).select("conv_id", "turn", F.col("id").alias("call_id"), "name", F.to_json("arguments").alias("arguments"))
     results = maybe.where(F.col("of").isNotNull()).select("conv_id", "turn", F.col("of").alias("call_id"), F.coalesce(F.try_variant_get("v", "$.content", "string"), F.lit("")).alias("content"))
-    plain = maybe.where(F.coalesce(F.size("listed"), F.lit(0)) <= 0).where(F.col("of").isNull()).select("conv_id", "turn", "role", "text")
+    lists = F.coalesce(F.size("listed"), F.lit(0)) > 0
+    part = F.try_variant_get("v", "$.content", "variant")
+    said = F.when(F.schema_of_variant(part) != "VOID", F.coalesce(F.try_variant_get("v", "$.content", "string"), F.to_json(part)))
+    plain = maybe.where(F.col("of").isNull()).select("conv_id", "turn", "role", F.when(lists, F.nullif(said, F.lit(""))).otherwise(F.col("text")).alias("text")).where("text is not null")
     return plain, calls, results
 
 

@@ -43,3 +43,19 @@ def test_long_chain(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat.linked(*chat.exchanges(df), chat.REPLY).count() == 0
+
+
+def test_turn_that_speaks_and_calls(spark):
+    call = [{"id": "a", "name": "find", "arguments": {"q": "x"}}]
+    said = ["let me look", "", None, [{"type": "text", "text": "in parts"}]]
+    turns = [(k, 0, "assistant", json.dumps({"content": s, "tool_calls": call})) for k, s in enumerate(said)]
+    turns += [(9, 0, "user", "where?"), (9, 1, "assistant", json.dumps({"content": "a moment", "tool_calls": call})), (10, 0, "assistant", json.dumps({"tool_calls": call}))]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    rows = chat.linked(*chat.messages(df), SCHEMA).collect()
+    got = {r["conv_id"]: json.loads(r["json"]) for r in rows if r["kind"] == "message" and r["conv_id"] < 9}
+    assert {k: m["role"] for k, m in got.items()} == {0: "assistant", 3: "assistant"}
+    assert got[0]["content"] == said[0] and json.loads(got[3]["content"]) == said[3]
+    assert sorted(r["conv_id"] for r in rows if r["kind"] == "call") == [0, 1, 2, 3, 9, 10]
+    rows = chat.linked(*chat.exchanges(df), chat.REPLY).collect()
+    assert {(r["call_id"], r["status"]) for r in rows if r["conv_id"] == 9} == {("turn-0", "linked"), ("a", "open")}
+    assert any(json.loads(r["json"]).get("content") == "a moment" for r in rows)
