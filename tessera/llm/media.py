@@ -11,8 +11,9 @@ none). `decode_coefficients` reads baseline JPEG, grey or colour, with any Huffm
 where a frame brings none) and restart markers; `luma` dequantises and transforms back to 8-bit samples.
 
 `shots` cuts where the difference of 32-bin histograms between neighbouring frames rises above
-`SHARP` standard deviations over the mean of the differences around it, and over `LEAST`; clips are rows with
-start and end times.
+`SHARP` deviations over the median of the differences around it, and over `LEAST`; the deviation is 1.4826 times the
+median one from the median (a normal law's standard deviation), so that hard cuts close by don't hide one another while
+fewer than half of the differences around are cuts. Clips are rows with start and end times.
 
 Edge cases: null and empty texts store one block of zeros; a frame that can't be decoded gives a row with
 `error` set and no clip; equal payloads give equal files; an empty table gives an empty result; other columns
@@ -376,7 +377,9 @@ def shots(histograms: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     cuts = []
     for k, x in enumerate(d):
         near = np.concatenate([d[max(0, k - AROUND) : k], d[k + 1 : k + 1 + AROUND]])
-        if x > LEAST and (not len(near) or x > near.mean() + SHARP * near.std() + 1e-9):
+        level = np.median(near) if len(near) else 0.0
+        spread = 1.4826 * np.median(np.abs(near - level)) if len(near) else 0.0
+        if x > LEAST and (not len(near) or x > level + SHARP * spread + 1e-9):
             cuts.append(k + 1)
     edges = [0, *cuts, len(histograms)]
     return list(zip(edges, edges[1:])), d

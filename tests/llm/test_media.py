@@ -52,6 +52,19 @@ def test_shots_split_where_histograms_jump():
     assert found == [(0, 6), (6, 12)]
 
 
+def test_close_cuts_do_not_hide_one_another():
+    dark, light = np.eye(32)[2] * 100, np.eye(32)[28] * 100
+    for length in (3, 5, 8):
+        frames = np.array([(dark, light)[k // length % 2] for k in range(length * 8)])
+        assert media.shots(frames)[0] == [(k, k + length) for k in range(0, length * 8, length)]
+    two = np.array([dark] * 2 + [light] * 2 + [dark] * 20)
+    assert media.shots(two)[0] == [(0, 2), (2, 4), (4, 24)]
+    assert media.shots(two[::-1])[0] == [(0, 20), (20, 22), (22, 24)]
+    rng = np.random.default_rng(0)
+    steady = 100 * light + 2000 + rng.integers(-100, 100, (24, 32))
+    assert len(media.shots(steady)[0]) == 1
+
+
 def test_query_by_brute_force(spark, sf_dir):
     want = {}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
