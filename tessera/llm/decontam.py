@@ -2,6 +2,8 @@
 
 Words are lower-cased runs of letters and digits; shingles are runs of five words (a text of fewer words is
 one shingle). An item of k distinct shingles is contained in a document that holds at least 0.8 k of them.
+An item of one to four words is so one shingle that only a document of the very same words has: it is matched as a whole
+document and not found inside a longer one.
 
 Items are partitioned by size, [2^c, 2^(c+1)) shingles. An item's sketch is a bottom-m MinHash: its m
 shingles of least hash, m = k' - ceil(0.8 k') + 1 for the largest k' of its partition. A document that holds
