@@ -8,6 +8,12 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with over 1/HEAVY of all rows is heavy; so fewer than HEAVY keys are.
+HEAVY = 1000
+#: Rows of ids or hashes that a side may have to be broadcast; always counted first.
+BROADCAST_ROWS = 200_000
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,3 +60,46 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Shelf:
+    """Tables in the shared folder that are needed for the length of a `with` block, and deleted at its end.
+
+    Nothing lazy may leave the block that still reads them.
+    """
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path, self.n = spark, scratch(spark, what), 0
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df, written once and read from there."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast, if a count shows that it has at most `rows` rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row for each key and in column `n` how many of the `total` rows have that key.
+
+    Heavy keys, fewer than `HEAVY` whatever the size, are looked up in a broadcast, so no task gets all rows of one;
+    the others shuffle. Both inputs are read twice and should be written tables.
+    """
+    heavy = F.broadcast(facts.where(F.col(n) * HEAVY > total))
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts.where(F.col(n) * HEAVY <= total), key)
+    return rows.join(heavy, key).unionByName(light)
