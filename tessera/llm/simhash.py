@@ -9,15 +9,14 @@ blocks, so each distinct fingerprint is sent to six shards, one for each pair of
 bits. A shard's fingerprints form a BK-tree: a child hangs on the edge numbered by its Hamming distance to
 the parent, and a search with radius r at distance d follows the edges d-r to d+r alone. A shard above
 `BUCKET` fingerprints is split again: the bits not yet fixed fall into three parts, of which one agrees.
-After two such splits 14 bits are free, so no tree can hold more than 16384 fingerprints. Trees stay in
+After two such splits 14 or 15 bits are free, so no tree can hold more than 2^15 fingerprints. Trees stay in
 the tasks that own them; sending them all to every executor would need memory that grows with the corpus.
 
 Each shard gives the links of a spanning forest only, which leaves components as they are. Components
 come from alternating large-star and small-star rounds, with lineage cut in the shared folder.
 
 Two bits tell apart what word edits change: most copies with one word in a hundred edited differ by more. `keep_one`
-with `similarity` therefore also links texts whose exact Jaccard similarity is high enough, among those that share a
-shingle of their prefixes (short texts) or the SimHash of a group of five-word shingles (long ones; see similar()).
+with `similarity` therefore also links texts whose exact Jaccard similarity of five-word shingles is high enough (see alike.py).
 
 Edge cases: a null text counts as empty; all empty texts are one group. A null doc_id takes part, but a
 component's id is its smallest doc_id that is not null (null if there is none). Repeated rows share a
@@ -26,7 +25,7 @@ fingerprint. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,24 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.alike import similar
 from tessera.llm.common import carried, cut, saved, shards
 from tessera.operators.graph import components
+from tessera.session import Shelf, looked_up, small
 
 carried(__name__)
 
 RADIUS = 2
 #: Fingerprints of a shard beyond which it is split.
 BUCKET = 1024
-#: Groups of shingles of a level that give a key.
-GROUPS = 24
-#: Members of a key up to which all that are still apart are compared at once; above, rounds of hubs come first (see similar()).
-OPEN = 4
-#: Members of a block of a key, and counters of a text's sketch.
-BLOCK, SLOTS = 256, 256
-#: Shingles from which on texts have keys by group SimHashes; texts that one with fewer can be alike to have keys by prefix.
-SHORT = 120
-#: A shingle of so many short texts counts as common, and the most common ones that are told to the tasks.
-COMMON, TOLD = 8, 100_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -202,217 +193,15 @@ def links(nodes: DataFrame) -> DataFrame:
         here, level = cut(here), level + 1
 
 
-def classes(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row of docs."""
-    prints = saved(fingerprints(docs, width), "fingerprints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def classes(docs: DataFrame, width: int = 3, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, fp and component_id of every row of docs. `keep` writes what the result still reads."""
+    prints = (keep or (lambda df: saved(df, "fingerprints")))(fingerprints(docs, width))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     roots = components(links(nodes.select("fp")))
-    at = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    at = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     ids = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = at.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[k : k + width]), 42) for k in range(n)), np.uint64, n))
-
-
-def group_prints(hashes: np.ndarray) -> np.ndarray:
-    """SimHashes of groups of a text's shingles, as keys.
-
-    Shingles fall into 2^l groups by the low bits of their hashes, l so that a group has 6 to 12 of them, and once more
-    with l + 1, so that texts of nearly one length share a level; `GROUPS` groups of a level are used at most. Of two long
-    texts at Jaccard similarity 0.8 a group of the finer level is the same with a chance of 0.26 at least, so none is in
-    fewer than one of 1000 pairs, while texts that share a passage alone have none in common.
-    """
-    out = []
-    if len(hashes):
-        least = max(0, int(np.floor(np.log2(max(1.0, len(hashes) / 6)))))
-        for level in (least, least + 1):
-            group = hashes & np.uint64((1 << level) - 1)
-            h, group = hashes[group < GROUPS], group[group < GROUPS]
-            if not len(h):
-                continue
-            order = np.argsort(group, kind="stable")
-            h, group = h[order], group[order]
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-            sizes = np.diff(np.r_[starts, len(h)])
-            fp = np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            out.append((fp ^ (group[starts] * np.uint64(64) + np.uint64(level))) * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """How many hashes fall into each of `SLOTS` slots, 255 at most. Two sketches differ by no more than their sets do."""
-    return np.minimum(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS), 255).astype(np.uint8).tobytes()
-
-
-def apart_in_keys(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(u, v), u > v, distinct: all pairs of members(key, doc_id, root) that share a key, have different roots and may have
-    Jaccard similarity `least` by sketches(doc_id, n, h): sets at that similarity differ by (1 - least) / (1 + least) of their
-    summed sizes at most, and the shorter has `least` of the longer's size, so no such pair is lost.
-
-    Of keys with the same members one is read. Members of a key fall into blocks of about `BLOCK`; a task holds two blocks.
-    """
-    kind = dict(members.dtypes)["doc_id"]
-    mark = lambda k: F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(20,0)"))
-    alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y"))
-    one = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(one, "key").join(sketches, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    cells = own.select("key", "doc_id", "root", "n", "h", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("far"))
-    cells = cells.select("key", F.least("own", "far").alias("i"), F.greatest("own", "far").alias("j"), "doc_id", "root", "n", "h", "own")
-
-    def met(t: pa.Table) -> pa.RecordBatch:
-        """Pairs of the cells of t."""
-        cell = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-        n, own = t.column("n").to_numpy(), t.column("own").to_numpy()
-        root = t.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16)
-        starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
-        left, right = [], []
-        for s, e in zip(starts, [*starts[1:], len(n)]):
-            i, j = cell[s, 1:]
-            rows = np.arange(s, e)
-            for a in rows[own[s:e] == i]:
-                b = rows[rows > a] if i == j else rows[own[s:e] == j]
-                b = b[root[b] != root[a]]
-                b = b[np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9]
-                b = b[np.abs(h[b] - h[a]).sum(1) <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9]
-                left.append(np.full(len(b), a))
-                right.append(b)
-        at = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (left, right)]
-        ids = t.column("doc_id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(x) for x in at], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            new = pa.Table.from_batches([b])
-            held = new if held is None else pa.concat_tables([held, new])
-            last = [held.column(c).to_numpy() for c in ("key", "i", "j")]
-            whole = int(np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in last]))[-1]) + 1 if any((c != c[-1]).any() for c in last) else 0
-            if whole:
-                yield met(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield met(held)
-
-    dealt = cells.repartition(shards(members), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-
-
-def prefix(hashes: np.ndarray, least: float, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(least * n) + 1 of a text's n shingles in an order that all texts share: two sets at Jaccard
-    similarity `least` share `least` of the larger's size at least, so their prefixes meet. `common` has the common
-    shingles, the most common first; they come last, others by their hash. The order decides the work alone."""
-    if not len(hashes):
-        return hashes
-    n = len(hashes)
-    late = np.zeros(n, np.int64)
-    if len(common):
-        by = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, hashes, sorter=by), len(common) - 1)
-        late = np.where(common[by[at]] == hashes, len(common) - by[at], 0)
-    return hashes[np.lexsort((hashes, late))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
-
-
-def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """(node, root) of the components of known(u, v) and of the links between different texts at Jaccard similarity
-    `least` of their shingles. Texts of fewer than `SHORT` shingles are found by prefix(), which loses no pair; pairs of longer
-    texts by group SimHashes (see group_prints()).
-
-    Equal texts count once, by their smallest doc_id. Of the texts that share a key, only those not yet in one component
-    are compared: in the first round each with the smallest and the largest, then in keys of up to `OPEN` members all
-    that are apart with one another, and in larger ones each with two hubs of other components, chosen anew each round,
-    until a round joins nothing; at last all that are apart in the larger ones with one another (see apart_in_keys()). So all
-    texts that share a key are compared or in one component. A pair counts only if its exact similarity says so.
-    """
-    kind = dict(docs.dtypes)["doc_id"]
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    first = named.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), F.crc32(F.coalesce("text", F.lit(""))).alias("c")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = named.join(first, "doc_id", "left_semi")
-
-    most = int((SHORT - 1) / least + 1e-9)  # shingles of a text that one below SHORT can be alike to
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [g for t in b.column("text") if len(g := shingle_hashes(t.as_py(), width)) <= most]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
-
-    told = texts.mapInArrow(short, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(TOLD)
-    common = np.array([r["s"] for r in told.select("s").collect()], np.int64).view(np.uint64)
-
-    def keys_of(text: str | None) -> np.ndarray:
-        h = shingle_hashes(text, width)
-        found = ([prefix(h, least, common)] if len(h) <= most else []) + ([group_prints(h)] if len(h) >= SHORT else [])
-        return np.unique(np.concatenate(found)).view(np.int64)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [keys_of(t.as_py()) for t in b.column("text")]
-            ids = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))], names=["doc_id", "key"])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingle_hashes(t.as_py(), width) for t in b.column("text")]
-            n, s, h = pa.array([len(g) for g in got], pa.int32()), pa.array([g.tobytes() for g in got], pa.binary()), pa.array([sketch(g) for g in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, s, h], names=["doc_id", "n", "s", "h"])
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    keys = saved(texts.mapInArrow(keyed, f"doc_id {kind}, key bigint"), "group-prints")
-    ends = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    shared = saved(keys.join(ends, "key").select("key", "doc_id", "low", "high", "n"), "shared-prints")
-    sets = None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
-        return cut(x.select("u", "v", "a", "b").mapInArrow(alike, f"u {kind}, v {kind}"))
-
-    def ordered(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-
-    pairs = cut(ordered(shared.select("doc_id", F.explode(F.array("low", "high")).alias("other")).where("doc_id <> other"), "doc_id", "other"))
-    # every member of a shared key is in a pair of the first round
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = saved(named.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, f"doc_id {kind}, n int, s binary, h binary"), "shingle-sets")
-    roots = cut(components(known.unionByName(verified(pairs))))
-    open_, turn = shared.select("key", "doc_id", "n"), 0
-    while True:
-        turn += 1
-        at = open_.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        by = F.struct("root", F.xxhash64("doc_id", "key", F.lit(turn)))
-        hubs = at.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.min_by("doc_id", by).alias("low"), F.max_by("doc_id", by).alias("high")).where("r1 <> r2")
-        apart = cut(at.join(hubs, "key"))
-        few = apart.where(F.col("n") <= OPEN).select("key", "doc_id", "root")
-        other = few.select("key", F.col("doc_id").alias("other"), F.col("root").alias("far"))
-        near = ordered(few.join(other, "key").where("doc_id < other and root <> far"), "doc_id", "other")
-        many = apart.where(F.col("n") > OPEN)
-        hub = F.explode(F.array(F.struct(F.col("low").alias("other"), F.col("r1").alias("far")), F.struct(F.col("high").alias("other"), F.col("r2").alias("far")))).alias("x")
-        met = many.select("doc_id", "root", hub).where("root <> x.far").select("doc_id", F.col("x.other").alias("other"))
-        found = verified(near.unionByName(ordered(met, "doc_id", "other")).distinct())
-        if found.isEmpty():
-            last = verified(cut(apart_in_keys(many.select("key", "doc_id", "root"), sets.select("doc_id", "n", "h"), least)))
-            return cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last)))
-        roots = cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
-        # keys of few members are done: all that were apart in them have been compared
-        open_ = many.select("key", "doc_id", "n")
+    named = cut(at.join(ids, "root").select("fp", "component_id", "rows"))
+    return looked_up(prints, named, "fp", "rows", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def groups(docs: DataFrame, width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -420,7 +209,8 @@ def groups(docs: DataFrame, width: int = 3, similarity: float | None = None) ->
 
     Groups are the components of the fingerprint links; with `similarity`, of those and of similar().
     """
-    found = cut(classes(docs, width).where("doc_id is not null").select("doc_id", F.col("component_id").alias("group_id")))
+    with Shelf(docs.sparkSession, "fingerprints") as shelf:
+        found = cut(classes(docs, width, shelf.put).where("doc_id is not null").select("doc_id", F.col("component_id").alias("group_id")))
     if similarity is None:
         return found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     edges = found.where("doc_id <> group_id").select(F.col("doc_id").alias("u"), F.col("group_id").alias("v"))
@@ -435,7 +225,6 @@ def keep_one(docs: DataFrame, width: int = 3, similarity: float | None = None) -
     """
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     again = not ids.where("n > 1").isEmpty()
-    kept = groups(docs, width, similarity).where("doc_id = group_id").select("doc_id")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    named = named.dropDuplicates(["doc_id", "text"]) if again else named
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    gone = cut(groups(docs, width, similarity).where("doc_id <> group_id").select("doc_id"))
+    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null")) if again else left

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import alike, simhash
 from tessera.llm.queries import QUERIES
 
 
@@ -110,22 +110,78 @@ def test_odd_rows_with_similarity(odd, empty):
     assert simhash.keep_one(empty, similarity=0.8).count() == 0
 
 
-def test_chains_within_a_key_are_joined(docs, monkeypatch):
-    """Texts of one key that only link through others, neither first nor last; in keys of few members and of many."""
+def edited(base, rng, edits, k):
+    w = list(base)
+    for at in rng.permutation(len(w))[:edits]:
+        w[at] = f"x{k}-{at}"
+    return " ".join(w)
+
+
+def five(rows):
+    return {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in rows}
+
+
+def test_chains_within_a_key_are_joined(docs):
+    """Texts of one key that only link through others, neither first nor last."""
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 9000, 300)]
-    rows = []
-    for k in range(40):
-        w = list(base)
-        for at in rng.permutation(300)[: int(rng.integers(0, 14))]:
-            w[at] = f"x{k}-{at}"
-        rows.append((k, " ".join(w)))
-    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    rows = [(k, edited(base, rng, int(rng.integers(0, 14)), k)) for k in range(40)]
+    sets = five(rows)
     want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    for most in (32, 4):
-        monkeypatch.setattr(simhash, "OPEN", most)
-        got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
-        assert got == want and 1 < len(set(want.values())) < 40
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+    assert got == want and 1 < len(set(want.values())) < 40
+
+
+def test_a_large_group_of_near_copies(docs):
+    """One original and 700 copies of it, from alike to far from all others, beside texts that share a long passage."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(160)]
+    rows = [(5000 - k, edited(base, rng, int(rng.integers(0, 14)), k)) for k in range(700)]
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [(9000 + k, passage + " " + " ".join(f"q{k}-{x}" for x in range(90))) for k in range(300)]
+    sets, prints = five(rows), {d: plain_fingerprint(t) for d, t in rows}
+    want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
+    assert got == want and len(set(want.values())) > 400
+
+
+@pytest.mark.parametrize("low, high, least", [(0.8, 0.82, 0.999), (0.82, 0.9, 0.9999), (0.9, 1, 1)])
+def test_recall_of_keys_by_similarity(low, high, least):
+    """Pairs of shingle sets of 3 to 3000, unequal in size too: how many of a band of similarity share a key."""
+    rng = np.random.default_rng(int(low * 100))
+    none, met, all_ = np.zeros(0, np.uint64), 0, 0
+    while all_ < 6000:
+        union = int(np.exp(rng.uniform(np.log(3), np.log(3000))))
+        both = int(np.ceil(rng.uniform(low, high) * union))
+        h = rng.integers(0, 2**63, union, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+        left = rng.integers(0, union - both + 1)
+        a, b = np.sort(h[: both + left]), np.sort(np.r_[h[:both], h[both + left :]])
+        keys = [np.concatenate([alike.prefix(x, 0.8, none) if len(x) <= int((alike.SHORT - 1) / 0.8) else none, alike.group_prints(x) if len(x) >= alike.SHORT else none]) for x in (a, b)]
+        all_ += 1
+        met += len(np.intersect1d(*keys)) > 0
+    assert met >= least * all_
+
+
+def test_counts_of_common_members(monkeypatch):
+    monkeypatch.setattr(alike, "COLUMNS", 16)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 70)).astype(np.uint64)) for _ in range(12)]
+    both = alike.counts(sets)
+    for i in range(12):
+        for j in range(12):
+            if i != j:
+                assert both[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_sketches_rule_out_no_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        h = rng.integers(0, 2**62, 300).astype(np.uint64)
+        a, b = h[: int(rng.integers(150, 300))], h[int(rng.integers(0, 150)) :]
+        x, y = (np.frombuffer(alike.sketch(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("block", [256, 7])
@@ -141,8 +197,8 @@ def test_members_of_large_keys_are_all_compared(docs, monkeypatch, block):
         rows.append((1000 - 3 * k, " ".join(w)))
         for c in range(int(rng.integers(0, 3))):
             rows.append((1000 - 3 * k + c + 1, " ".join([*w[:-2], f"y{c}", f"z{c}"])))
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash, "group_prints", lambda hashes: np.array([7], np.uint64))
+    monkeypatch.setattr(alike, "BLOCK", block)
+    monkeypatch.setattr(alike, "group_prints", lambda hashes: np.array([7], np.uint64))
     sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
     want = plain_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = {r["doc_id"]: r["group_id"] for r in simhash.groups(docs(rows), similarity=0.8).collect()}
