@@ -104,9 +104,9 @@ class Encoder:
         memory, cut, plain, many, lone = self.memory, {}, set(), set(), set()
         for w in words:
             rest = w.rstrip(PUNCTUATION)
-            if not rest or not (rest[-1].isalnum() and rest[-1] < LATIN):
-                rest = w
-            low = rest.lower()
+            low = rest.lower()  # may end in a mark that joins what follows, as that of a dotted capital I does
+            if not low or not (low[-1].isalnum() and low[-1] < LATIN):
+                rest, low = w, w.lower()
             latin = low.isalpha() and max(low) < LATIN
             if latin or rest.isascii():
                 key = low
@@ -224,9 +224,9 @@ class SequenceReader:
             self._batches[k] = self.file.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
         return self._batches[k]
 
-    def mask(self, k: int) -> np.ndarray:
-        """True where batch k holds an id."""
-        return self.file.get_batch(k).column("mask").flatten().to_numpy(zero_copy_only=False)
+    def mask(self, k: int) -> pa.BooleanArray:
+        """True where batch k holds an id: a view of the file's bits."""
+        return self.file.get_batch(k).column("mask").flatten()
 
     def ids(self, start: int, count: int) -> np.ndarray:
         out = []

@@ -35,6 +35,17 @@ def test_words_encode_as_the_whole(path):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(odd)] == [t.encode(x or "", add_special_tokens=False).ids for x in odd]
 
 
+def test_random_texts_encode_as_the_whole(path):
+    """20,000 texts of Latin, Greek, Cyrillic and wide letters, marks, digits, punctuation and white space of all kinds."""
+    rng = np.random.default_rng(17)
+    pool = list("aAbBzZeEiIoO019 .,!?'\"-_()•\n\t ") + ["İ", "ı", "ß", "ẞ", "é", "É", "Σ", "ς", "ǅ", "Ω", "Ж", "ﬁ", "²", "①", "中", "\U0001f600", "\u0301", "\u0307", "\u0338", "\u0345", "\u200d", "\u00a0", "\u2028", "\x1c", "\x85", "<|endoftext|>", "n't", "'s"]
+    texts = ["".join(rng.choice(pool, rng.integers(1, 14))) for _ in range(20_000)] + ["ALİ.", "ALİ, VELİ!", "TEKİ'", "İ.", ".İ", "Iİ?!x"]
+    e, t = arrow_tokens.Encoder(path), Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x for x, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_odd_rows(docs, empty, path, spark, tmp_path):
     rows = [(1, None), (2, ""), (3, "a"), (4, "word " * 9000), (7, "\u00e9\u4e2d\U0001f600 x"), (None, "no id")]
     folder, files = arrow_tokens.write(docs(rows), path, str(tmp_path / "out"), sequence=128)
@@ -57,7 +68,10 @@ def test_views_and_masks(tmp_path):
         r = arrow_tokens.SequenceReader(f)
         assert all((r.ids(s, len(d)) == d).all() for s, d in zip(starts, docs))
         assert not r.batch(0).flags.owndata and r.file.schema.field("ids").type.list_size == 16
-        masks = np.concatenate([r.mask(k) for k in range(r.file.num_record_batches)])
+        views = [r.mask(k) for k in range(r.file.num_record_batches)]
+        assert all(pa.types.is_boolean(v.type) for v in views)
+        assert r.mask(0).buffers()[1].address == r.mask(0).buffers()[1].address  # the mapped file itself
+        masks = np.concatenate([v.to_numpy(zero_copy_only=False) for v in views])
         assert masks.sum() == w.ids and masks[: w.ids].all() and len(masks) % 16 == 0
         with pytest.raises(ValueError):
             r.ids(len(masks), 1)
