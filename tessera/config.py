@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Config:
+    """Settings; the defaults are fixed values."""
+
     profile: str = "balanced"
     review: bool = False
     review_threshold: float = 0.75

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
-from tessera.functions.scalar import folder_name, stem, suffix, title
+from tessera.functions.scalar import base_name, folder_name, stem, suffix, title
 from tessera.operators.graph import components
 from tessera.session import carried, cut
 
 carried(__name__)
 
+#: File types that count as media, and folders that are not scanned or that runs make.
 EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".webm")
 RESERVED = (".review_queue", "Review_Pending", "Duplicates", "Uncertain")
 GENERATED = (".model_cache", "Absent")
@@ -131,29 +132,73 @@ def _free_names(pdf):
 
 
 def move_plan(moves: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """path, folder and target of moves(path, folder, name): stem, stem_1, stem_2 ... in order of path.
+    """path, folder and target of moves(path, folder, name): in order of path each gets the first free name of
+    name, stem_1, stem_2 ...; names in taken(folder, name) are not free. No two targets of a folder are equal.
 
-    The k-th wish for a name takes the k-th free number; numbers already taken in the folder are skipped.
+    Only names of one family, which differ in a trailing _n alone, can meet. A family whose wishes are all one name
+    and meet nothing that is taken is numbered by a rank, which may be split over tasks by Spark's window; in others
+    every choice depends on those before, so one task goes through the family, a batch at a time.
     """
-    w = Window.partitionBy("folder", "name").orderBy("path")
-    want = moves.withColumn("k", F.row_number().over(w) - 1)
+    family = F.concat(F.regexp_replace(stem(F.col("name")), r"(_\d+)+$", ""), F.lit("\x00"), suffix(F.col("name")))
+    want = moves.select("path", "folder", "name", family.alias("family"))
+    by = ["folder", "family"]
+    mixed = want.groupBy(*by).agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select(*by)
+    held = None
     if taken is not None:
-        t = taken.select("folder", F.col("name").alias("was"))
-        s, x = stem(F.col("name")), suffix(F.col("name"))
-        wished = moves.select("folder", "name").distinct()
-        number = F.regexp_extract("was", r"_(\d+)(?:\.[^.]+)?$", 1)
-        used = wished.join(t, "folder").where((F.col("was") == F.col("name")) | (F.col("was") == F.concat(s, F.lit("_"), number, x)))
-        used = used.groupBy("folder", "name").agg(F.array_sort(F.collect_set(F.when(F.col("was") == F.col("name"), 0).otherwise(number.try_cast("int")))).alias("used"))
-        want = want.join(used, ["folder", "name"], "left")
-        # the k-th number not used: k plus the used ones at or below it
-        want = want.withColumn("k", F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k"), lambda k, u: F.when(u <= k, k + 1).otherwise(k)))
-    s, x = stem(F.col("name")), suffix(F.col("name"))
-    return want.select("path", "folder", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(s, F.lit("_"), F.col("k").cast("string"), x)).alias("target"))
+        held = taken.select("folder", "name", family.alias("family")).join(want.select(*by).distinct(), by, "left_semi")
+        mixed = mixed.unionByName(held.select(*by)).distinct()
+    easy = want.join(mixed, by, "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1)
+    numbered = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem(F.col("name")), F.lit("_"), F.col("k").cast("string"), suffix(F.col("name"))))
+    hard = want.join(mixed, by, "left_semi").select("folder", "family", "path", "name", stem(F.col("name")).alias("stem"), suffix(F.col("name")).alias("suffix"))
+    if held is not None:  # what is taken comes first, and gets no target
+        hard = hard.unionByName(held.select("folder", "family", F.lit(None).cast("string").alias("path"), "name", F.lit("").alias("stem"), F.lit("").alias("suffix")))
+    dealt = hard.repartition("folder", "family").sortWithinPartitions("folder", "family", F.col("path").asc_nulls_first())
+    chosen = dealt.mapInPandas(_first_free, "path string, folder string, target string")
+    return easy.select("path", "folder", numbered.alias("target")).unionByName(chosen)
+
+
+def _first_free(batches):
+    import pandas as pd
+
+    last, used, tried = None, set(), {}
+    for b in batches:
+        out = []
+        for folder, family, path, name, stem_, suffix_ in zip(b["folder"], b["family"], b["path"], b["name"], b["stem"], b["suffix"]):
+            if (folder, family) != last:
+                last, used, tried = (folder, family), set(), {}
+            if pd.isna(path):
+                used.add(name)
+                continue
+            target, k = name, tried.get(name, 0)
+            while target in used:
+                k += 1
+                target = f"{stem_}_{k}{suffix_}"
+            tried[name] = k
+            used.add(target)
+            out.append((path, folder, target))
+        yield pd.DataFrame(out, columns=["path", "folder", "target"])
+
+
+def duplicate_moves(files: DataFrame, root: str, taken: DataFrame | None = None) -> DataFrame:
+    """path, outcome and destination of files(path, exists) chosen to be set aside as duplicates: Duplicates/<top folder>/<first free name>
+    for those that may move, null and the reason in outcome for others. taken: folder and name of what lies in Duplicates."""
+    sorted_ = move_class(files, root)
+    ok = sorted_.where("outcome = 'move'")
+    inside = F.expr(f"substring(path, {len(root) + 2})")
+    wish = ok.select("path", F.concat(F.lit(f"{root}/Duplicates/"), F.element_at(F.split(inside, "/"), 1)).alias("folder"), base_name(F.col("path")).alias("name"))
+    plan = move_plan(wish, taken).select("path", F.concat("folder", F.lit("/"), "target").alias("destination"))
+    return sorted_.select("path", "outcome").join(plan, "path", "left")
+
+
+def structural_events(moves: DataFrame, root: str) -> DataFrame:
+    """The structural log rows that moves(path, destination) leave: both labels are the file's top folder."""
+    top = F.element_at(F.split(F.expr(f"substring(path, {len(root) + 2})"), "/"), 1)
+    kind = [F.lit(x).alias(n) for n, x in (("event_type", "structural"), ("action", "duplicates_move"), ("source_action", "duplicates_move"))]
+    return moves.where("destination is not null").select(*kind, top.alias("from_label"), top.alias("to_label"), F.col("path").alias("source_path"), F.col("destination").alias("final_path"))
 
 
 def move_class(moves: DataFrame, root: str) -> DataFrame:
     """Adds outcome to rows(path, exists): why a file is not moved, or `move`."""
     p = F.col("path")
     inside = F.expr(f"substring(path, {len(root) + 2})")
-    top = F.element_at(F.split(inside, "/"), 1)
-    return moves.withColumn("outcome", F.when(F.coalesce(F.trim(p), F.lit("")) == "", "invalid_path").when(~F.col("exists"), "missing").when(~F.lower(suffix(p)).isin(*EXTENSIONS), "not_media").when(~p.startswith(root + "/"), "outside_root").when(top.isin(*RESERVED), "excluded_folder").otherwise("move"))
+    return moves.withColumn("outcome", F.when(F.coalesce(F.trim(p), F.lit("")) == "", "invalid_path").when(~F.col("exists"), "missing").when(~F.lower(suffix(p)).isin(*EXTENSIONS), "not_media").when(~p.startswith(root + "/"), "outside_root").when(F.arrays_overlap(F.split(inside, "/"), F.array(*map(F.lit, RESERVED))), "excluded_folder").otherwise("move"))

@@ -81,41 +81,58 @@ def log_totals(log: DataFrame, absent: str = ABSENT) -> DataFrame:
     )
 
 
-def prototypes(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(label, prototype, sample_count, confidence_sum): events folded in order of (ts, event_id).
+def prototypes(log: DataFrame, start: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
+    """(label, prototype, sample_count, confidence_sum): events folded in order of (ts, event_id) into what `start` has.
 
-    Each step is ((prototype * n) + e) / (n + 1), normalised again, so order matters. One label's events
-    meet in one task, in order, a batch at a time: only the running prototype is held.
+    start: label, prototype, sample_count, confidence_sum; a stored prototype that is degenerate or counts nothing is
+    started anew by the first event. Each step is ((prototype * n) + e) / (n + 1), normalised again, so order matters.
+    One label's events meet in one task, in order, a batch at a time: only the running prototype is held. Labels of
+    `start` without an event stay as they are. A second vector of the log is folded by another call that names it.
     """
-    order = log.select("label", "ts", "event_id", F.col("confidence").cast("double").alias("confidence"), vec.doubles(F.col("embedding")).alias("e")).where("e is not null")
-    laid = order.repartition("label").sortWithinPartitions("label", "ts", "event_id")
+    kinds = dict(log.dtypes)
+    order = log.select("label", "ts", "event_id", F.col("confidence").cast("double").alias("confidence"), vec.doubles(F.col(vector)).alias("e"), F.lit(None).cast("bigint").alias("n")).where("e is not null")
+    if start is not None:  # comes before a label's events
+        order = order.unionByName(start.select("label", F.lit(None).cast(kinds["ts"]).alias("ts"), F.lit(None).cast(kinds["event_id"]).alias("event_id"), F.col("confidence_sum").cast("double").alias("confidence"), vec.doubles(F.col("prototype")).alias("e"), F.coalesce("sample_count", F.lit(0)).cast("bigint").alias("n")))
+    laid = order.repartition("label").sortWithinPartitions("label", F.col("n").isNull(), "ts", "event_id").select("label", "e", "confidence", "n")
     return laid.mapInPandas(_fold, "label string, prototype array<double>, sample_count bigint, confidence_sum double")
 
 
+def folded(proto, n: int, e):
+    """The prototype after one more vector, and whether it went on from what was there."""
+    import numpy as np
+
+    size = 0.0 if proto is None or not n else np.linalg.norm(proto)
+    if size <= 1e-8:
+        return e, False
+    merged = (proto / size * n + e) / (n + 1)
+    size = np.linalg.norm(merged)
+    return (merged / size if size > 1e-8 else e), True
+
+
 def _fold(batches):
     import numpy as np
     import pandas as pd
 
     label, proto, n, conf = None, None, 0, 0.0
+    row = lambda: (label, None if proto is None else proto.tolist(), n, conf)
+    fresh, columns = True, ["label", "prototype", "sample_count", "confidence_sum"]
     for b in batches:
         rows = []
-        for name, e, c in zip(b["label"], b["e"], b["confidence"]):
-            if name != label:
-                if n:
-                    rows.append((label, proto.tolist(), n, conf))
-                label, proto, n, conf = name, None, 0, 0.0
-            e = np.asarray(e, float)
-            if not n:
-                proto, n, conf = e, 1, float(c)
+        for name, e, c, stored in zip(b["label"], b["e"], b["confidence"], b["n"]):
+            if fresh or name != label:
+                if not fresh:
+                    rows.append(row())
+                label, proto, n, conf, fresh = name, None, 0, 0.0, False
+            e, c = None if e is None else np.asarray(e, float), 0.0 if pd.isna(c) else float(c)
+            if not pd.isna(stored):
+                proto, n, conf = e, int(stored), c
                 continue
-            old = proto / np.linalg.norm(proto)
-            merged = (old * n + e) / (n + 1)
-            size = np.linalg.norm(merged)
-            proto, n, conf = (merged / size if size > 1e-8 else e), n + 1, conf + float(c)
+            proto, on = folded(proto, n, e)
+            n, conf = (n + 1, conf + c) if on else (1, c)
         if rows:
-            yield pd.DataFrame(rows, columns=["label", "prototype", "sample_count", "confidence_sum"])
-    if n:
-        yield pd.DataFrame([(label, proto.tolist(), n, conf)], columns=["label", "prototype", "sample_count", "confidence_sum"])
+            yield pd.DataFrame(rows, columns=columns)
+    if not fresh:
+        yield pd.DataFrame([row()], columns=columns)
 
 
 def review_feedback(items: DataFrame, absent: str = ABSENT) -> DataFrame:
@@ -133,13 +150,31 @@ def newest(rows: DataFrame, key: str, at: str, tie: str, keep: int | None = None
 
 
 def merged(identities: DataFrame, into: Column) -> DataFrame:
-    """Identities united under `into`: counts add, prototypes add by weight, locks or, times take the latest."""
-    n = F.greatest("sample_count", F.lit(0))
-    weighed = identities.withColumn("_into", into).withColumn("_v", F.transform(vec.normalized(F.col("prototype")), lambda x: x * n))
-    size = weighed.select("_into", F.posexplode("_v").alias("pos", "x")).groupBy("_into", "pos").agg(F.sum("x").alias("x"))
-    proto = size.groupBy("_into").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("prototype"))
-    rest = weighed.groupBy("_into").agg(F.sum(n).alias("sample_count"), F.sum("confidence_sum").alias("confidence_sum"), F.sum("pos_count").alias("pos_count"), F.sum("neg_count").alias("neg_count"), F.bool_or("locked").alias("locked"), F.max("last_used").alias("last_used"), F.max("last_corrected_at").alias("last_corrected_at"))
-    return rest.join(proto, "_into", "left").withColumn("prototype", vec.normalized(F.col("prototype"))).withColumnRenamed("_into", "label")
+    """Identities united under `into`: counts add, prototypes add by weight, locks or, times take the latest.
+
+    Where no usable prototype has a count, the prototype of the identity that is named `into` stays, else that of
+    the last label. Columns of a second vector (aux_prototype, aux_sample_count, aux_last_used), locked_at and
+    thresholds (the target's own first, else the first label's that has one) are merged where they are there.
+    """
+    has, agg = set(identities.columns), F.coalesce
+    own = label_key(F.col("label")) == label_key(F.col("_into"))
+    at = identities.withColumn("_into", into)
+    times = [c for c in ("last_used", "last_corrected_at", "aux_last_used") if c in has]
+    first = F.struct((~own).alias("far"), F.col("label"))
+    rest = [F.sum(F.greatest(agg(F.col(c), F.lit(0)), F.lit(0))).alias(c) for c in ("sample_count", "aux_sample_count") if c in has]
+    rest += [F.sum(c).alias(c) for c in ("confidence_sum", "pos_count", "neg_count") if c in has] + [F.max(c).alias(c) for c in times]
+    rest += [F.bool_or("locked").alias("locked")] if "locked" in has else []
+    rest += [F.min_by(c, F.when(F.col(c).isNotNull(), first)).alias(c) for c in ("same_threshold", "aux_threshold", "locked_at") if c in has]
+    out = at.groupBy("_into").agg(*rest)
+    for vector, count in (("prototype", "sample_count"), ("aux_prototype", "aux_sample_count")):
+        if vector not in has:
+            continue
+        unit = at.select("_into", "label", own.alias("own"), F.greatest(agg(F.col(count), F.lit(0)), F.lit(0)).alias("n"), vec.normalized(F.col(vector)).alias("u")).where("u is not null")
+        size = unit.where("n > 0").select("_into", F.posexplode(F.transform("u", lambda x: x * F.col("n"))).alias("pos", "x")).groupBy("_into", "pos").agg(F.sum("x").alias("x"))
+        proto = size.groupBy("_into").agg(vec.normalized(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])).alias("_sum"))
+        spare = unit.groupBy("_into").agg(F.max_by("u", F.struct("own", "label")).alias("_spare"))
+        out = out.join(proto, "_into", "left").join(spare, "_into", "left").withColumn(vector, F.coalesce("_sum", "_spare")).drop("_sum", "_spare")
+    return out.withColumnRenamed("_into", "label")
 
 
 def relabel(rows: DataFrame, columns: list[str], source: str, target: str) -> DataFrame:

@@ -106,10 +106,10 @@ def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("entity_id").alias("user_id"), "attempted", "frames", "winner", *(F.round(c, 4).alias(c) for c in ("vote", "consistency", "confidence")))
 
 
-@query("WITH r AS (SELECT user_id, count(*) FILTER (c > 0) AS votes, count(*) FILTER (c >= 0.65 AND t) AS pv, sum(c) FILTER (c > 0 AND t) AS p, coalesce(sum(c) FILTER (c > 0 AND NOT t), 0) AS n FROM (SELECT user_id, (event_id % 10) / 10.0::DOUBLE AS c, event_id % 3 <> 0 AS t FROM events WHERE event_id % 40 < 2) GROUP BY user_id) SELECT user_id, votes, votes >= 2 AND pv >= 2 AND coalesce(p, 0) + n > 0 AND coalesce(p, 0) / (coalesce(p, 0) + n) >= 0.62 AND coalesce(p, 0) > n AS verified FROM r WHERE votes > 0")
+@query("WITH r AS (SELECT user_id, count(*) FILTER (c > 0) AS votes, count(*) FILTER (c >= 0.65 AND t) AS pv, sum(c) FILTER (c > 0 AND t) AS p, coalesce(sum(c) FILTER (c > 0 AND NOT t), 0) AS n FROM (SELECT user_id, (event_id % 10) / 10.0::DOUBLE AS c, event_id % 3 <> 0 AS t FROM events) GROUP BY user_id) SELECT user_id, votes, votes >= 2 AND pv >= 2 AND coalesce(p, 0) + n > 0 AND coalesce(p, 0) / (coalesce(p, 0) + n) >= 0.62 AND coalesce(p, 0) > n AS verified FROM r WHERE votes > 0")
 def confirmation_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
-    r = table(spark, sf_dir, "events").where(i % 40 < 2).select(F.col("user_id").alias("entity_id"), F.when(i % 3 == 0, "other").otherwise("target").alias("label"), ((i % 10) / 10.0).alias("label_conf"))
+    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.when(i % 3 == 0, "other").otherwise("target").alias("label"), ((i % 10) / 10.0).alias("label_conf"))
     return votes.verified(r).select(F.col("entity_id").alias("user_id"), "votes", "verified")
 
 

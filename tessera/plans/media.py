@@ -83,6 +83,26 @@ def move_plan_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.move_plan(p.select(F.col("url").alias("path"), F.concat(F.lit("f"), F.col("page_id") % 3).alias("folder"), F.concat(F.lit("page"), F.col("page_id") % 20, F.lit(".mp4")).alias("name")))
 
 
+@query("WITH t AS (SELECT 'f' || (page_id % 3) AS folder, 'page' || (page_id % 20) AS base FROM pages) SELECT folder, base, count(*) AS files, count(*) AS targets FROM t GROUP BY folder, base")
+def move_plan_distinct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wishes that end in _1 or _2 beside those that do not: as many targets as files."""
+    n, tail = F.col("page_id"), F.when(F.col("page_id") % 4 == 1, "_1").when(F.col("page_id") % 4 == 2, "_2").otherwise("")
+    p = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.concat(F.lit("f"), n % 3).alias("folder"), F.concat(F.lit("page"), n % 20, tail, F.lit(".mp4")).alias("name"))
+    plan = media.move_plan(p).withColumn("base", F.regexp_extract("target", r"^(page\d+)", 1))
+    return plan.groupBy("folder", "base").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("target").alias("targets"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, 'lib/' || CASE WHEN p_partkey % 7 = 0 THEN 'Uncertain' ELSE 'c' || (p_partkey % 11) END || '/' || (p_partkey // 11) || '/clip' || (p_partkey % 9) || CASE WHEN p_partkey % 5 = 0 THEN '.txt' ELSE '.mp4' END AS path, p_partkey % 13 <> 0 AS there FROM part),
+c AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN k % 5 = 0 THEN 'not_media' WHEN k % 7 = 0 THEN 'excluded_folder' ELSE 'move' END AS outcome FROM t),
+m AS (SELECT path, k, row_number() OVER (PARTITION BY k % 11, k % 9 ORDER BY path) - 1 AS n FROM c WHERE outcome = 'move')
+SELECT c.path, outcome, 'lib/Duplicates/c' || (c.k % 11) || '/clip' || (c.k % 9) || CASE WHEN n = 0 THEN '' ELSE '_' || n END || '.mp4' AS destination FROM c LEFT JOIN m USING (path)""")
+def duplicates_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    top = F.when(k % 7 == 0, "Uncertain").otherwise(F.concat(F.lit("c"), k % 11))
+    path = F.concat(F.lit("lib/"), top, F.lit("/"), F.floor(k / 11), F.lit("/clip"), k % 9, F.when(k % 5 == 0, ".txt").otherwise(".mp4"))
+    return media.duplicate_moves(table(spark, sf_dir, "part").select(path.alias("path"), (k % 13 != 0).alias("exists")), "lib")
+
+
 @query("WITH t AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'Uncertain/' WHEN 1 THEN 'Entity_1/' WHEN 2 THEN 'Absent/' WHEN 3 THEN 'a/b/' ELSE '' END || replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' ELSE '.mkv' END AS path FROM part) SELECT path FROM t WHERE k % 5 IN (3, 4) AND k % 3 <> 1")
 def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")

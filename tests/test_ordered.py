@@ -140,3 +140,41 @@ def test_exact_pair_statistics_do_not_list_pairs(spark):
     t = spark.createDataFrame([("g", i, x.tolist()) for i, x in enumerate(v)], "label string, vec_id bigint, embedding array<double>")
     r = memory.intra_distances(t, "label", "vec_id", "embedding").first()
     assert r["pairs"] == len(d) and r["mean_distance"] == pytest.approx(np.mean(d)) and r["sd_distance"] == pytest.approx(np.std(d))
+
+
+def test_move_plan_takes_the_first_free_name(spark):
+    """Against a loop over paths; wishes and taken names that end in _n."""
+    rng = np.random.default_rng(6)
+    names = ["a.mp4", "a_1.mp4", "a_1_1.mp4", "a_2.mp4", "b.mp4", "b", "c_7.mp4", "c.mp4"]
+    wishes = [(f"p{k:03d}", f"f{k % 3}", str(rng.choice(names))) for k in range(90)] + [(f"z{k}", "g", "only.mkv") for k in range(5)]
+    taken = [("f0", "a_3.mp4"), ("f1", "c.mp4"), ("f1", "c_1.mp4"), ("f2", "zzz.mp4")]
+    for held in ([], taken):
+        used, want = set(held), {}
+        for path, folder, name in sorted(wishes):
+            stem, dot, end = name.partition(".")
+            target, k = name, 0
+            while (folder, target) in used:
+                k += 1
+                target = f"{stem}_{k}{dot}{end}"
+            used.add((folder, target))
+            want[path] = target
+        m = spark.createDataFrame(wishes, "path string, folder string, name string")
+        got = media.move_plan(m, spark.createDataFrame(held, "folder string, name string") if held else None)
+        assert {r["path"]: r["target"] for r in got.collect()} == want
+
+
+def test_fold_goes_on_from_stored_prototypes(spark):
+    kind = "label string, ts bigint, event_id bigint, confidence double, embedding array<double>"
+    log = spark.createDataFrame([("a", 1, 1, 0.5, [0.0, 1.0]), ("b", 1, 2, 0.5, [0.0, 0.0]), ("b", 2, 3, 0.25, [0.0, 2.0]), ("c", 1, 4, 0.5, [1.0, 0.0])], kind)
+    start = spark.createDataFrame([("a", [2.0, 0.0], 1, 0.75), ("c", [0.0, 1.0], 0, 9.0), ("d", [0.0, 1.0], 4, 2.0)], "label string, prototype array<double>, sample_count bigint, confidence_sum double")
+    got = {r["label"]: (np.round(r["prototype"], 4).tolist(), r["sample_count"], r["confidence_sum"]) for r in memory.prototypes(log, start).collect()}
+    assert got == {"a": ([0.7071, 0.7071], 2, 1.25), "b": ([0.0, 2.0], 1, 0.25), "c": ([1.0, 0.0], 1, 0.5), "d": ([0.0, 1.0], 4, 2.0)}
+
+
+def test_merge_keeps_what_has_no_count(spark):
+    kind = "label string, prototype array<double>, sample_count bigint, confidence_sum double, pos_count bigint, neg_count bigint, locked boolean, last_used string, last_corrected_at string, aux_prototype array<double>, aux_sample_count bigint, aux_last_used string, aux_threshold double, locked_at string"
+    a = ("a", [0.0, 3.0], 0, 0.0, 1, 0, False, "2", None, [1.0, 0.0], 3, "5", 0.4, None)
+    b = ("b", None, 0, 0.0, 0, 2, True, "1", "3", [0.0, 1.0], 1, "4", None, "t")
+    r = memory.merged(spark.createDataFrame([a, b], kind), F.lit("b")).first()
+    assert r["prototype"] == [0.0, 1.0] and r["sample_count"] == 0 and r["locked"] and r["locked_at"] == "t" and r["aux_threshold"] == 0.4
+    assert np.allclose(r["aux_prototype"], np.array([3, 1]) / np.sqrt(10)) and r["aux_sample_count"] == 4 and r["aux_last_used"] == "5" and r["last_used"] == "2"
