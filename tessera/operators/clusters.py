@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vec
 from tessera.operators.graph import components
 from tessera.operators.similarity import similar_pairs
-from tessera.session import carried, cut
+from tessera.session import carried, cut, dealt_by
 
 carried(__name__)
 
@@ -130,7 +130,7 @@ def stabilized(track: DataFrame, same: float = 0.72, repeat: float = 0.985, shif
     first row of an entity starts it; a later one is kept if it is like the running mean, has not moved too far and
     is no repeat of the last kept one. State runs in order of seq, a batch at a time.
     """
-    laid = track.select("entity_id", "seq", vec.doubles(F.col("embedding")).alias("e"), "x1", "y1", "x2", "y2", "extent", "label", "label_conf").where("e is not null").repartition("entity_id").sortWithinPartitions("entity_id", "seq")
+    laid = dealt_by(track.select("entity_id", "seq", vec.doubles(F.col("embedding")).alias("e"), "x1", "y1", "x2", "y2", "extent", "label", "label_conf").where("e is not null"), "entity_id").sortWithinPartitions("entity_id", "seq")
 
     def run(batches):
         unit = lambda v: v / (np.linalg.norm(v) + vec.EPS)

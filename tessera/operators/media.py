@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vec
 from tessera.functions.scalar import base_name, folder_name, stem, suffix, title
 from tessera.operators.graph import components
-from tessera.session import carried, cut
+from tessera.session import carried, cut, dealt_by
 
 carried(__name__)
 
@@ -152,7 +152,7 @@ def move_plan(moves: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     hard = want.join(mixed, by, "left_semi").select("folder", "family", "path", "name", stem(F.col("name")).alias("stem"), suffix(F.col("name")).alias("suffix"))
     if held is not None:  # what is taken comes first, and gets no target
         hard = hard.unionByName(held.select("folder", "family", F.lit(None).cast("string").alias("path"), "name", F.lit("").alias("stem"), F.lit("").alias("suffix")))
-    dealt = hard.repartition("folder", "family").sortWithinPartitions("folder", "family", F.col("path").asc_nulls_first())
+    dealt = dealt_by(hard, "folder", "family").sortWithinPartitions("folder", "family", F.col("path").asc_nulls_first())
     chosen = dealt.mapInPandas(_first_free, "path string, folder string, target string")
     return easy.select("path", "folder", numbered.alias("target")).unionByName(chosen)
 

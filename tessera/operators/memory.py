@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.functions.scalar import adaptive_threshold, clamp, consistency, half_up, label_key, trend
-from tessera.session import carried
+from tessera.session import carried, dealt_by
 
 carried(__name__)
 
@@ -93,7 +93,7 @@ def prototypes(log: DataFrame, start: DataFrame | None = None, vector: str = "em
     order = log.select("label", "ts", "event_id", F.col("confidence").cast("double").alias("confidence"), vec.doubles(F.col(vector)).alias("e"), F.lit(None).cast("bigint").alias("n")).where("e is not null")
     if start is not None:  # comes before a label's events
         order = order.unionByName(start.select("label", F.lit(None).cast(kinds["ts"]).alias("ts"), F.lit(None).cast(kinds["event_id"]).alias("event_id"), F.col("confidence_sum").cast("double").alias("confidence"), vec.doubles(F.col("prototype")).alias("e"), F.coalesce("sample_count", F.lit(0)).cast("bigint").alias("n")))
-    laid = order.repartition("label").sortWithinPartitions("label", F.col("n").isNull(), "ts", "event_id").select("label", "e", "confidence", "n")
+    laid = dealt_by(order, "label").sortWithinPartitions("label", F.col("n").isNull(), "ts", "event_id").select("label", "e", "confidence", "n")
     return laid.mapInPandas(_fold, "label string, prototype array<double>, sample_count bigint, confidence_sum double")
 
 

@@ -103,3 +103,12 @@ def looked_up(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int) -
     heavy = F.broadcast(facts.where(F.col(n) * HEAVY > total))
     light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(facts.where(F.col(n) * HEAVY <= total), key)
     return rows.join(heavy, key).unionByName(light)
+
+
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """df with equal keys in one partition, for functions that go through whole partitions.
+
+    A repartition by the very columns that a join below has dealt by may be planned away, and that join's sides then be
+    read without a shuffle once one proves small, which scatters the keys. A hash of the keys is an expression of its own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
