@@ -19,12 +19,14 @@ def shards(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str | Column], name: str = "rank", few: bool = True) -> DataFrame:
     """Adds a gapless 0-based rank within `group` by `order`, and `<name>_n`, the group's rows.
 
     No group meets in one task: rows are range-partitioned on group and order together, counted per
     partition, and each partition's ranks start where the partitions before it end. Only one row per
-    partition and group passes through the running sum.
+    partition and group passes through the running sum. `few` says that the groups are bounded by a parameter, so
+    that those rows are bounded by the layout and may be broadcast; otherwise they meet the rows in a shuffled hash
+    join on partition and group, which no key can crowd beyond a partition's own rows.
     """
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     laid = df.repartitionByRange(shards(df), *keys).sortWithinPartitions(*keys)
@@ -37,9 +39,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str | Column], name: str
     by = Window.partitionBy(*(g or [F.lit(0)])).orderBy("_part")
     all_ = Window.partitionBy(*(g or [F.lit(0)]))
     starts = counts.select("_part", *g, "_first", (F.sum("_n").over(by) - F.col("_n")).alias("_before"), F.sum("_n").over(all_).alias(f"{name}_n"))
-    # one row per partition and group: bounded by the layout, not by the rows
     return (
-        rows.join(F.broadcast(starts), ["_part", *g])
+        rows.join(F.broadcast(starts) if few else starts.hint("shuffle_hash"), ["_part", *g])
         .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
         .drop("_at", "_part", "_first", "_before", *g)
     )

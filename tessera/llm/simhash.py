@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.alike import similar
-from tessera.llm.common import carried, cut, saved, shards
+from tessera.llm.common import carried, cut, saved
 from tessera.operators.graph import components
-from tessera.session import Shelf, looked_up, small
+from tessera.session import Shelf, dealt_by, looked_up, small
 
 carried(__name__)
 
@@ -180,7 +180,7 @@ def links(nodes: DataFrame) -> DataFrame:
                 crowded = None
         # every crowded room holds over BUCKET rows, so their list is shorter than the rows by that factor
         easy = here if crowded is None else here.join(crowded, ["room", "key"], "left_anti")
-        e = easy.repartition(shards(nodes), "room", "key").sortWithinPartitions("room", "key").mapInArrow(treed, "u bigint, v bigint")
+        e = dealt_by(easy, "room", "key").sortWithinPartitions("room", "key").mapInArrow(treed, "u bigint, v bigint")
         found = e if found is None else found.unionByName(e)
         if crowded is None:
             return found.distinct()

@@ -59,3 +59,48 @@ def test_turn_that_speaks_and_calls(spark):
     rows = chat.linked(*chat.exchanges(df), chat.REPLY).collect()
     assert {(r["call_id"], r["status"]) for r in rows if r["conv_id"] == 9} == {("turn-0", "linked"), ("a", "open")}
     assert any(json.loads(r["json"]).get("content") == "a moment" for r in rows)
+
+
+def talk(spark, turns):
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    return sorted(chat.linked(*chat.messages(df), SCHEMA).collect(), key=lambda r: (r["conv_id"] or -1, r["position"]))
+
+
+def called(*calls):
+    return json.dumps({"tool_calls": [{"id": i, "name": "find", "arguments": a} for i, a in calls]})
+
+
+def test_what_depends_on_nothing_stays_in_order(spark):
+    told = lambda i: json.dumps({"tool_call_id": i, "content": "ok"})
+    turns = [(1, 0, "assistant", called(("a", {"q": "x"}))), (1, 1, "tool", told("a")), (1, 2, "assistant", called(("b", {"q": {"$ref": "a"}}))), (1, 3, "tool", told("b")), (1, 4, "user", "thanks"), (1, 5, "assistant", "bye")]
+    assert [r["turn"] for r in talk(spark, turns)] == [0, 1, 2, 3, 4, 5]
+    # a call that stands before what it refers to comes behind that one's result
+    turns = [(1, 0, "assistant", called(("b", {"q": {"$ref": "a"}}))), (1, 1, "assistant", called(("a", {"q": "x"}))), (1, 2, "tool", told("a")), (1, 3, "tool", told("b")), (1, 4, "user", "thanks")]
+    assert [(r["kind"], r["call_id"]) for r in talk(spark, turns)] == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b"), ("message", None)]
+
+
+def test_odd_calls(spark, docs):
+    """Null identifiers, repeated rows, very long texts and columns of clashing names."""
+    none = json.dumps({"tool_calls": [{"name": "find", "arguments": {"q": "x"}}, {"name": "find", "arguments": {"q": "y"}}]})
+    turns = [(1, 0, "assistant", none), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "1"})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": "2"}))]
+    turns += [(2, 0, "user", "word " * 60000)] * 2 + [(2, None, "user", "no turn"), (None, 3, None, None)]
+    kind = "conv_id bigint, turn bigint, role string, text string, uid int, status string, at double, level int, position string, json string, kind string, tie int"
+    df = spark.createDataFrame([(*t, 1, "x", 0.5, 3, "y", "{}", "z", 4) for t in turns], kind)
+    rows = chat.linked(*chat.messages(df), SCHEMA).collect()
+    assert sorted(r["status"] for r in rows if r["kind"] == "call") == ["open", "open"]
+    assert [r["status"] for r in sorted((r for r in rows if r["kind"] == "result"), key=lambda r: r["turn"])] == ["orphan", "duplicate"]
+    two = sorted((r for r in rows if r["conv_id"] == 2), key=lambda r: r["position"])
+    assert [r["turn"] for r in two] == [None, 0, 0] and [r["position"] for r in two] == [0, 1, 2] and len(two[1]["json"]) > 300000
+    assert len(rows) == 8
+
+
+def test_links_are_hash_joined_and_nothing_grows_in_a_broadcast(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = chat.linked(*chat.exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.REPLY)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
