@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, ranked, saved
 
-#: How schemas' types show in a variant. A reference is {"$ref": call_id}.
-KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "reference": ("OBJECT<$ref: STRING>",)}
+#: How schemas' types show in a variant; one more type is `reference`, {"$ref": call_id}.
+KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",)}
+REFERENCE = r'^\{"\$ref":"[^"\\]+"\}$'
 #: The tool that plain exchanges stand for: a user's turn asks, the assistant's next turn replies.
 REPLY = {"reply": {"prompt": ("string", True), "max_chars": ("integer", False), "after": ("reference", False)}}
 #: Prompts of more characters than this state max_chars as text, which is no integer.
@@ -58,7 +59,7 @@ def problem(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[
         for param, (kind, required) in sorted(params.items()):
             raw = F.try_variant_get(v, f"$['{param}']", "variant")
             there = raw.isNotNull() & (F.schema_of_variant(raw) != "VOID")
-            fits = F.regexp_extract(F.schema_of_variant(raw), r"^(OBJECT.*|[A-Z]+)", 1).isin(*KINDS[kind])
+            fits = F.to_json(raw).rlike(REFERENCE) if kind == "reference" else F.regexp_extract(F.schema_of_variant(raw), "^[A-Z]+", 0).isin(*KINDS[kind])
             if required:
                 found = found.when(mine & ~there, F.lit(f"{param} is missing"))
             found = found.when(mine & there & ~fits, F.lit(f"{param} is not of type {kind}"))
