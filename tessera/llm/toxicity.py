@@ -1,8 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's terms are its distinct words, lower-cased and freed of punctuation, and each word's openings of
-4, 5 and 6 letters; each is hashed with CRC-32. Of the terms in a bounded labelled sample the most
-telling by log-odds z-score become features. The machine scores
+4, 5 and 6 letters; each is hashed with CRC-32. Features are the terms of a bounded labelled sample that
+tell most by log-odds z-score, alone (select_terms()) or together with another term (select_pairs(): two
+terms that say nothing alone reach the machine too). With all terms as features the machine learns the sample by
+heart: on sf0.1 it then finds 10 to 50 % of the held-out toxic texts, against 89 %. The machine scores
     y = b + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]
 so two terms together can weigh more than the sum of each alone. x_i is 1 if the text holds term i.
 
@@ -32,6 +34,8 @@ carried(__name__)
 SAMPLE = 1800
 #: Terms kept as features, and the width of their interaction vectors.
 TERMS, WIDTH = 512, 4
+#: Terms of middling frequency whose pairs are weighed, pairs kept at most, and the z-score that makes up for so many trials.
+PAIRED, PAIRS, PAIR_Z = 2000, 128, 6.5
 #: Words remembered by a worker; beyond this the memory starts anew.
 REMEMBERED = 300_000
 
@@ -102,6 +106,32 @@ def select_terms(rows: list[tuple[int, np.ndarray]], most: int, z_least: float =
     return terms[best[z[best] >= z_least]].astype(np.int64)
 
 
+def select_pairs(rows: list[tuple[int, np.ndarray]], most: int = PAIRS, z_least: float = PAIR_Z) -> np.ndarray:
+    """Terms of the pairs whose standing together differs most between classes (two shares' z-score), and by two deviations more than either alone does.
+
+    Pairs are counted for the `PAIRED` most frequent terms that stand in ten texts at least and in no more than half of them.
+    """
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    terms, df = np.unique(np.concatenate([t for _, t in rows]), return_counts=True)
+    some = np.flatnonzero((df >= 10) & (df <= len(rows) / 2))
+    some = np.sort(some[np.lexsort((terms[some], -df[some]))[:PAIRED]])
+    if len(some) < 2:
+        return np.zeros(0, np.int64)
+    x = np.zeros((len(rows), len(some)), np.float32)
+    for k, (_, got) in enumerate(rows):
+        place = np.minimum(np.searchsorted(terms[some], got), len(some) - 1)
+        x[k, place[terms[some][place] == got]] = 1
+    y = np.array([y for y, _ in rows])
+    a, b = (x[y == k].T @ x[y == k] for k in (1, 0))  # the diagonal has each term alone
+    share = (a + b + 1) / (len(rows) + 2)
+    z = np.abs(a / n[1] - b / n[0]) / np.sqrt(share * (1 - share) * (1 / n[1] + 1 / n[0]))
+    alone = np.diag(z)
+    more = np.triu((z >= z_least) & (z >= np.maximum(alone[:, None], alone[None, :]) + 2), 1)
+    i, j = np.nonzero(more)
+    best = np.lexsort((j, i, -z[i, j]))[:most]
+    return np.unique(terms[some][np.concatenate([i[best], j[best]])]).astype(np.int64)
+
+
 def train(rows: list[tuple[int, set[int] | np.ndarray]], toxic_share: float, most: int = TERMS, width: int = WIDTH, rounds: int = 160, rate: float = 0.06, l2: float = 2e-4, seed: int = 11) -> FactorizationMachine:
     """Full-batch Adam on the class-weighted logistic loss."""
     n = [sum(y == k for y, _ in rows) for k in (0, 1)]
@@ -111,6 +141,8 @@ def train(rows: list[tuple[int, set[int] | np.ndarray]], toxic_share: float, mos
     terms = select_terms(rows, most)
     if not len(terms):  # few labels: any term that separates them
         terms = select_terms(rows, most, 1.5)
+    together = select_pairs(rows)
+    terms = np.concatenate([terms, together[~np.isin(together, terms)]])
     order = np.argsort(terms)
     x = np.zeros((len(rows), len(terms)), np.float32)
     for k, (_, got) in enumerate(rows):
