@@ -12,8 +12,8 @@ however long the document, where banded signatures would (a 30-word item in a 20
 Jaccard similarity near 0.001). Documents meet sketches in a hash join; pairs that share a sketch hash are
 candidates and are verified by exact containment over the shingles' words.
 
-Sketches, and the ids of candidate documents, are broadcast only if their counted rows stay within
-`BROADCAST_ROWS`; else both sides shuffle.
+Sketches, the items' shingles and the ids of candidate documents are each broadcast only if their own counted
+rows stay within `BROADCAST_ROWS`; else both sides shuffle.
 
 Edge cases: a null or empty text holds nothing and an item without words is in no document; rows of one
 doc_id (or item_id) are one document (item), their shingles united; rows with a null id are left out of
@@ -61,16 +61,15 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     most = (F.pow(F.lit(2.0), F.col("part") + 1) - 1).cast("int")
     sketch = sized.withColumn("m", least_sketch(most)).withColumn("place", F.row_number().over(by.orderBy("h", "shingle"))).where("place <= m")
     sketch = cut(sketch.select("h", "item_id").distinct())
-    small = sketch.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda df: df)
+    hint = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
     text = docs.select("doc_id", "text")
-    pairs = _shingles(text, "doc_id").select("doc_id", _hash().alias("h")).join(hint(sketch), "h").select("doc_id", "item_id").distinct()
+    pairs = _shingles(text, "doc_id").select("doc_id", _hash().alias("h")).join(hint(sketch, sketch.count()), "h").select("doc_id", "item_id").distinct()
     pairs = cut(pairs)
     some = pairs.select("doc_id").distinct()
     near = text.join(F.broadcast(some) if pairs.count() <= BROADCAST_ROWS else some, "doc_id", "left_semi")
     held = _shingles(near, "doc_id").select("doc_id", _hash().alias("h"), _spelt().alias("shingle"), F.col("w4").isNull().alias("short"))
     whole = sized.select("item_id", "h", "shingle", "short", "k")
-    met = held.join(hint(whole), ["h", "shingle", "short"]).select("doc_id", "item_id", "k", "h", "shingle").distinct()
+    met = held.join(hint(whole, own.count()), ["h", "shingle", "short"]).select("doc_id", "item_id", "k", "h", "shingle").distinct()
     met = met.join(pairs, ["doc_id", "item_id"], "left_semi")
     out = met.groupBy("doc_id", "item_id").agg(F.max("k").cast("long").alias("item_shingles"), F.count(F.lit(1)).alias("shared"))
     return out.where("shared * 5 >= item_shingles * 4").withColumn("containment", F.col("shared") / F.col("item_shingles"))
