@@ -4,6 +4,9 @@ A line is a text's part between newlines, trimmed of spaces; blank lines are nev
 spread, the number of distinct sites (`source`) whose documents hold it, reaches `min_sites` is boilerplate:
 it stays at its first place (the smallest doc_id, there the first position) and goes everywhere else.
 
+A line is known by 128 bits of hashes. Documents that hold boilerplate are few as a rule: what they lose is broadcast to
+the scan of texts if its counted rows stay within `BROADCAST_ROWS`, else texts shuffle.
+
 Spread is estimated by a HyperLogLog sketch of sites per line hash, built on each partition and merged by
 aggregation. A line seen fewer than `min_sites` times cannot reach the threshold and needs no sketch.
 Estimates beyond `MARGIN` of the threshold decide (over ten standard errors at 2^12 registers); lines
@@ -32,10 +35,15 @@ def _lines(text):
     return F.split(text, "\n")
 
 
+def _key(line):
+    """128 bits that stand for a line: among 10^11 lines two that differ share them with a chance below 10^-16."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """h, site and doc_id of every line that is not blank, one row for each document and line."""
     at = docs.select("doc_id", "source", F.explode(_lines(F.col("text"))).alias("line")).select("doc_id", F.xxhash64("source").alias("site"), F.col("source").isNotNull().alias("sited"), F.trim("line").alias("line"))
-    return at.where("line <> ''").select(F.xxhash64("line").alias("h"), F.when(F.col("sited"), F.col("site")).alias("site"), "doc_id")
+    return at.where("line <> ''").select(_key(F.col("line")).alias("h"), F.when(F.col("sited"), F.col("site")).alias("site"), "doc_id")
 
 
 def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -63,10 +71,10 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     hit = rows.join(_small(bad), "h").select("doc_id", "h", F.col("doc_id").eqNullSafe(F.col("first")).alias("own")).distinct()
     hit = hit.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("own"), F.col("h"))).alias("_ld_drop"), F.collect_list(F.when(F.col("own"), F.col("h"))).alias("_ld_once"))
     hit = cut(hit.withColumnRenamed("doc_id", "_ld_id"))
-    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
+    joined = docs.join(_small(hit), F.col("doc_id").eqNullSafe(F.col("_ld_id")), "left")
     cols = [c for c in docs.columns if c != "text"]
     split = joined.select(*cols, "text", "_ld_drop", "_ld_once", _lines(F.col("text")).alias("_ld_parts"))
-    hashed = split.withColumn("_ld_hash", F.when(F.col("_ld_drop").isNotNull(), F.transform("_ld_parts", lambda x: F.xxhash64(F.trim(x)))))
+    hashed = split.withColumn("_ld_hash", F.when(F.col("_ld_drop").isNotNull(), F.transform("_ld_parts", lambda x: _key(F.trim(x)))))
     parts = F.filter(
         F.arrays_zip(F.col("_ld_parts").alias("line"), F.col("_ld_hash").alias("h"), F.sequence(F.lit(1), F.size("_ld_parts")).alias("at")),
         lambda x: ~F.array_contains(F.col("_ld_drop"), x["h"]) & (~F.array_contains(F.col("_ld_once"), x["h"]) | (F.array_position("_ld_hash", x["h"]) == x["at"])),
