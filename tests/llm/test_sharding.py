@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from pyspark.sql import functions as F
@@ -30,6 +31,39 @@ def test_query(spark, sf_dir):
     assert all(r["size"] == len(texts[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]]) for r in rows)
     order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in rows)
+    by_hand = sorted(rows, key=lambda r: (r["hilbert"], r["text_crc32"], r["doc_id"], r["size"]))
+    assert [r["shard"] for r in by_hand] == [k * 16 // len(rows) for k in range(len(rows))]
+
+
+def test_cells_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+    top = 1 << hilbert.BITS
+
+    def by_value(values):
+        distinct = sorted(set(values))
+        return {v: k * (top - 1) // len(distinct) + 1 for k, v in enumerate(distinct)}
+
+    steps = {d["doc_id"]: math.floor(math.log2(len(d["text"].encode()) + 1) * hilbert.STEPS) for d in docs}
+    ordered = sorted(steps.values())
+    size = {s: ordered.index(s) * top // len(ordered) for s in set(ordered)}
+    source, lang = by_value([d["source"] for d in docs]), by_value([d["lang"] for d in docs])
+    want = {d["doc_id"]: (source[d["source"]], lang[d["lang"]], size[steps[d["doc_id"]]]) for d in docs}
+    got = {r["doc_id"]: r["hilbert"] for r in QUERIES["op4_sharding"](spark, sf_dir).collect()}
+    pairs = {(want[k], got[k]) for k in want}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_filters_skip_shards(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = hilbert.placed(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    for column in ("source", "lang"):
+        ends = {}
+        for r in at:
+            a, b = ends.get(r["shard"], (r[column], r[column]))
+            ends[r["shard"]] = min(a, r[column]), max(b, r[column])
+        values = {r[column] for r in at}
+        read = [sum(a <= v <= b for a, b in ends.values()) for v in values]
+        assert sum(read) / len(read) <= 8, column
 
 
 def test_odd_rows(odd, empty):
