@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -61,3 +63,27 @@ def resolve(profile: str | None, explicit: dict | None = None, reprocess: bool =
     if bad := set(explicit or ()) - known:
         raise ValueError(f"unknown settings: {sorted(bad)}")
     return replace(Config(), **({"profile": key} | PROFILES[key] | (TUNED if tuned else {}) | (explicit or {})))
+
+
+def from_settings(path: str | Path) -> Config:
+    """The settings of a JSON file: its profile, then what it sets. Values may be strings; keys that are no setting and
+    values of the wrong kind are passed over, and a file that is missing or broken gives the defaults."""
+    try:
+        given = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return Config()
+    if not isinstance(given, dict):
+        return Config()
+    explicit = {}
+    for f in fields(Config):
+        value, kind = given.get(f.name), type(f.default)
+        if f.name == "profile" or value is None:
+            continue
+        if kind is bool:
+            explicit[f.name] = bool(value)
+            continue
+        try:
+            explicit[f.name] = kind(value)
+        except (TypeError, ValueError):
+            pass
+    return resolve(str(given.get("profile") or ""), explicit)

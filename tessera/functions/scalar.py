@@ -71,6 +71,12 @@ def clock(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))
 
 
+def eta(done: Column, total: Column, per_minute: Column) -> Column:
+    """Time left at a rate, as `clock` shows it; `complete` when all is done, -- while there is no rate or no total."""
+    left = F.greatest(F.lit(0), total - done) / per_minute * 60.0
+    return F.when((total > 0) & (done >= total), "complete").when((per_minute > 1e-6) & (total > 0), clock(left)).otherwise("--")
+
+
 def frame_index(ts: Column, fps: Column, total: Column) -> Column:
     """Frame at a time, truncated and held to the frames there are."""
     rate = F.when((fps <= 0) | F.isnan(fps) | fps.isNull(), F.lit(25.0)).otherwise(fps)

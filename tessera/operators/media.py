@@ -197,6 +197,32 @@ def structural_events(moves: DataFrame, root: str) -> DataFrame:
     return moves.where("destination is not null").select(*kind, top.alias("from_label"), top.alias("to_label"), F.col("path").alias("source_path"), F.col("destination").alias("final_path"))
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """width, height, fps and frames not below 0 (null counts as 0), and duration: frames / fps where both are there, else 0."""
+    fit = {c: F.greatest(F.lit(0).cast(t), F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)).cast(t), F.lit(0).cast(t))) for c, t in (("width", "int"), ("height", "int"), ("fps", "double"), ("frames", "bigint"))}
+    return rows.withColumns(fit).withColumn("duration", F.when((F.col("fps") > 0) & (F.col("frames") > 0), F.col("frames") / F.col("fps")).otherwise(0.0))
+
+
+def scan_meta(rows: DataFrame) -> DataFrame:
+    """fps (25 where it is missing, not a number or not above 0) and duration for a scan."""
+    fps = F.when(F.col("fps").isNull() | F.isnan("fps") | (F.col("fps") <= 0), 25.0).otherwise(F.col("fps"))
+    return rows.withColumn("fps", fps).withColumn("duration", F.when(F.col("frames") > 0, F.col("frames") / F.col("fps")).otherwise(0.0))
+
+
+def folder_counts(files: DataFrame) -> DataFrame:
+    """folder and files: how many media files each identity folder holds itself; folders of the engine, hidden ones and
+    those without any are left out. files has paths relative to the root."""
+    parts = F.split("path", "/")
+    folder = F.element_at(parts, 1)
+    there = files.where((F.size(parts) == 2) & ~folder.startswith(".") & ~folder.isin(*RESERVED, *GENERATED) & F.lower(suffix(F.col("path"))).isin(*EXTENSIONS))
+    return there.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def move_counts(moves: DataFrame) -> DataFrame:
+    """outcome and files of `duplicate_moves`."""
+    return moves.groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
+
+
 def move_class(moves: DataFrame, root: str) -> DataFrame:
     """Adds outcome to rows(path, exists): why a file is not moved, or `move`."""
     p = F.col("path")

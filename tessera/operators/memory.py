@@ -143,6 +143,51 @@ def review_feedback(items: DataFrame, absent: str = ABSENT) -> DataFrame:
     return items.select(F.col("id").alias("event_id"), "ts", F.lit("positive").alias("event_type"), F.col("final_label").alias("label"), turned.alias("negative_label"))
 
 
+def cache_lookup(moves: DataFrame, cache: DataFrame) -> DataFrame:
+    """moves(source_path, final_path) with the columns of cache(path, ...): the entry of the source path, else of the
+    final path, whatever the case; found_by says which (source, final, none). Paths of the cache are unique."""
+    facts = [c for c in cache.columns if c != "path"]
+    entry = cache.select(label_key(F.col("path")).alias("_key"), F.struct(F.lit(True).alias("there"), *facts).alias("_entry"))
+    out = moves
+    for side, path in (("_s", "source_path"), ("_f", "final_path")):
+        out = out.join(entry.withColumnsRenamed({"_key": f"{side}key", "_entry": side}), label_key(F.col(path)) == F.col(f"{side}key"), "left").drop(f"{side}key")
+    by = F.when(F.col("_s").isNotNull(), "source").when(F.col("_f").isNotNull(), "final").otherwise("none")
+    return out.withColumn("_e", F.coalesce("_s", "_f")).select(*moves.columns, *(F.col(f"_e.{c}").alias(c) for c in facts), by.alias("found_by"))
+
+
+def with_labels(identities: DataFrame, labels: DataFrame) -> DataFrame:
+    """identities, and a new row (counts 0, unlocked, the rest null) for each label of labels(label) that none has, whatever
+    the case; of spellings that differ in case the least is taken, blank ones are not."""
+    fresh = labels.select(F.trim("label").alias("label")).where("label <> ''").groupBy(label_key(F.col("label")).alias("_key")).agg(F.min("label").alias("label"))
+    fresh = fresh.join(identities.select(label_key(F.col("label")).alias("_key")), "_key", "left_anti")
+    start = {"sample_count": 0, "confidence_sum": 0.0, "pos_count": 0, "neg_count": 0, "aux_sample_count": 0, "locked": False}
+    value = lambda c, t: F.col("label") if c == "label" else F.lit(start.get(c)).cast(t).alias(c)
+    return identities.unionByName(fresh.select(*(value(c, t) for c, t in identities.dtypes)))
+
+
+def set_thresholds(identities: DataFrame, stats: DataFrame) -> DataFrame:
+    """Identities after stats(label, same_threshold, mean_distance, sd_distance, pairs): thresholds held to [0, 1], pairs not
+    below 0; labels that no identity has are added. Identities without a row in stats keep what they had."""
+    news = ("same_threshold", "mean_distance", "sd_distance", "pairs")
+    kinds = dict(zip(news, ("double", "double", "double", "bigint")))
+    had = identities.select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in news if c not in identities.columns))
+    fit = stats.where(F.trim("label") != "").select(label_key(F.col("label")).alias("_key"), clamp(F.col("same_threshold")).alias("same_threshold"), "mean_distance", "sd_distance", F.greatest(F.lit(0), F.col("pairs")).alias("pairs"))
+    fit = fit.withColumnsRenamed({c: f"_{c}" for c in news})
+    out = with_labels(had, stats).withColumn("_key", label_key(F.col("label"))).join(fit, "_key", "left")
+    return out.select(*(F.coalesce(f"_{c}", c).cast(kinds[c]).alias(c) if c in news else F.col(c) for c in had.columns))
+
+
+def event_kind(event: Column, negative: Column) -> Column:
+    """positive, negative or structural: unnamed events by `negative`, unknown names count as positive."""
+    k = F.coalesce(label_key(event), F.lit(""))
+    return F.when(k == "", F.when(negative, "negative").otherwise("positive")).when(k.isin("negative", "structural"), k).otherwise("positive")
+
+
+def appended(log: DataFrame, events: DataFrame, keep: int = 7000, at: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The decision log after events, cut to the `keep` newest rows; columns that one side lacks are null."""
+    return bounded(log.unionByName(events, allowMissingColumns=True), at, tie, keep)
+
+
 def newest(rows: DataFrame, key: str, at: str, tie: str, keep: int | None = None) -> DataFrame:
     """Upsert: the newest row of each key; then the `keep` newest of all."""
     last = rows.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("row")).select("row.*")

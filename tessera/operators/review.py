@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import clamp, folder_name, half_up, label_key
+from tessera.functions.scalar import clamp, folder_name, half_up, label_key, safe_float, safe_int
 from tessera.operators.memory import ABSENT, FOUND, UNCERTAIN
 
 #: Reason tags in order of priority, and the sentence of each.
@@ -42,27 +42,29 @@ def reason_tags(rows: DataFrame, min_stable: int = 3, min_votes: int = 3) -> Dat
 
 
 def decide(rows: DataFrame, min_stable: int = 3, min_votes: int = 3, min_ratio: float = 0.62, rates: tuple[float, int, float] = (0.35, 3, 0.45)) -> DataFrame:
-    """decision_label and confidence of rows with seeds, verified, best_seed, subject_found, appearance, subject_frames,
+    """decision_label, decision_reason and confidence of rows with seeds, verified, best_seed, subject_found, appearance, subject_frames,
     consistency, subject_confidence, stable, votes, pos_score and neg_score: the first rule that holds decides."""
     c = F.col
     total = c("pos_score") + c("neg_score")
     ratio = F.when(total > 0, c("pos_score") / total).otherwise(0.0)
     weak = ~(c("subject_found") & (c("appearance") >= rates[0]) & (c("subject_frames") >= rates[1]) & (c("consistency") >= rates[2]))
     found = 0.35 + 0.20 * F.least(F.lit(1.0), c("stable") / max(1, min_stable)) + 0.25 * ratio + 0.20 * c("subject_confidence")
+    said = lambda form, value: F.format_string(form, value.cast("int"))
     chain = [
-        (c("seeds") <= 0, ABSENT, F.lit(0.9)),
-        (~c("verified"), UNCERTAIN, 0.35 + F.least(F.lit(0.25), 0.3 * c("best_seed"))),
-        (weak, UNCERTAIN, 0.35 + 0.35 * c("subject_confidence")),
-        (c("stable") < min_stable, UNCERTAIN, F.lit(0.45)),
-        (c("votes") < min_votes, UNCERTAIN, F.lit(0.45)),
-        ((total > 0) & ((ratio < min_ratio) | (c("pos_score") <= c("neg_score"))), UNCERTAIN, F.lit(0.5)),
-        (F.lit(True), FOUND, found),
+        (c("seeds") <= 0, ABSENT, F.lit(0.9), F.lit("No candidate gave evidence.")),
+        (~c("verified"), UNCERTAIN, 0.35 + F.least(F.lit(0.25), 0.3 * c("best_seed")), said("Candidates found (%d), none verified.", c("seeds"))),
+        (weak, UNCERTAIN, 0.35 + 0.35 * c("subject_confidence"), F.format_string("Candidate is weak as a subject (appearance=%.2f, consistency=%.2f, frames=%s).", c("appearance").cast("double"), c("consistency").cast("double"), c("subject_frames").cast("string"))),
+        (c("stable") < min_stable, UNCERTAIN, F.lit(0.45), said("Weak track: only %d stable embeddings.", c("stable"))),
+        (c("votes") < min_votes, UNCERTAIN, F.lit(0.45), said("Weak track: only %d votes.", c("votes"))),
+        ((total > 0) & ((ratio < min_ratio) | (c("pos_score") <= c("neg_score"))), UNCERTAIN, F.lit(0.5), F.format_string("Conflicting votes (for=%.3f, against=%.3f).", c("pos_score").cast("double"), c("neg_score").cast("double"))),
+        (F.lit(True), FOUND, found, F.lit("Consistent detection and a stable track.")),
     ]
-    label = conf = None
-    for test, name, value in chain:
+    label = conf = reason = None
+    for test, name, value, text in chain:
         label = F.when(test, name) if label is None else label.when(test, name)
         conf = F.when(test, value) if conf is None else conf.when(test, value)
-    return rows.withColumn("decision_label", label).withColumn("confidence", half_up(clamp(conf), 3))
+        reason = F.when(test, text) if reason is None else reason.when(test, text)
+    return rows.withColumn("decision_label", label).withColumn("confidence", half_up(clamp(conf), 3)).withColumn("decision_reason", reason)
 
 
 def review_route(label: Column, confidence: Column, review: bool = True, threshold: float = 0.75) -> Column:
@@ -73,14 +75,32 @@ def review_route(label: Column, confidence: Column, review: bool = True, thresho
     return F.when(k == UNCERTAIN, "queue").when((k == FOUND) & (F.coalesce(confidence, F.lit(0.0)) < threshold), "queue").when(k == ABSENT, "direct_absent").otherwise("direct")
 
 
-def destination(rows: DataFrame, review: bool = True, threshold: float = 0.75, absent_bucket: bool = False) -> DataFrame:
-    """Adds destination: review queue, uncertain, absent, or the folder (named, or of the cluster). A found row with
-    neither goes to Unclassified, or with `absent_bucket` to Absent."""
-    r = review_route(F.col("decision_label"), F.col("confidence"), review, threshold)
-    k = label_key(F.col("decision_label"))
-    named = F.coalesce(F.nullif(F.trim("folder"), F.lit("")), F.when(F.col("cluster_id").isNotNull(), F.concat(F.lit("Entity_"), F.col("cluster_id").cast("string"))))
-    out = F.when(F.col("error").isNotNull(), "Errors").when(r == "queue", "Review_Pending").when(k == UNCERTAIN, "Uncertain").when(k == ABSENT, "Absent").otherwise(F.coalesce(F.when(named.isNotNull(), folder_name(named)), F.lit("Absent" if absent_bucket else "Unclassified")))
-    return rows.withColumn("route", r).withColumn("destination", out)
+def destination(rows: DataFrame, review: bool = True, threshold: float = 0.75) -> DataFrame:
+    """Adds route and destination to rows with folder, cluster_id, error and stopped.
+
+    Files that failed or were stopped stay (null). Uncertain ones go to Uncertain, even when they are queued; other
+    queued ones to their folder below Review_Pending; found ones to their folder, without one to Absent, like absent ones.
+    """
+    c, k = F.col, label_key(F.col("decision_label"))
+    ended = c("error").isNotNull() | F.coalesce("stopped", F.lit(False))
+    wish = F.coalesce(F.nullif(F.trim("folder"), F.lit("")), F.concat(F.lit("Entity_"), c("cluster_id").cast("string")))
+    folder = F.when(wish.isNotNull(), folder_name(wish))
+    r = review_route(c("decision_label"), c("confidence"), review, threshold)
+    queue = F.concat(F.lit("Review_Pending/"), F.coalesce(folder, F.lit("Entity_Unknown")))
+    to = F.when(k == UNCERTAIN, "Uncertain").when(r == "queue", queue).when(k == FOUND, F.coalesce(folder, F.lit("Absent"))).otherwise("Absent")
+    return rows.withColumn("route", F.when(~ended, r)).withColumn("destination", F.when(~ended, to))
+
+
+#: Measures that explain a decision: counts, scores without a bound, and a share.
+COUNTS, SCORES, SHARE = ("faces", "low_area", "stable", "votes", "seeds"), ("pos_score", "neg_score"), "best_seed"
+
+
+def metrics(rows: DataFrame) -> DataFrame:
+    """The measures made fit to show: whole counts and scores (4 places) not below 0, the share (4 places) in [0, 1]; 0
+    where a column is missing, null or no number."""
+    of = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    fit = {c: F.greatest(F.lit(0), safe_int(of(c))) for c in COUNTS} | {c: half_up(F.greatest(F.lit(0.0), safe_float(of(c))), 4) for c in SCORES} | {SHARE: half_up(clamp(safe_float(of(SHARE))), 4)}
+    return rows.withColumns(fit)
 
 
 def apply_actions(items: DataFrame, actions: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -45,7 +45,8 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
         p, q = np.nonzero(s >= least)
         u, v, s = ids[i[p]], ids[j[q]], s[p, q]
         once = u < v if a == b else u != v
-        return pa.table({"u": np.minimum(u, v)[once], "v": np.maximum(u, v)[once], "similarity": s[once]})
+        low, high = (pa.array(x[once], t["id"].type) for x in (np.minimum(u, v), np.maximum(u, v)))
+        return pa.table({"u": low, "v": high, "similarity": s[once]})
 
     kind = dict(vectors.dtypes)[key]
     return sent.groupBy("a", "b").applyInArrow(pairs, f"u {kind}, v {kind}, similarity double")

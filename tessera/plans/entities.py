@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vec
 from tessera.functions.fusion import Fusion, rerank
 from tessera.functions.scalar import half_up
-from tessera.operators import clusters, memory
+from tessera.config import Config
+from tessera.operators import clusters, memory, run
 from tessera.operators.similarity import best_identity, similar_pairs
 from tessera.plans.registry import query, table
 
@@ -168,3 +169,53 @@ def stabilize_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     t = e.select(F.col("label").alias("entity_id"), F.col("vec_id").alias("seq"), "embedding", *((F.col("vec_id") * k % 50).alias(c) for k, c in ((3, "x1"), (5, "y1"), (7, "x2"), (11, "y2"))), F.lit(640).alias("extent"), F.when(F.col("vec_id") % 4 == 0, "other").otherwise("target").alias("label"), F.lit(0.8).alias("label_conf"))
     return clusters.stabilized(t, same=-0.1).select("entity_id", F.size("kept").cast("bigint").alias("kept"), "votes", half_up(F.col("pos_score"), 4).alias("pos_score"), half_up(F.col("neg_score"), 4).alias("neg_score"))
+
+
+_RUN = f"""WITH {V}, {PROTO}, s AS (SELECT e.vec_id, p.label, list_dot_product(e.v, p.v) / (e.n * p.n + 1e-8) AS s FROM e CROSS JOIN p),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s WHERE s >= {SAME}),
+i AS (SELECT vec_id AS i, 'in/' || vec_id || '/' || (vec_id % 40) || '.mp4' AS path, vec_id % 17 = 5 AS bad, vec_id % 19 = 3 AS stopped, CASE WHEN vec_id % 7 <> 0 THEN vec_id % 12 END AS cluster FROM embeddings),
+b AS (SELECT *, CASE WHEN i % 4 = 0 THEN 'target_absent' WHEN i % 5 = 0 OR i % 6 < 3 OR i % 8 < 3 THEN 'uncertain' ELSE 'target_found' END AS base,
+  CASE WHEN i % 4 = 0 THEN 0.9::DOUBLE WHEN i % 5 = 0 THEN 0.5::DOUBLE WHEN i % 6 < 3 OR i % 8 < 3 THEN 0.45::DOUBLE ELSE floor((0.8::DOUBLE + 0.2::DOUBLE * (i % 10) / 10.0::DOUBLE) * 1000 + 0.5) / 1000 END AS conf FROM i),
+j AS (SELECT b.*, r.label, r.s, greatest({SUGGEST}, least({AUTO}, 0.44 - 0.01 * r.label)) AS thr FROM b LEFT JOIN r ON r.vec_id = b.i AND r.k = 1 AND NOT bad AND NOT stopped),
+a AS (SELECT *, coalesce(s >= thr AND (label = 0 OR s - conf >= 0.18 OR conf < 0.65 OR base = 'target_found'), false) AS applied, coalesce(s >= {SUGGEST}, false) AS suggested FROM j),
+f AS (SELECT *, CASE WHEN bad THEN 'error' WHEN stopped THEN 'stopped' WHEN applied THEN 'target_found' WHEN suggested THEN 'uncertain' ELSE base END AS decision_label,
+  CASE WHEN bad OR stopped THEN 0 ELSE floor(least(1.0, greatest(0.0, CASE WHEN applied THEN greatest(conf, s) WHEN suggested THEN greatest({SUGGEST}, least(s, thr)) ELSE conf END)) * 1000 + 0.5) / 1000 END AS confidence FROM a),
+g AS (SELECT *, CASE WHEN bad OR stopped THEN NULL WHEN applied THEN CAST(label AS VARCHAR) WHEN cluster IS NOT NULL THEN 'Entity_' || cluster WHEN decision_label = 'uncertain' THEN 'Needs_Review' END AS folder FROM f),
+h AS (SELECT *, CASE WHEN bad OR stopped THEN NULL WHEN decision_label = 'uncertain' THEN 'queue' WHEN decision_label = 'target_found' AND confidence < 0.85 THEN 'queue' WHEN decision_label = 'target_absent' THEN 'direct_absent' ELSE 'direct' END AS route FROM g),
+t AS (SELECT *, CASE WHEN bad OR stopped THEN NULL WHEN decision_label = 'uncertain' THEN 'Uncertain' WHEN route = 'queue' THEN 'Review_Pending/' || coalesce(folder, 'Entity_Unknown') WHEN decision_label = 'target_found' THEN coalesce(folder, 'Absent') ELSE 'Absent' END AS destination FROM h),
+w AS (SELECT i, row_number() OVER (PARTITION BY destination, i % 40 ORDER BY path) - 1 AS k FROM t WHERE destination IS NOT NULL)
+"""
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over every embedding as a track, with made-up measures and clusters."""
+    i = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings")
+    path = F.concat(F.lit("in/"), i, F.lit("/"), i % 40, F.lit(".mp4"))
+    m = e.select(
+        "vec_id", path.alias("path"), "embedding", F.when(i % 17 == 5, "failed").alias("error"), (i % 19 == 3).alias("stopped"), (i % 4).alias("seeds"), F.lit(True).alias("verified"), F.lit(0.5).alias("best_seed"), F.lit(True).alias("subject_found"),
+        F.lit(1.0).alias("appearance"), F.lit(9).alias("subject_frames"), F.lit(1.0).alias("consistency"), ((i % 10) / 10.0).alias("subject_confidence"), F.when(i % 5 == 0, 9).otherwise(i % 6).alias("stable"),
+        F.when(i % 5 == 0, 9).otherwise(i % 8).alias("votes"), F.lit(4.0).alias("pos_score"), F.when(i % 5 == 0, 4.0).otherwise(0.0).alias("neg_score"), F.lit(5).alias("faces"), F.lit(1).alias("low_area"),
+    )
+    known = _identities(spark, sf_dir).withColumn("locked", F.col("label") == "0").withColumn("match_threshold", 0.44 - 0.01 * F.col("label").cast("int"))
+    cfg = Config(review=True, review_threshold=0.85, same_threshold=SAME, auto_threshold=AUTO, suggest_threshold=SUGGEST)
+    return run.sort_run(m, known, cfg, e.where(i % 7 != 0).select(path.alias("path"), (i % 12).alias("cluster_id")))
+
+
+@query(_RUN + "SELECT i AS vec_id, decision_label, confidence, applied, folder, route, destination, CASE WHEN k IS NOT NULL THEN (i % 40) || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.mp4' END AS target FROM t LEFT JOIN w USING (i)")
+def sort_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir).select("vec_id", "decision_label", "confidence", "applied", "folder", "route", "destination", "target")
+
+
+@query(_RUN + "SELECT count(*) AS scanned, count(*) FILTER (NOT bad AND NOT stopped) AS processed, count(*) FILTER (decision_label = 'target_found') AS found, count(*) FILTER (decision_label = 'uncertain') AS uncertain, count(*) FILTER (decision_label = 'target_absent') AS absent, count(*) FILTER (bad) AS errors, count(destination) AS moved, count(*) - count(destination) AS left_in_source, count(*) FILTER (route = 'queue') AS queued, count(*) FILTER (applied) AS memory_applied, count(*) FILTER (stopped) AS stopped, 0.0::DOUBLE AS seconds FROM t")
+def sort_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run.run_summary(_run(spark, sf_dir))
+
+
+@query(f"WITH {V}, d AS (SELECT a.label % 7 AS g, 1 - greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.n * b.n))) AS d FROM e a JOIN e b ON a.label % 7 = b.label % 7 AND a.vec_id < b.vec_id), g AS (SELECT g, count(*) AS pairs, avg(d) AS m, stddev_pop(d) AS s FROM d GROUP BY g), i AS (SELECT DISTINCT label FROM embeddings WHERE label < 5) SELECT coalesce('ID' || i.label, 'Id' || g.g) AS label, CASE WHEN g.g IS NULL THEN 0.5::DOUBLE ELSE round(greatest(0.35, least(0.98, 1 - (m - 2 * s))), 4) END AS same_threshold, pairs, CASE WHEN i.label IS NULL THEN 0 ELSE 3 END::INTEGER AS sample_count FROM g FULL JOIN i ON i.label = g.g")
+def thresholds_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of seven groups set on five identities; two groups make new ones."""
+    e = table(spark, sf_dir, "embeddings")
+    known = e.where("label < 5").select(F.concat(F.lit("ID"), "label").alias("label"), F.lit(0.5).alias("same_threshold"), F.lit(3).alias("sample_count")).distinct()
+    stats = memory.intra_distances(e.withColumn("g", F.concat(F.lit("Id"), F.col("label") % 7)), "g", "vec_id", "embedding").withColumnsRenamed({"g": "label", "threshold": "same_threshold"})
+    return memory.set_thresholds(known, stats).select("label", F.round("same_threshold", 4).alias("same_threshold"), "pairs", "sample_count")

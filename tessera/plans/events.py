@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar
 from tessera.functions.scalar import half_up
 from tessera.operators import memory, review, sampling, votes
 from tessera.plans.registry import query, table
@@ -40,7 +41,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(half_up(F.greatest(F.lit(0.0), F.max("t") - F.min("t")), 3).alias("elapsed_s"), F.count(F.lit(1)).alias("n"), half_up(cents / 100.0, 3).alias("total"))
 
 
-@query(f"WITH {_DEC} SELECT event_id, CASE WHEN label = 'uncertain' THEN 'queue' WHEN label = 'target_found' AND conf < 0.75 THEN 'queue' WHEN label = 'target_absent' THEN 'direct_absent' ELSE 'direct' END AS route, CASE WHEN bad THEN 'Errors' WHEN label = 'uncertain' OR (label = 'target_found' AND conf < 0.75) THEN 'Review_Pending' WHEN label = 'target_absent' THEN 'Absent' ELSE coalesce(folder, 'Entity_' || cluster_id, 'Unclassified') END AS destination FROM dec")
+@query(f"WITH {_DEC}, n AS (SELECT *, coalesce(folder, 'Entity_' || cluster_id) AS named, bad OR stopped AS ended FROM dec) SELECT event_id, CASE WHEN ended THEN NULL WHEN label = 'uncertain' THEN 'queue' WHEN label = 'target_found' AND conf < 0.75 THEN 'queue' WHEN label = 'target_absent' THEN 'direct_absent' ELSE 'direct' END AS route, CASE WHEN ended THEN NULL WHEN label = 'uncertain' THEN 'Uncertain' WHEN label = 'target_found' AND conf < 0.75 THEN 'Review_Pending/' || coalesce(named, 'Entity_Unknown') WHEN label = 'target_absent' THEN 'Absent' ELSE coalesce(named, 'Absent') END AS destination FROM n")
 def route_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.destination(_decided(spark, sf_dir)).select("event_id", "route", "destination")
 
@@ -64,6 +65,7 @@ _CASC = """WITH m AS (SELECT event_id, event_id % 4 AS seeds, event_id % 5 <> 0
 r AS (SELECT *, CASE WHEN p + n > 0 THEN p / (p + n) ELSE 0 END AS ratio FROM m),
 d AS (SELECT *, CASE WHEN seeds <= 0 THEN 1 WHEN NOT verified THEN 2 WHEN NOT (subj AND app >= 0.35 AND fr >= 3 AND cons >= 0.5) THEN 3 WHEN stable < 3 THEN 4 WHEN votes < 3 THEN 5 WHEN p + n > 0 AND (ratio < 0.62 OR p <= n) THEN 6 ELSE 7 END AS rule FROM r)
 SELECT event_id, CASE rule WHEN 1 THEN 'target_absent' WHEN 7 THEN 'target_found' ELSE 'uncertain' END AS decision_label,
+CASE rule WHEN 1 THEN 'No candidate gave evidence.' WHEN 2 THEN format('Candidates found ({}), none verified.', seeds) WHEN 3 THEN printf('Candidate is weak as a subject (appearance=%.2f, consistency=%.2f, frames=%d).', app, cons, fr) WHEN 4 THEN format('Weak track: only {} stable embeddings.', stable) WHEN 5 THEN format('Weak track: only {} votes.', votes) WHEN 6 THEN printf('Conflicting votes (for=%.3f, against=%.3f).', p, n) ELSE 'Consistent detection and a stable track.' END AS decision_reason,
 floor(least(1.0, greatest(0.0, CASE rule WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.35::DOUBLE + least(0.25::DOUBLE, 0.3::DOUBLE * best) WHEN 3 THEN 0.35::DOUBLE + 0.35::DOUBLE * sc WHEN 4 THEN 0.45::DOUBLE WHEN 5 THEN 0.45::DOUBLE WHEN 6 THEN 0.5::DOUBLE ELSE 0.35::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, stable / 3.0::DOUBLE) + 0.25::DOUBLE * ratio + 0.20::DOUBLE * sc END)) * 1000 + 0.5) / 1000 AS confidence FROM d"""
 
 
@@ -71,7 +73,7 @@ floor(least(1.0, greatest(0.0, CASE rule WHEN 1 THEN 0.9::DOUBLE WHEN 2 THEN 0.3
 def decision_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, v = F.col("event_id"), F.col("value")
     m = table(spark, sf_dir, "events").select("event_id", (i % 4).alias("seeds"), (i % 5 != 0).alias("verified"), (v / 500).alias("best_seed"), (i % 7 != 0).alias("subject_found"), ((i % 10) / 10.0).alias("appearance"), (i % 9).alias("subject_frames"), ((i % 20) / 20.0).alias("consistency"), (v / 491).alias("subject_confidence"), (i % 6).alias("stable"), (i % 8).alias("votes"), (i % 11).cast("double").alias("pos_score"), (i % 3).cast("double").alias("neg_score"))
-    return review.decide(m, rates=(0.35, 3, 0.50)).select("event_id", "decision_label", "confidence")
+    return review.decide(m, rates=(0.35, 3, 0.50)).select("event_id", "decision_label", "decision_reason", "confidence")
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,3 +231,29 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = spark.range(9).select(F.concat(F.lit("Entity_"), F.col("id").cast("string")).alias("folder"))
     done, _ = review.apply_actions(items, actions, folders)
     return done.select("id", "status", "final_label")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE greatest(0, event_id % 12 - 3) END AS faces, 0 AS low_area, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 5 END AS stable, floor(greatest(0.0, value - 100) * 10000 + 0.5) / 10000 AS pos_score, floor(least(1.0, value / 300) * 10000 + 0.5) / 10000 AS best_seed FROM events")
+def reason_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that may be negative, null or no number, scores below 0 and shares over 1."""
+    i, v = F.col("event_id"), F.col("value")
+    e = table(spark, sf_dir, "events").select("event_id", F.when(i % 9 != 0, i % 12 - 3).alias("faces"), F.when(i % 4 == 0, "none").otherwise((i % 5).cast("string")).alias("stable"), (v - 100).alias("pos_score"), (v / 300).alias("best_seed"))
+    return review.metrics(e).select("event_id", "faces", "low_area", "stable", "pos_score", "best_seed")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 50 >= 40 THEN 'complete' WHEN o_orderkey % 3 = 0 THEN '--' ELSE CASE WHEN s >= 3600 THEN format('{}h {:02d}m {:02d}s', s // 3600, (s % 3600) // 60, s % 60) WHEN s >= 60 THEN format('{}m {:02d}s', s // 60, s % 60) ELSE format('{}s', s) END END AS eta FROM (SELECT o_orderkey, CAST(trunc((40 - o_orderkey % 50) / nullif((o_orderkey % 3) / 4.0::DOUBLE, 0) * 60.0) AS INTEGER) AS s FROM orders)")
+def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.eta(k % 50, F.lit(40), (k % 3) / 4.0).alias("eta"))
+
+
+@query("""WITH m AS (SELECT event_id AS i, 'a/' || event_id AS source_path, 'b/' || event_id AS final_path FROM events WHERE event_id % 3 = 0),
+c AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'A/' ELSE 'b/' END || event_id AS path, value FROM events WHERE event_id % 5 <> 0)
+SELECT m.source_path, m.final_path, coalesce(s.value, f.value) AS value, CASE WHEN s.path IS NOT NULL THEN 'source' WHEN f.path IS NOT NULL THEN 'final' ELSE 'none' END AS found_by FROM m LEFT JOIN c s ON lower(s.path) = m.source_path LEFT JOIN c f ON lower(f.path) = m.final_path""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the events as moves (the operator's input), a fifth of which the cache does not know."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    moves = e.where(i % 3 == 0).select(F.concat(F.lit("a/"), i).alias("source_path"), F.concat(F.lit("b/"), i).alias("final_path"))
+    cache = e.where(i % 5 != 0).select(F.concat(F.when(i % 2 == 0, "A/").otherwise("b/"), i).alias("path"), "value")
+    return memory.cache_lookup(moves, cache).select("source_path", "final_path", "value", "found_by")

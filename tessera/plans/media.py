@@ -134,3 +134,21 @@ def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH t AS (SELECT url FROM pages) SELECT url, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)\\.[^.]+$', '\\1') AS stem, regexp_extract(regexp_extract(url, '([^/]*)/*$', 1), '^.+(\\.[^.]+)$', 1) AS suffix FROM t")
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", stem(F.col("url")).alias("stem"), suffix(F.col("url")).alias("suffix"))
+
+
+@query("SELECT p_partkey, greatest(0, p_size - 10) AS width, CASE WHEN p_partkey % 5 = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, p_partkey % 40 - 8) END AS fps, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 40 <= 8 OR p_partkey % 100 <= 20 THEN 0.0::DOUBLE ELSE (p_partkey % 100 - 20) / (p_partkey % 40 - 8)::DOUBLE END AS duration, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 40 <= 8 THEN 25.0::DOUBLE ELSE p_partkey % 40 - 8 END AS scan_fps, CASE WHEN p_partkey % 100 <= 20 THEN 0.0::DOUBLE ELSE (p_partkey % 100 - 20) / (CASE WHEN p_partkey % 5 = 0 OR p_partkey % 40 <= 8 THEN 25.0::DOUBLE ELSE p_partkey % 40 - 8 END) END AS scan_duration FROM part")
+def media_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, rates and counts that may be null, NaN or negative."""
+    k = F.col("p_partkey")
+    fps = F.when(k % 10 == 0, float("nan")).when(k % 5 != 0, (k % 40 - 8).cast("double"))
+    raw = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 10).alias("width"), F.lit(None).cast("int").alias("height"), fps.alias("fps"), (k % 100 - 20).alias("frames"))
+    scan = media.scan_meta(raw).select("p_partkey", F.col("fps").alias("scan_fps"), F.col("duration").alias("scan_duration"))
+    return media.described(raw).select("p_partkey", "width", "fps", "duration").join(scan, "p_partkey")
+
+
+@query("SELECT CASE p_partkey % 6 WHEN 0 THEN 'Uncertain' WHEN 1 THEN '.hidden' ELSE 'c' || (p_partkey % 6) END AS folder, count(*) AS files FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 6 NOT IN (0, 1) AND p_partkey % 7 <> 0 GROUP BY 1")
+def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    folder = F.when(k % 6 == 0, "Uncertain").when(k % 6 == 1, ".hidden").otherwise(F.concat(F.lit("c"), k % 6))
+    path = F.concat(folder, F.when(k % 7 == 0, "/sub/").otherwise("/"), k, F.when(k % 4 == 0, ".txt").otherwise(".MKV"))
+    return media.folder_counts(table(spark, sf_dir, "part").select(path.alias("path")))
