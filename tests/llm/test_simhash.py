@@ -230,4 +230,4 @@ def test_prefixes_of_alike_sets_meet():
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.r_[a, rng.integers(0, 2**63, min(more, len(a) // 4)).astype(np.uint64)])
         common = rng.permutation(b)[: int(rng.integers(0, len(b) + 1))]
-        assert len(np.intersect1d(simhash.prefix(a, 0.8, common), simhash.prefix(b, 0.8, common)))
+        assert len(np.intersect1d(alike.prefix(a, 0.8, common), alike.prefix(b, 0.8, common)))
