@@ -13,7 +13,7 @@ from tessera.session import carried, cut, dealt_by
 carried(__name__)
 
 #: File types that count as media, and folders that are not scanned or that runs make.
-EXTENSIONS = (".mp4", ".avi", ".mkv", ".mov", ".wmv", ".webm")
+EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 RESERVED = (".review_queue", "Review_Pending", "Duplicates", "Uncertain")
 GENERATED = (".model_cache", "Absent")
 #: Words that name no entity (fixed values).

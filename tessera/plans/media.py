@@ -92,22 +92,22 @@ def move_plan_distinct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("folder", "base").agg(F.count(F.lit(1)).alias("files"), F.count_distinct("target").alias("targets"))
 
 
-@query("""WITH t AS (SELECT p_partkey AS k, 'lib/' || CASE WHEN p_partkey % 7 = 0 THEN 'Uncertain' ELSE 'c' || (p_partkey % 11) END || '/' || (p_partkey // 11) || '/clip' || (p_partkey % 9) || CASE WHEN p_partkey % 5 = 0 THEN '.txt' ELSE '.mp4' END AS path, p_partkey % 13 <> 0 AS there FROM part),
+@query("""WITH t AS (SELECT p_partkey AS k, 'lib/' || CASE WHEN p_partkey % 7 = 0 THEN 'Uncertain' ELSE 'c' || (p_partkey % 11) END || '/' || (p_partkey // 11) || '/clip' || (p_partkey % 9) || CASE WHEN p_partkey % 10 = 0 THEN '.txt' WHEN p_partkey % 5 = 0 THEN '.wmv' WHEN p_partkey % 2 = 0 THEN '.m4v' ELSE '.mp4' END AS path, p_partkey % 13 <> 0 AS there FROM part),
 c AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN k % 5 = 0 THEN 'not_media' WHEN k % 7 = 0 THEN 'excluded_folder' ELSE 'move' END AS outcome FROM t),
-m AS (SELECT path, k, row_number() OVER (PARTITION BY k % 11, k % 9 ORDER BY path) - 1 AS n FROM c WHERE outcome = 'move')
-SELECT c.path, outcome, 'lib/Duplicates/c' || (c.k % 11) || '/clip' || (c.k % 9) || CASE WHEN n = 0 THEN '' ELSE '_' || n END || '.mp4' AS destination FROM c LEFT JOIN m USING (path)""")
+m AS (SELECT path, k, row_number() OVER (PARTITION BY k % 11, k % 9, k % 2 ORDER BY path) - 1 AS n FROM c WHERE outcome = 'move')
+SELECT c.path, outcome, 'lib/Duplicates/c' || (c.k % 11) || '/clip' || (c.k % 9) || CASE WHEN n = 0 THEN '' ELSE '_' || n END || CASE WHEN c.k % 2 = 0 THEN '.m4v' ELSE '.mp4' END AS destination FROM c LEFT JOIN m USING (path)""")
 def duplicates_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     top = F.when(k % 7 == 0, "Uncertain").otherwise(F.concat(F.lit("c"), k % 11))
-    path = F.concat(F.lit("lib/"), top, F.lit("/"), F.floor(k / 11), F.lit("/clip"), k % 9, F.when(k % 5 == 0, ".txt").otherwise(".mp4"))
+    path = F.concat(F.lit("lib/"), top, F.lit("/"), F.floor(k / 11), F.lit("/clip"), k % 9, F.when(k % 10 == 0, ".txt").when(k % 5 == 0, ".wmv").when(k % 2 == 0, ".m4v").otherwise(".mp4"))
     return media.duplicate_moves(table(spark, sf_dir, "part").select(path.alias("path"), (k % 13 != 0).alias("exists")), "lib")
 
 
-@query("WITH t AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'Uncertain/' WHEN 1 THEN 'Entity_1/' WHEN 2 THEN 'Absent/' WHEN 3 THEN 'a/b/' ELSE '' END || replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' ELSE '.mkv' END AS path FROM part) SELECT path FROM t WHERE k % 5 IN (3, 4) AND k % 3 <> 1")
+@query("WITH t AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'Uncertain/' WHEN 1 THEN 'Entity_1/' WHEN 2 THEN 'Absent/' WHEN 3 THEN 'a/b/' ELSE '' END || replace(p_name, ' ', '_') || CASE p_partkey % 7 WHEN 0 THEN '.MP4' WHEN 1 THEN '.txt' WHEN 2 THEN '.m4v' WHEN 3 THEN '.wmv' WHEN 4 THEN '.MOV' WHEN 5 THEN '.webm' ELSE '.mkv' END AS path FROM part) SELECT path FROM t WHERE k % 5 IN (3, 4) AND k % 7 NOT IN (1, 3)")
 def media_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     folder = F.when(k % 5 == 0, "Uncertain/").when(k % 5 == 1, "Entity_1/").when(k % 5 == 2, "Absent/").when(k % 5 == 3, "a/b/").otherwise("")
-    end = F.when(k % 3 == 0, ".MP4").when(k % 3 == 1, ".txt").otherwise(".mkv")
+    end = F.element_at(F.array(*map(F.lit, (".MP4", ".txt", ".m4v", ".wmv", ".MOV", ".webm", ".mkv"))), (k % 7 + 1).cast("int"))
     return media.listed(table(spark, sf_dir, "part").select(F.concat(folder, F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), end).alias("path"))).select("path")
 
 
@@ -146,9 +146,9 @@ def media_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(raw).select("p_partkey", "width", "fps", "duration").join(scan, "p_partkey")
 
 
-@query("SELECT CASE p_partkey % 6 WHEN 0 THEN 'Uncertain' WHEN 1 THEN '.hidden' ELSE 'c' || (p_partkey % 6) END AS folder, count(*) AS files FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 6 NOT IN (0, 1) AND p_partkey % 7 <> 0 GROUP BY 1")
+@query("SELECT CASE p_partkey % 6 WHEN 0 THEN 'Uncertain' WHEN 1 THEN '.hidden' ELSE 'c' || (p_partkey % 6) END AS folder, count(*) AS files FROM part WHERE p_partkey % 4 NOT IN (0, 1) AND p_partkey % 6 NOT IN (0, 1) AND p_partkey % 7 <> 0 GROUP BY 1")
 def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     folder = F.when(k % 6 == 0, "Uncertain").when(k % 6 == 1, ".hidden").otherwise(F.concat(F.lit("c"), k % 6))
-    path = F.concat(folder, F.when(k % 7 == 0, "/sub/").otherwise("/"), k, F.when(k % 4 == 0, ".txt").otherwise(".MKV"))
+    path = F.concat(folder, F.when(k % 7 == 0, "/sub/").otherwise("/"), k, F.when(k % 4 == 0, ".txt").when(k % 4 == 1, ".wmv").when(k % 4 == 2, ".M4V").otherwise(".MKV"))
     return media.folder_counts(table(spark, sf_dir, "part").select(path.alias("path")))
