@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arrow_tokens, chat, decontam, hilbert, lines, media, packing, quality, simhash, toxicity
-from tessera.llm.common import table
+from tessera.llm import arrow_tokens, chat, decontam, hilbert, lines, media, packing, quality, repeats, simhash, toxicity
+from tessera.llm.common import saved, table
+from tessera.session import Shelf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,10 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_tool_calls"] = chat.ORACLE
+
+
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Shelf(spark, "op12") as shelf:
+        out = repeats.cleaned(table(spark, sf_dir, "documents"), shelf)
+        return saved(out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "op12-result")
