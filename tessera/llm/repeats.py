@@ -42,7 +42,7 @@ carried(__name__)
 
 WINDOW = 50
 #: Words whose runs a task holds at once, fewer than 2^24; a longer document is a unit of its own.
-UNIT = 2_000_000
+UNIT = 1_000_000
 #: Characters of text for each partition of the index at most.
 PART = 1 << 25
 #: Words whose hashes a task remembers.
@@ -224,10 +224,10 @@ def by_document(found: DataFrame) -> DataFrame:
         some = np.flatnonzero(np.diff(cuts))
         lists = pa.array([narrow(at[cuts[d] : cuts[d + 1]] - starts[d]) for d in some], pa.binary())
         pick = pa.array(some)
-        return pa.table({"doc_id": one["ids"].values.take(pick), "mark": one["marks"].values.take(pick), "at": lists, "n": pa.array(np.diff(cuts)[some], pa.int64())})
+        return pa.table({"doc_id": one["ids"].values.take(pick), "mark": one["marks"].values.take(pick), "at": lists})
 
-    out = found.groupBy("unit").applyInArrow(run, f"doc_id {kind}, mark bigint, at binary, n bigint")
-    return out.groupBy("doc_id", "mark").agg(F.first("at").alias("at"), F.first("n").alias("n"))
+    out = found.groupBy("unit").applyInArrow(run, f"doc_id {kind}, mark bigint, at binary")
+    return out.groupBy("doc_id", "mark").agg(F.first("at").alias("at"))
 
 
 def spans_of(hashes: np.ndarray, at: np.ndarray, block: int, window: int) -> tuple[np.ndarray, ...]:
@@ -288,7 +288,7 @@ def repeated(docs: DataFrame, shelf: Shelf, window: int = WINDOW) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("mark"))
     parts = max(shards(docs), -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART))
     hits = shelf.put(by_document(active(rolled(rows, block, window, parts), parts)))
-    spans = shelf.put(spanned(rows.join(light(hits, "n"), ["doc_id", "mark"]), block, window))
+    spans = shelf.put(spanned(rows.join(hits, ["doc_id", "mark"]), block, window))
     total = spans.count()
     whole = spans.select("doc_id", "mark", "begin", "n", F.struct("h", "k").alias("kind"))
     kinds = kinds_of(whole, shelf)
