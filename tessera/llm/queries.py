@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arrow_tokens, chat, decontam, hilbert, lines, media, packing, quality, repeats, simhash, toxicity
+from tessera.llm import align, arrow_tokens, chat, decontam, hilbert, lines, media, packing, quality, repeats, runs, simhash, toxicity
 from tessera.llm.common import saved, table
 from tessera.session import Shelf
 
@@ -100,3 +100,37 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Shelf(spark, "op12") as shelf:
         out = repeats.cleaned(table(spark, sf_dir, "documents"), shelf)
         return saved(out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "op12-result")
+
+
+def with_runs(docs: DataFrame) -> DataFrame:
+    """The documents that op11 looks at: by its contract every tenth repeats a stretch of its own words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    d = docs.select("doc_id", "text", words.alias("_w"), F.floor(h / 10).alias("_g")).withColumn("_n", F.size("_w")).withColumn("_a", (F.col("_g") % F.col("_n")).cast("int"))
+    d = d.withColumn("_p", (F.floor((F.col("_n") - F.col("_a")) / (F.col("_g") % 8 + 3)) + 1).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    return d.select("doc_id", F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.detected(with_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_b"), F.array_join(lines_, "\n").alias("_lines"), "text")
+    b = lambda c: F.col(f"_b.{c}")
+    return out.select(
+        "doc_id", "n_runs", (-b("start")).alias("start"), b("length").alias("length"), (-b("period")).alias("period"), F.floor(b("length") * 1000 / -b("period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("_lines", F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = align.tokenizers()
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = align.aligned(table(spark, sf_dir, "documents"), a, b).withColumn("groups_sha256", digest).drop("groups")
+    with Shelf(spark, "op13") as shelf:
+        out = align.scored(rows, align.vocabulary(b), shelf)
+        return saved(out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "op13-result")
