@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ from tessera.session import Shelf, looked_up
 carried(__name__)
 
 #: Characters of a batch and pieces that a task remembers.
-BATCH, PIECES = 8_000_000, 250_000
+BATCH, PIECES = 8_000_000, 500_000
+#: Pieces that are encoded as one text.
+JOINED = 2000
 #: Distinct pairs whose counts may be broadcast; counted first.
 PAIRS = 2_000_000
 #: Rows of partial counts at which a task sums them up.
@@ -49,6 +52,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space and the white space after it, then all up to the next space that follows no white space.
 PIECE = re.compile(f" [{SPACE}]*(?:[^{SPACE}]+(?:[{SPACE.replace(' ', '')}][{SPACE}]*[^{SPACE}]+)*(?:[{SPACE}]+\\Z)?)?")
 
+#: Whether a character is white space.
+WHITE = re.compile(f"[{SPACE}]").match
+
 
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on."""
@@ -76,8 +82,9 @@ class Pair:
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if any(re.search("[^▁]▁", p) for p in pieces) or any(re.search(b"[^\t-\r ] ", self.a_bytes[i]) for i in vocabulary.values()):
+        if any(re.search("[^▁]▁", p) for p in pieces) or any(re.search(f"[^{SPACE}] ", x.decode("utf-8", "replace")) for x in self.a_bytes):
             raise ValueError("a tokenizer joins a space with what stands before it")
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.forget()
 
@@ -86,44 +93,77 @@ class Pair:
         self.n_a, self.n_b, self.n_groups, self.groups = [], [], [], []
         self.db.execute("CREATE OR REPLACE TABLE pairs (piece INTEGER, pair BIGINT, times INTEGER)")
 
-    def _side(self, table: str, ids: list[list[int]], size: np.ndarray, first: int) -> np.ndarray:
-        """Registers a side's token intervals; returns how many tokens each piece has."""
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-        end = np.cumsum(size[flat])
-        begin = end - size[flat]
-        base = np.repeat(begin[np.minimum(np.cumsum(n) - n, max(len(flat) - 1, 0))], n) if len(flat) else begin
-        self.db.register(table, pa.table({"piece": np.repeat(np.arange(first, first + len(n)), n), "k": np.arange(len(flat)), "id": flat, "s": begin - base, "e": end - base}))
-        return n
+    def _each(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B, and how many each piece has, of pieces one by one; none of those that a tokenizer does not give back."""
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        for k, p in enumerate(pieces):
+            if not self._back(a[k], b[k], p.encode()):
+                a[k], b[k] = [], []
+        return [(np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)) for ids in (a, b)]
+
+    def _back(self, a: list[int], b: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+
+    def _joined(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As _each(), of pieces that end in no white space, encoded as one text: each begins with a space, where both tokenizers part."""
+        text = "".join(pieces)
+        ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        if not self._back(*ids, text.encode()):
+            return self._each(pieces)
+        ends, out = np.cumsum([len(p.encode()) for p in pieces]), []
+        for x, size in zip(ids, (self.a_size, self.b_size)):
+            x = np.asarray(x, np.int64)
+            at = np.cumsum(size[x])
+            cuts = np.searchsorted(at, ends)
+            if (at[np.minimum(cuts, len(at) - 1)] != ends).any():
+                return self._each(pieces)
+            out.append((x, np.diff(cuts, prepend=-1)))
+        return out
+
+    def _side(self, table: str, ids: np.ndarray, n: np.ndarray, size: np.ndarray, first: int) -> None:
+        """Registers a side's token intervals within their pieces."""
+        end = np.cumsum(size[ids])
+        begin = end - size[ids]
+        base = np.repeat(begin[np.minimum(np.cumsum(n) - n, max(len(ids) - 1, 0))], n) if len(ids) else begin
+        self.db.register(table, pa.table({"piece": np.repeat(np.arange(first, first + len(n)), n), "k": np.arange(len(ids)), "id": ids, "s": begin - base, "e": end - base}))
 
     def learn(self, fresh: list[str]) -> None:
         """Aligns pieces that are not known yet."""
-        a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in fresh], num_threads=1)
-        for k, p in enumerate(fresh):
-            raw = p.encode("utf-8", "surrogatepass")
-            if b"".join([self.a_bytes[i] for i in a[k]]) != raw or b"".join([self.b_bytes[i] for i in b[k]]) != raw:
-                a[k], b[k] = [], []
-        first = len(self.known)
-        n_a = self._side("a", a, np.array([len(x) for x in self.a_bytes]), first)
-        n_b = self._side("b", b, np.array([len(x) for x in self.b_bytes]), first)
+        plain, lone = [p for p in fresh if not WHITE(p[-1])], [p for p in fresh if WHITE(p[-1])]
+        fresh, first = plain + lone, len(self.known)
+        parts = [self._joined(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)] + ([self._each(lone)] if lone else [])
+        (a, n_a), (b, n_b) = ((np.concatenate([p[side][0] for p in parts]), np.concatenate([p[side][1] for p in parts])) for side in (0, 1))
+        self._side("a", a, n_a, self.a_size, first)
+        self._side("b", b, n_b, self.b_size, first)
         run = self.db.execute
         run("CREATE OR REPLACE TEMP TABLE cuts AS SELECT piece, e AS hi, lag(e, 1, 0) OVER w AS lo, CAST(sum(1) OVER w AS INTEGER) AS g FROM (SELECT a.piece, a.e FROM a JOIN b ON a.piece = b.piece AND a.e = b.e) WINDOW w AS (PARTITION BY piece ORDER BY e)")
         run("CREATE OR REPLACE TEMP TABLE ag AS SELECT a.piece, a.k, a.id, c.g FROM a ASOF JOIN cuts c ON a.piece = c.piece AND a.e <= c.hi")
         run("CREATE OR REPLACE TEMP TABLE bg AS SELECT b.piece, b.k, b.id, c.g FROM b JOIN cuts c ON b.piece = c.piece AND b.s >= c.lo AND b.e <= c.hi")
         run(f"INSERT INTO pairs SELECT piece, ag.id * {len(self.b_bytes)} + bg.id, count(*) FROM ag JOIN bg USING (piece, g) GROUP BY ALL")
-        texts = run("""SELECT piece, count(*) AS n, string_agg(x || '|' || y, ';' ORDER BY g) AS t
-            FROM (SELECT piece, g, string_agg(id, ',' ORDER BY k) AS x FROM ag GROUP BY piece, g) JOIN (SELECT piece, g, string_agg(id, ',' ORDER BY k) AS y FROM bg GROUP BY piece, g) USING (piece, g) GROUP BY piece""").to_arrow_table()
-        n_groups, groups = [0] * len(fresh), [""] * len(fresh)
-        for piece, n, t in zip(*(texts.column(c).to_pylist() for c in ("piece", "n", "t"))):
-            n_groups[piece - first], groups[piece - first] = n, t
+        t = run("SELECT piece, g, side, id FROM (SELECT piece, g, 0 AS side, k, id FROM ag UNION ALL SELECT piece, g, 1, k, id FROM bg) ORDER BY piece, g, side, k").fetchnumpy()
+        n_groups, groups = self._texts(t["piece"] - first, t["g"], t["side"], t["id"], len(fresh))
         self.n_a += n_a.tolist()
         self.n_b += n_b.tolist()
-        self.n_groups += n_groups
+        self.n_groups += n_groups.tolist()
         self.groups += groups
         for p in fresh:
             self.known[p] = len(self.known)
 
+    def _texts(self, piece: np.ndarray, g: np.ndarray, side: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, list[str]]:
+        """Groups of each of n pieces, and their ids written out, from tokens in order."""
+        if not len(piece):
+            return np.zeros(n, np.int64), [""] * n
+        new_piece = np.r_[True, piece[1:] != piece[:-1]]
+        new_group = new_piece | np.r_[True, g[1:] != g[:-1]]
+        new_side = np.r_[True, side[1:] != side[:-1]]
+        before = pa.array(["", ";", "|", ","]).take(pa.array(np.select([new_piece, new_group, new_side], [0, 1, 2], 3)))
+        said = pc.binary_join_element_wise(before, pc.cast(pa.array(ids), pa.string()), "")
+        _, offsets, data = said.buffers()
+        offsets, data = np.frombuffer(offsets, np.int32)[: len(said) + 1], data.to_pybytes().decode()
+        cuts = offsets[np.searchsorted(piece, np.arange(n + 1))].tolist()
+        return np.bincount(piece[new_group], minlength=n), [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def pieces(self, texts: list[str | None]) -> list[list[int]]:
         """Numbers of the pieces of each text; none where a tokenizer does not give the text back."""
         if len(self.known) > PIECES:
@@ -154,7 +194,7 @@ class Pair:
         self.db.execute("CREATE OR REPLACE TABLE partial (pair BIGINT, n BIGINT)")
 
     def counted(self) -> pa.Table:
-        return self.db.execute("SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM partial GROUP BY pair").to_arrow_table()
+        return self.db.sql("SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM partial GROUP BY pair").to_arrow_table()
 
 
 def both(a_path: str, b_path: str) -> Pair:
