@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.operators.graph import components
+from tessera.operators.moments import top_share, vector_sums
 from tessera.operators.similarity import similar_pairs
-from tessera.session import carried, cut, dealt_by
+from tessera.session import Shelf, carried, cut, dealt_by, small
 
 carried(__name__)
 
 #: Similar centroid pairs up to which the greedy pass runs on the driver.
 DRIVER_PAIRS = 100_000
+#: Mean vectors that may be broadcast; counted first.
+MEANS = 20_000
 
 
 def dbscan(vectors: DataFrame, eps: float = 0.35, min_samples: int = 1, pool_noise: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -46,20 +49,16 @@ def dbscan(vectors: DataFrame, eps: float = 0.35, min_samples: int = 1, pool_noi
 def robust_centroids(members: DataFrame, group: str = "root", key: str = "vec_id", vector: str = "embedding", share: float = 0.8) -> DataFrame:
     """group, n and centroid: the mean of the `share` of members nearest the mean direction, normalised.
 
-    Sums by dimension combine before the shuffle; the cut at ceil(share n) is by rank within the group.
+    Sums combine within tasks before the shuffle; the cut at ceil(share n), ties by key, is found by counts of bins of similarity
+    (`moments.top_share`), so a cluster of all rows is spread over all tasks.
     """
-    from pyspark.sql import Window
-
-    u = members.select(F.col(group).alias("g"), F.col(key).alias("k"), vec.normalized(F.col(vector)).alias("x")).where("x is not null")
-
-    def mean_of(rows: DataFrame) -> DataFrame:
-        s = rows.select("g", F.posexplode("x").alias("i", "a")).groupBy("g", "i").agg(F.avg("a").alias("a"))
-        return s.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda p: p["a"]).alias("m"))
-
-    near = u.join(mean_of(u), "g").withColumn("s", vec.cosine(F.col("x"), F.col("m")))
-    n = u.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    kept = near.join(n, "g").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "k"))).where(F.col("r") <= F.ceil(F.col("n") * share))
-    return mean_of(kept.select("g", "x")).join(n, "g").select(F.col("g").alias(group), "n", vec.normalized(F.col("m")).alias("centroid"))
+    with Shelf(members.sparkSession, "centroids") as shelf:
+        u = shelf.put(members.select(F.col(group).alias("g"), F.col(key).alias("k"), vec.normalized(F.col(vector)).alias("x")).where("x is not null"))
+        mean = shelf.put(vector_sums(u, "g", "x").select("g", F.col("n").alias("size"), F.transform("total", lambda a: a / F.col("n")).alias("m")))
+        near = u.join(small(mean.drop("size"), MEANS), "g").select("g", "k", "x", F.coalesce(vec.cosine(F.col("x"), F.col("m")), F.lit(0.0)).alias("s"))
+        kept = top_share(near, "g", "s", "k", share, shelf)
+        out = vector_sums(kept, "g", "x").join(mean.select("g", "size"), "g")
+        return cut(out.select(F.col("g").alias(group), F.col("size").alias("n"), vec.normalized(F.transform("total", lambda a: a / F.col("n"))).alias("centroid")))
 
 
 def greedy_merge(centroids: DataFrame, threshold: float = 0.78, group: str = "root") -> DataFrame:

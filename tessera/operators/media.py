@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vec
 from tessera.functions.scalar import base_name, folder_name, stem, suffix, title
 from tessera.operators.graph import components
-from tessera.session import carried, cut, dealt_by
+from tessera.session import carried, cut, dealt_by, small
 
 carried(__name__)
 
@@ -16,6 +16,8 @@ carried(__name__)
 EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 RESERVED = (".review_queue", "Review_Pending", "Duplicates", "Uncertain")
 GENERATED = (".model_cache", "Absent")
+#: Rows of a key of near_pairs() that meet in one part.
+HOT = 1024
 #: Words that name no entity (fixed values).
 STOPWORDS = ("video", "vid", "clip", "movie", "scene", "part", "take", "edit", "final", "draft", "new", "copy", "female", "girl", "girls", "woman", "women", "face", "faces", "sorted")
 
@@ -64,10 +66,48 @@ def banded_pairs(media: DataFrame, width: float = 2.0, exact: bool = False) -> D
     return x.join(y, "bucket").where((F.col("a") < F.col("b")) & duration_close(F.col("da"), F.col("db"))).drop("bucket")
 
 
+def _bit_blocks(most: float) -> tuple[int, int]:
+    """(blocks, bits of a block) that a 64-bit hash is cut into so that of two within `most` bits one block differs in a bit at
+    most; no block where that would tell too little."""
+    n = int(most) // 2 + 1
+    bits = min(32, 64 // n)
+    return (n, bits) if bits and n * (bits + 1) * 2 <= 1 << bits else (0, 0)
+
+
 def near_pairs(media: DataFrame, most: float = 8.0, exact: bool = False) -> DataFrame:
-    """(u, v, distance) of banded pairs at a mean Hamming distance of `most` or less."""
-    d = vec.hamming(F.col("ha"), F.col("hb"))
-    return banded_pairs(media, exact=exact).select(F.col("a").alias("u"), F.col("b").alias("v"), d.alias("distance")).where(F.col("distance") <= most)
+    """(u, v, distance) of rows of close duration at a mean Hamming distance of `most` or less.
+
+    If the mean over the frames that two rows share is within `most`, some frame is, and of that frame's blocks of bits one
+    differs in a single bit at most. So rows meet on duration bucket, frame number, block and its bits, where one side
+    gives the bits and the other also all that differ in one; for a `most` so large that blocks tell nothing, on the bucket alone. Keys
+    of over `HOT` rows are dealt to parts of that many, each met by all of the other side, so a common clip length or frame is shared out
+    between tasks. Buckets are those of `banded_pairs`. No pair leaves a task unless it is within `most`.
+    """
+    m = media.select("path", "duration", "phash").where("duration > 0 AND size(phash) > 0")
+    if exact:
+        bucket = F.floor(F.log(F.greatest(F.col("duration"), F.lit(12.5))) / F.log(F.lit(1.0 / 0.92)))
+        around = F.sequence(bucket - 1, bucket + 1)
+    else:
+        bucket = F.floor(F.col("duration") / 2.0)
+        around = F.sequence(bucket - 2, bucket + 2)
+    blocks, bits = _bit_blocks(most)
+
+    def keys(flips: bool) -> Column:
+        if not blocks:
+            return F.array(F.lit(0).cast("bigint"))
+        mask = (1 << bits) - 1
+        block = lambda h, k: F.shiftrightunsigned(h, bits * k).bitwiseAND(F.lit(mask))
+        one = lambda h, at, k, x: F.xxhash64(at, F.lit(k), block(h, k).bitwiseXOR(F.lit(x)))
+        return F.flatten(F.transform("phash", lambda h, at: F.array(*(one(h, at, k, x) for k in range(blocks) for x in ([0, *(1 << b for b in range(bits))] if flips else [0])))))
+
+    left = m.select("path", "duration", "phash", F.explode(around).alias("bucket"), keys(False).alias("_k")).select("path", "duration", "phash", "bucket", F.explode("_k").alias("key"))
+    right = m.select("path", "duration", "phash", bucket.alias("bucket"), keys(True).alias("_k")).select("path", "duration", "phash", "bucket", F.explode("_k").alias("key"))
+    often = cut(left.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket", "key", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    x = left.join(small(often), ["bucket", "key"], "left").select(F.col("path").alias("a"), F.col("duration").alias("da"), F.col("phash").alias("ha"), "bucket", "key", F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1))).alias("part"))
+    y = right.join(small(often), ["bucket", "key"], "left").select(F.col("path").alias("b"), F.col("duration").alias("db"), F.col("phash").alias("hb"), "bucket", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    met = x.join(y, ["bucket", "key", "part"]).where((F.col("a") < F.col("b")) & duration_close(F.col("da"), F.col("db")))
+    found = met.select(F.col("a").alias("u"), F.col("b").alias("v"), vec.hamming(F.col("ha"), F.col("hb")).alias("distance")).where(F.col("distance") <= most)
+    return found.groupBy("u", "v").agg(F.min("distance").alias("distance"))
 
 
 def near_groups(media: DataFrame, most: float = 8.0, exact: bool = False) -> DataFrame:

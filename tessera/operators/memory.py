@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.functions.scalar import adaptive_threshold, clamp, consistency, half_up, label_key, trend
+from tessera.operators.moments import vector_sums
 from tessera.session import carried, dealt_by
 
 carried(__name__)
@@ -244,15 +245,12 @@ def moved_paths(rows: DataFrame, moves: DataFrame, old_prefix: str, new_prefix:
 def intra_distances(pairs_of: DataFrame, group: str, key: str, vector: str, low: float = 0.35, high: float = 0.98, fallback: float = 0.72) -> DataFrame:
     """group, rows, pairs, mean and population deviation of cosine distances inside each group, and 1 - (mean - 2 sd) held to [low, high].
 
-    The pairs of a group are summed without listing them: with unit rows, sum of dots over pairs comes from
-    the vector sum, and of squared dots from the matrix of second moments; both combine before the shuffle.
+    The pairs of a group are summed without listing them: with unit rows, the sum of dots over pairs comes from
+    the vector sum, and of squared dots from the matrix of second moments; tasks add both up before the shuffle.
     """
-    u = pairs_of.select(F.col(group).alias("g"), F.col(key).alias("k"), vec.normalized(F.col(vector)).alias("x")).where("x is not null")
-    parts = u.select("g", F.posexplode("x").alias("i", "a"), "x")
-    first = parts.groupBy("g", "i").agg(F.sum("a").alias("s")).groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("sum2"))
-    second = parts.select("g", "i", "a", F.posexplode("x").alias("j", "b")).groupBy("g", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("m")).groupBy("g").agg(F.sum(F.col("m") * F.col("m")).alias("sq2"))
-    n = u.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    c = n.join(first, "g").join(second, "g").withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
+    u = pairs_of.select(F.col(group).alias("g"), vec.normalized(F.col(vector)).alias("x"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, a: s + a * a)
+    c = vector_sums(u, "g", "x", second=True).select("g", "n", square("total").alias("sum2"), square("moment").alias("sq2")).withColumn("pairs", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint"))
     dots, squares = (F.col("sum2") - F.col("n")) / 2, (F.col("sq2") - F.col("n")) / 2
     mean = F.when(F.col("pairs") > 0, dots / F.col("pairs"))
     dev = F.when(F.col("pairs") > 0, F.sqrt(F.greatest(F.lit(0.0), squares / F.col("pairs") - mean * mean)))

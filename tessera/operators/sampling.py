@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
+from tessera.operators.ordered import last_before
+from tessera.session import small
 
 
 def sample_times(length: Column, step: float) -> Column:
@@ -45,19 +47,27 @@ def late_windows(duration: Column, scan: float = 60.0, step: float = 2.0) -> Col
     return F.when(duration > scan + max(10.0, 2 * step), F.filter(windows, lambda w: w["end"] > w["start"] + 1)).otherwise(none)
 
 
+def until_first(rows: DataFrame, order: list[str], hit: str) -> DataFrame:
+    """Rows of each entity_id up to and including its first hit by `order`; all of them where there is none.
+
+    The first hit is a minimum that combines before the shuffle, so no entity is sorted or meets in one task.
+    """
+    at = F.struct(*order)
+    first = rows.where(hit).groupBy("entity_id").agg(F.min(at).alias("_first"))
+    return rows.join(small(first), "entity_id", "left").where(F.col("_first").isNull() | (at <= F.col("_first"))).drop("_first").select(*rows.columns)
+
+
 def first_success(windows: DataFrame) -> DataFrame:
     """Rows (entity_id, at, ok, ...) up to and including the first success of each entity."""
-    w = Window.partitionBy("entity_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return windows.withColumn("_ok", F.coalesce(F.max(F.col("ok").cast("int")).over(w), F.lit(0))).where("_ok = 0").drop("_ok")
+    return until_first(windows, ["at"], "ok")
 
 
 def scene_changes(frames: DataFrame, threshold: float = 15.0) -> DataFrame:
     """Adds diff (Bhattacharyya distance x 100 to the previous readable frame) and change to frames
-    (entity_id, ts, hist, static); rows without a histogram are skipped, not compared."""
+    (entity_id, ts, hist, static); rows without a histogram are skipped, not compared. A long video is spread over tasks."""
     seen = frames.where(F.col("hist").isNotNull())
-    w = Window.partitionBy("entity_id").orderBy("ts")
-    before = F.lag(F.struct("hist", "static")).over(w)
-    out = seen.withColumn("_b", before).withColumn("diff", F.when(F.col("_b").isNotNull(), vec.bhattacharyya(F.col("_b.hist"), F.col("hist"))))
+    out = last_before(seen, ["entity_id"], ["ts"], F.struct("hist", "static"), "_b")
+    out = out.withColumn("diff", F.when(F.col("_b").isNotNull(), vec.bhattacharyya(F.col("_b.hist"), F.col("hist"))))
     return out.withColumn("change", F.coalesce((F.col("diff") >= threshold) & ~F.col("static") & ~F.col("_b.static"), F.lit(False))).drop("_b")
 
 
@@ -80,19 +90,23 @@ def scene_schedule(spans: DataFrame, changes: DataFrame, static: DataFrame, step
 
 def first_hits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first hit of each entity, counters over rows up to and including it) of rows(entity_id, ts, rank, hit, ...)."""
-    w = Window.partitionBy("entity_id").orderBy("ts", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_h", F.coalesce(F.sum(F.col("hit").cast("int")).over(w), F.lit(0))).where("_h = 0").drop("_h")
+    seen = until_first(rows, ["ts", "rank"], "hit")
     return seen.where("hit"), seen.groupBy("entity_id").agg(F.count(F.lit(1)).alias("evaluated"))
 
 
 def rolling_rate(points: DataFrame, seconds: int = 300) -> DataFrame:
     """Adds per_minute: done since the oldest point of the last `seconds`, and the one before it, by time; of
-    points (stream, ts, done)."""
+    points (stream, ts, done).
+
+    That point is the last one earlier than `seconds` ago, or else the stream's first; each point asks for it at that
+    time, so points and questions in one order need the last point before alone, and a stream is spread over tasks.
+    """
     t = F.col("ts").cast("timestamp").cast("double")
-    whole = Window.partitionBy("stream").orderBy("_t")
-    span = whole.rangeBetween(-seconds, 0)
-    p = points.withColumn("_t", t).withColumn("_prev", F.lag(F.struct("_t", "done")).over(whole))
-    first = F.first(F.struct("_t", "done", "_prev")).over(span)
-    p = p.withColumn("_f", first).withColumn("_o", F.coalesce(F.col("_f._prev"), F.struct(F.col("_f._t").alias("_t"), F.col("_f.done").alias("done"))))
+    p = points.withColumn("_t", t)
+    first = p.groupBy("stream").agg(F.min(F.struct("_t", "done")).alias("_f"))
+    here = F.struct("_t", "done")
+    both = p.select("*", (F.col("_t") - seconds).alias("_w"), F.lit(0).alias("_k")).unionByName(p.select("stream", "_t", "done", F.col("_t").alias("_w"), F.lit(1).alias("_k")), allowMissingColumns=True)
+    asked = last_before(both, ["stream"], ["_w", "_k", "_t"], F.when(F.col("_k") == 1, here), "_p").where("_k = 0")  # a question comes before the points of its time
+    p = asked.join(small(first), "stream").withColumn("_o", F.coalesce("_p", "_f"))
     dt = F.col("_t") - F.col("_o._t")
-    return p.withColumn("per_minute", F.when(dt > 0, (F.col("done") - F.col("_o.done")) / dt * 60).otherwise(0.0)).drop("_t", "_prev", "_f", "_o")
+    return p.withColumn("per_minute", F.when(dt > 0, (F.col("done") - F.col("_o.done")) / dt * 60).otherwise(0.0)).select(*points.columns, "per_minute")

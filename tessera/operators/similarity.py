@@ -1,21 +1,29 @@
 """Similarity joins over vectors: exact, in blocks of bounded size."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.functions.fusion import MODES, Fusion, rerank_arrays
-from tessera.session import carried
+from tessera.session import Shelf, carried, cut, saved
 
 carried(__name__)
 
 #: Rows of a block; two blocks and their products are what a task holds.
 BLOCK = 2048
-#: Identities sent to every task at once.
-IDENTITIES = 20_000
+#: Rows around a pivot on average, and pivots at most.
+CELL, PIVOTS = 64, 4096
+#: Angle (radians) by which bounds are widened against rounding.
+SLACK = 1e-5
+#: Identities, and results, of a block of the top-1 match.
+IDENTITIES, RESULTS = 4096, 4096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -25,22 +33,126 @@ def matrix(column: pa.Array) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + vec.EPS)
 
 
+def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Cells of the unit sphere around pivots and the blocks that their rows fall into; of bounded size.
+
+    Cells of near pivots share a block up to BLOCK rows; a larger cell has `many` blocks from `first` on.
+    """
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    reach: float
+
+    def blocks(self) -> int:
+        return int((self.first + self.many).max())
+
+    def visits(self, angle: np.ndarray) -> np.ndarray:
+        """Whether rows at these angles to the pivots can have a partner in a cell: all of a cell is within its radius of the pivot,
+        so a row farther from the pivot than radius and reach together has none there."""
+        return angle <= self.radius + self.reach + SLACK
+
+
+def near_order(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in a chain, each followed by the nearest that is left."""
+    left, chain = np.ones(len(pivots), bool), [0]
+    left[0] = False
+    for _ in range(len(pivots) - 1):
+        s = np.where(left, pivots @ pivots[chain[-1]], -2)
+        chain.append(int(s.argmax()))
+        left[chain[-1]] = False
+    return np.array(chain)
+
+
+def packed(sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbours in the order share a block up to BLOCK rows."""
+    first, many, block, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for c in order:
+        if held and held + sizes[c] > BLOCK:
+            block, held = block + 1, 0
+        first[c], many[c] = block, max(1, -(-sizes[c] // BLOCK))
+        held += sizes[c]
+        if many[c] > 1:
+            block, held = block + many[c], 0
+    return first, many
+
+
+def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str) -> tuple[DataFrame, Cells] | None:
+    """Rows (id, x, cell) of usable vectors by their nearest pivot, and the cells; None without rows.
+
+    Pivots are the rows with the least hashes of their keys, so many that a cell has CELL rows on average, PIVOTS at most.
+    """
+    rows = shelf.put(vectors.select(F.col(key).alias("id"), vec.normalized(F.col(vector)).alias("x")).where(F.col("x").isNotNull()))
+    n = rows.count()
+    if not n:
+        return None
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // CELL))).select("x").collect()  # bounded
+    pivots = np.unique(np.array([r["x"] for r in chosen]), axis=0)
+    pivots = pivots[near_order(pivots)]
+    kind = dict(rows.dtypes)["id"]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = matrix(b.column("x")) @ pivots.T
+            cell = s.argmax(axis=1) if len(s) else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(s.max(axis=1, initial=-1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float64())], names=["id", "x", "cell", "angle"])
+
+    dealt = shelf.put(rows.mapInArrow(nearest, f"id {kind}, x array<double>, cell int, angle double"))
+    radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in dealt.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
+        radius[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
+    first, many = packed(sizes, np.arange(len(pivots)))
+    return dealt.drop("angle"), Cells(pivots, np.where(sizes > 0, radius, -np.inf), first, many, float(np.arccos(np.clip(least, -1, 1))))
+
+
+def visited(dealt: DataFrame, cells: Cells) -> DataFrame:
+    """(id, x, own, a, b): each row under every pair of blocks, its own and one in which it can have a partner."""
+    kind = dict(dealt.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = cells.blocks()
+        step = max(1, min(512, (1 << 22) // blocks))
+        for big in batches:
+            for lo in range(0, big.num_rows, step):
+                b = big.slice(lo, step)
+                go = cells.visits(angles(matrix(b.column("x")), cells.pivots))
+                edge = np.zeros((len(go), blocks + 1), np.int32)
+                row, cell = np.nonzero(go)
+                np.add.at(edge, (row, cells.first[cell]), 1)
+                np.add.at(edge, (row, cells.first[cell] + cells.many[cell]), -1)
+                row, other = np.nonzero(np.cumsum(edge[:, :-1], axis=1))
+                c, part = b.column("cell").to_numpy(), b.column("part").to_numpy()
+                own = (cells.first[c] + part % cells.many[c])[row]
+                who = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(who), b.column("x").take(who), *(pa.array(v, pa.int32()) for v in (own, np.minimum(own, other), np.maximum(own, other)))], names=["id", "x", "own", "a", "b"]
+                )
+
+    part = F.shiftrightunsigned(F.xxhash64("id"), 1).alias("part")
+    return dealt.select("id", "x", "cell", part).mapInArrow(run, f"id {kind}, x array<double>, own int, a int, b int")
+
+
 def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(u, v, similarity), u < v, of all pairs with cosine >= least. Degenerate vectors have no pair.
 
-    Rows are dealt to blocks by a hash; each pair of blocks is one task's matrix product, so memory is
-    bounded whatever the rows. Vectors must share one length.
+    Rows fall into cells around pivots, cells into blocks; a pair of blocks is one task's matrix product, so memory is bounded
+    whatever the rows. A row goes to those blocks alone that can hold a partner by the triangle inequality of angles, so
+    where vectors cluster most pairs of blocks never meet, and nothing is lost. Vectors must share one length.
     """
-    rows = vectors.select(F.col(key).alias("id"), vec.normalized(F.col(vector)).alias("x")).where(F.col("x").isNotNull())
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    sent = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.select("id", "x", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    kind = dict(vectors.dtypes)[key]
+    schema = f"u {kind}, v {kind}, similarity double"
 
     def pairs(t: pa.Table) -> pa.Table:
-        ids, own_, x = t["id"].to_numpy(), t["own"].to_numpy(), matrix(t["x"].combine_chunks())
+        ids, own, x = t["id"].to_numpy(), t["own"].to_numpy(), matrix(t["x"].combine_chunks())
         a, b = t["a"][0].as_py(), t["b"][0].as_py()
-        i, j = np.flatnonzero(own_ == a), np.flatnonzero(own_ == b)
+        i, j = np.flatnonzero(own == a), np.flatnonzero(own == b)
         s = x[i] @ x[j].T
         p, q = np.nonzero(s >= least)
         u, v, s = ids[i[p]], ids[j[q]], s[p, q]
@@ -48,8 +160,11 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
         low, high = (pa.array(x[once], t["id"].type) for x in (np.minimum(u, v), np.maximum(u, v)))
         return pa.table({"u": low, "v": high, "similarity": s[once]})
 
-    kind = dict(vectors.dtypes)[key]
-    return sent.groupBy("a", "b").applyInArrow(pairs, f"u {kind}, v {kind}, similarity double")
+    with Shelf(vectors.sparkSession, "similar") as shelf:
+        got = celled(vectors, least, shelf, key, vector)
+        if got is None:
+            return vectors.sparkSession.createDataFrame([], schema)
+        return saved(visited(*got).groupBy("a", "b").applyInArrow(pairs, schema), "similar-pairs")
 
 
 def best_identity(results: DataFrame, identities: DataFrame, threshold: float, rule: Fusion = Fusion(enabled=False)) -> DataFrame:
@@ -57,47 +172,55 @@ def best_identity(results: DataFrame, identities: DataFrame, threshold: float, r
 
     results has `embedding` (and may have `aux_embedding`); identities has position, label, prototype and may
     have same_threshold, aux_prototype. The first position wins ties; no accepted identity gives null.
-    Identities pass in runs of IDENTITIES, so what a task receives is bounded.
+    Both sides are dealt to blocks; a pair of blocks is one matrix product in one task, which gives each result's best in that
+    block of identities; the best of those is a maximum that combines before the shuffle. Vectors of a column share one length.
     """
     has_aux, has_thr = "aux_prototype" in identities.columns and "aux_embedding" in results.columns, "same_threshold" in identities.columns
     aux = vec.normalized(F.col("aux_prototype")) if has_aux else F.lit(None).cast("array<double>")
     thr = F.coalesce(F.col("same_threshold"), F.lit(threshold)) if has_thr else F.lit(threshold)
-    usable = identities.select("position", "label", vec.normalized(F.col("prototype")).alias("p"), aux.alias("q"), thr.cast("double").alias("t")).where(F.col("p").isNotNull() & (F.trim("label") != ""))
-    n, out = usable.count(), results
-    ordered = usable.orderBy("position")
-    kind = "struct<label:string,score:double,primary:double,aux:double,mode:string>"
-    found = None
-    for k in range(0, max(n, 1), IDENTITIES):
-        got = ordered.offset(k).limit(IDENTITIES).collect()
-        if not got:
-            return results.withColumn("match", F.lit(None).cast(kind))
-        labels, p, t = [r["label"] for r in got], np.array([r["p"] for r in got]), np.array([r["t"] for r in got])
-        q = np.array([r["q"] if r["q"] is not None else [np.nan] * len(got[0]["p"]) for r in got])
-
-        @F.pandas_udf(kind)
-        def matched(e: pd.Series, a: pd.Series) -> pd.DataFrame:
-            rows = []
-            for x, y in zip(e, a):
-                x = None if x is None else np.asarray(x, float)
-                size = 0.0 if x is None or not np.isfinite(x).all() else float(np.linalg.norm(x))
-                if size <= vec.EPS:
-                    rows.append((None,) * 5)
-                    continue
-                x = x / size
-                s = p @ x / (np.linalg.norm(p, axis=1) * np.linalg.norm(x) + vec.EPS)
-                y = None if y is None else np.asarray(y, float)
-                z = None if y is None or not np.isfinite(y).all() or np.linalg.norm(y) <= vec.EPS else q @ (y / np.linalg.norm(y)) / (np.linalg.norm(q, axis=1) + vec.EPS)
-                ok, fused, mode = rerank_arrays(s, z, t, rule)
-                if not ok.any():
-                    rows.append((None,) * 5)
-                    continue
-                i = int(np.argmax(np.where(ok, fused, -np.inf)))
-                rows.append((labels[i], float(fused[i]), float(s[i]), float(z[i]) if mode[i] == 3 else None, MODES[mode[i]]))
-            return pd.DataFrame(rows, columns=["label", "score", "primary", "aux", "mode"])
-
-        second = F.col("aux_embedding") if has_aux else F.lit(None).cast("array<double>")
-        name = f"_match{k}"
-        out = out.withColumn(name, matched(F.col("embedding"), second))
-        here = F.when(F.col(name)["label"].isNotNull(), F.col(name))
-        found = here if found is None else F.when(found.isNull() | (here["score"] > found["score"]), here).otherwise(found)
-    return out.withColumn("match", found).drop(*(c for c in out.columns if c.startswith("_match")))
+    known = cut(identities.select(F.col("position").cast("long").alias("position"), F.col("label").cast("string").alias("label"), vec.normalized(F.col("prototype")).alias("p"), aux.alias("q"), thr.cast("double").alias("t")).where(F.col("p").isNotNull() & (F.trim("label") != "")))
+    rows = cut(results.withColumn("_row", F.monotonically_increasing_id()))
+    second = vec.normalized(F.col("aux_embedding")) if has_aux else F.lit(None).cast("array<double>")
+    asked = rows.select("_row", vec.normalized(F.col("embedding")).alias("x"), second.alias("y")).where("x is not null")
+    i_blocks, r_blocks = max(1, -(-known.count() // IDENTITIES)), max(1, -(-rows.count() // RESULTS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("r", F.pmod(F.xxhash64("_row"), F.lit(r_blocks)).cast("int")).withColumn("i", every(i_blocks))
+    right = known.withColumn("i", F.pmod(F.xxhash64("position"), F.lit(i_blocks)).cast("int")).withColumn("r", every(r_blocks))
+    kind = "label string, score double, primary double, aux double, mode string"
+
+    def second_matrix(column: pa.ChunkedArray) -> np.ndarray | None:
+        """Unit rows, NaN where a row has no vector; None where none has."""
+        column = column.combine_chunks()
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        if not there.any():
+            return None
+        some = matrix(column.drop_null())
+        out = np.full((len(there), some.shape[1]), np.nan)
+        out[there] = some
+        return out
+
+    def best(asked_: pa.Table, known_: pa.Table) -> pa.Table:
+        empty = pa.table({"row": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "label": pa.array([], pa.string()), **{c: pa.array([], pa.float64()) for c in ("score", "primary", "aux")}, "mode": pa.array([], pa.string())})
+        if not (asked_.num_rows and known_.num_rows):
+            return empty
+        known_ = known_.sort_by("position")
+        p, t, q = matrix(known_["p"].combine_chunks()), known_["t"].to_numpy(), second_matrix(known_["q"])
+        label, position, out = known_["label"].combine_chunks(), known_["position"].to_numpy(), [empty]
+        for lo in range(0, asked_.num_rows, 512):
+            part = asked_.slice(lo, 512)
+            s = matrix(part["x"].combine_chunks()) @ p.T
+            y = second_matrix(part["y"])
+            z = None if y is None or q is None else y @ q.T
+            ok, fused, mode = rerank_arrays(s, z, t[None, :], rule)
+            ranked = np.where(ok, fused, -np.inf)
+            i = ranked.argmax(axis=1)  # the first of equals
+            r = np.flatnonzero(ok.any(axis=1))
+            i = i[r]
+            fused_aux = pa.array(np.zeros(len(r)) if z is None else z[r, i], pa.float64(), mask=mode[r, i] != 3)
+            out.append(pa.table({"row": part["_row"].take(pa.array(r)), "place": pa.array(-position[i], pa.int64()), "label": label.take(pa.array(i)), "score": fused[r, i], "primary": s[r, i], "aux": fused_aux, "mode": pa.array(np.array(MODES)[mode[r, i]], pa.string())}))
+        return pa.concat_tables(out)
+
+    met = left.groupBy("r", "i").cogroup(right.groupBy("r", "i")).applyInArrow(best, f"row bigint, place bigint, {kind}")
+    top = met.groupBy("row").agg(F.max(F.struct("score", "place", "label", "primary", "aux", "mode")).alias("m"))
+    match = F.when(F.col("m.label").isNotNull(), F.struct("m.label", "m.score", "m.primary", "m.aux", "m.mode")).alias("match")
+    return rows.join(top, rows["_row"] == top["row"], "left").select(*(rows[c] for c in results.columns), match)
