@@ -40,7 +40,7 @@ from tessera.session import Shelf, looked_up
 carried(__name__)
 
 #: Characters of a batch and pieces that a task remembers.
-BATCH, PIECES = 8_000_000, 500_000
+BATCH, PIECES = 2_000_000, 250_000
 #: Pieces that are encoded as one text.
 JOINED = 2000
 #: Distinct pairs whose counts may be broadcast; counted first.
@@ -143,6 +143,8 @@ class Pair:
         run(f"INSERT INTO pairs SELECT piece, ag.id * {len(self.b_bytes)} + bg.id, count(*) FROM ag JOIN bg USING (piece, g) GROUP BY ALL")
         t = run("SELECT piece, g, side, id FROM (SELECT piece, g, 0 AS side, k, id FROM ag UNION ALL SELECT piece, g, 1, k, id FROM bg) ORDER BY piece, g, side, k").fetchnumpy()
         n_groups, groups = self._texts(t["piece"] - first, t["g"], t["side"], t["id"], len(fresh))
+        for table in ("cuts", "ag", "bg"):
+            run(f"DROP TABLE {table}")
         self.n_a += n_a.tolist()
         self.n_b += n_b.tolist()
         self.n_groups += n_groups.tolist()
