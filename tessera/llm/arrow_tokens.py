@@ -15,7 +15,7 @@ of each distinct word; unknown words, freed of case and closing punctuation, are
 a mark that is a token of its own (words that hold the mark, or a special token, are encoded alone).
 
 Edge cases: null and empty texts have the end id only; rows with a null doc_id come first; repeated rows are
-encoded one by one; an empty table gives no file and an empty result; other columns are not read.
+encoded one by one, those of one doc_id in the order of a hash of their texts; an empty table gives no file and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -286,7 +286,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, sequence:
             store.move(f"{draft}.{end_}", f"{base}/{name}.{end_}")
         yield pa.RecordBatch.from_pydict({"file": [name], "n_rows": pa.array([len(starts)], pa.int64()), "n_ids": pa.array([out.ids], pa.int64())})
 
-    laid = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    tie = F.xxhash64("text").alias("_tie")  # rows of one id have an order of their own, and may be parted
+    laid = docs.select("doc_id", "text", tie).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     found = laid.mapInArrow(run, "file string, n_rows bigint, n_ids bigint").collect()
     return folder, sorted((r["file"], r["n_rows"], r["n_ids"]) for r in found)
 

@@ -309,7 +309,11 @@ def _decode_any(head: dict, data: bytes) -> list[np.ndarray]:
             at = k = k + 2
         else:
             k += 2 if data[k] == 0xFF else 1
+    else:
+        raise ValueError("a scan without an end marker")
     per = head["restart"] or across * down
+    if len(runs) * per < across * down:
+        raise ValueError("a scan with too few restart intervals")
     for r, run in enumerate(runs):
         bits, at, last = np.unpackbits(np.frombuffer(run, np.uint8)).tolist(), 0, [0] * len(parts)
 

@@ -130,14 +130,16 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int =
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, y) of at most `per_class` labelled rows of each class, chosen by a hash of doc_id, and the class counts.
 
-    The chosen ids are bounded by the parameter, so they are broadcast to the scan of documents.
+    The chosen ids are bounded by the parameter, so they are broadcast to the scan of documents. Of rows that share a chosen id the
+    one whose text has the least hash counts, so the rows are bounded as the ids are.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     by = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = usable.where("y = 1").orderBy(by, "doc_id").limit(per_class).unionByName(usable.where("y = 0").orderBy(by, "doc_id").limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), counts
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y")
+    return held.agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t")).select("t.text", "y"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, per_class: int = SAMPLE) -> BradleyTerry:

@@ -78,7 +78,8 @@ ORACLES["op10_line_dedup"] = lines.ORACLE
 
 @query
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read(media.store(table(spark, sf_dir, "documents"))).drop("clips", "error")
+    out = media.read(media.store(table(spark, sf_dir, "documents")))
+    return out.withColumn("clips", F.to_json("clips")).drop("error")
 
 
 @query

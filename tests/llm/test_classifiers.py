@@ -105,3 +105,12 @@ def test_only_learning_rows_count(docs, spark):
     flipped = [(k, y if zlib.crc32(str(k).encode()) % 3 != 1 else 1 - y, t) for k, y, t in rows]
     kind = "doc_id bigint, quality int, toxic int"
     assert quality.fit(d, spark.createDataFrame(rows, kind), learn) == quality.fit(d, spark.createDataFrame(flipped, kind), learn)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(1, None), (2, "b"), (3, "c"), (3, "c")], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id bigint, quality int")
+    rows, counts = quality.labelled_sample(docs, labels, "quality", F.lit(True), 10)
+    got = sorted((r["y"], r["text"] or "") for r in rows.collect())
+    assert [y for y, _ in got] == [0, 0, 1] and counts == {1: 1, 0: 2}
+    assert sorted((r["y"], r["text"] or "") for r in quality.labelled_sample(docs.repartition(7), labels, "quality", F.lit(True), 10)[0].collect()) == got

@@ -83,3 +83,30 @@ def test_odd_rows(odd, empty, spark):
     bad = spark.createDataFrame([(1, 3, bytearray(b"not an avi")), (2, 0, None)], "doc_id bigint, n_bytes bigint, media binary")
     got = media.read(bad)
     assert all(r["feature"] is None for r in got.collect()) and media.clips(bad).count() == 0
+
+
+def test_a_cut_off_scan_is_an_error(spark):
+    """A foreign file without its end marker, or short of restart intervals, gives an error and no blocks of zeros."""
+    frame = media.parse_avi(media.encode_avi(bytes(range(256)) * 5))["frames"][0]
+    head, _ = media.decode_coefficients(frame)
+    data = frame[head["at"] :]
+    for broken in (data[: data.rindex(b"\xff\xd9")], data[: len(data) // 2]):
+        with np.testing.assert_raises((ValueError, IndexError)):
+            media._decode_any(head, broken)
+    whole = media.encode_avi(bytes(range(256)) * 5)
+    at = whole.rindex(b"\xff\xd9")
+    row = media.read(spark.createDataFrame([(1, 5, bytearray(whole[:at] + b"\x00\x00" + whole[at + 2 :]))], "doc_id bigint, n_bytes bigint, media binary")).first()
+    assert row["error"] and row["payload_sha256"] is None and row["clips"] == []
+
+
+def test_query_gives_what_is_stored(spark, sf_dir):
+    """Digests of the file and its clips, against the file made again from the text."""
+    import json
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in QUERIES["op3_media"](spark, sf_dir).collect():
+        file = media.encode_avi(media.payload_of(texts[r["doc_id"]]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        clips, n = json.loads(r["clips"]), int(r["feature"].split("frames=")[1].split(";")[0])
+        assert [c["first_frame"] for c in clips] == [0, *(c["end_frame"] for c in clips[:-1])] and clips[-1]["end_frame"] == n
+        assert f"shots={len(clips)};" in r["feature"] and all(abs(c["start_s"] * media.FPS - c["first_frame"]) < 0.01 for c in clips)
