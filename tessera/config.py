@@ -35,9 +35,35 @@ class Config:
     eps: float = 0.35
     min_samples: int = 1
     merge_threshold: float = 0.78
+    learning: bool = True
+    recursive: bool = True
+    include_generated: bool = False
+    prefetch: bool = False
+    scene_aware: bool = True
+    scene_scan_step: float = 1.0
+    scene_dense_window: float = 1.0
+    scene_dense_step: float = 0.5
+    scene_static_deviation: float = 8.0
+    scene_static_edges: float = 20.0
+    stabilization_step: float = 1.0
+    reid: bool = False
+    reid_least: float = 0.55
+    reid_weight: float = 0.35
+    reid_low: float = 0.08
+    reid_high: float = 0.06
+    subject_appearance: float = 0.35
+    subject_frames: int = 3
+    subject_consistency: float = 0.50
+    subject_size_floor: float = 0.02
+    subject_size_ceil: float = 0.12
+    gate_side: int = 80
+    gate_sharpness: float = 60.0
+    gate_yaw: float = 45.0
+    gate_pitch: float = 45.0
+    gate_landmark: float = 0.45
 
     def __post_init__(self) -> None:
-        for name in ("review_threshold", "auto_threshold", "suggest_threshold", "same_threshold"):
+        for name in ("review_threshold", "auto_threshold", "suggest_threshold", "same_threshold", "reid_least", "reid_weight"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")
         if self.confirmation_frames < 2:

@@ -54,6 +54,31 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
+def normal_path(path: Column) -> Column:
+    """A path without empty and `.` parts, and without `x/..` where there is an x to leave; `.` if nothing is left."""
+    rooted = path.startswith("/")
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        up = F.when(last.isNotNull() & (last != ".."), F.slice(kept, 1, F.size(kept) - 1)).when(rooted, kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def utc_now() -> Column:
+    """The time of the query as an ISO string in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds from start to end, 0 at least, to the millisecond."""
+    t = lambda c: c.cast("timestamp").cast("double")
+    return half_up(F.greatest(F.lit(0.0), t(end) - t(start)), 3)
+
+
 def title(x: Column) -> Column:
     """Upper case at the start and after anything that is no letter."""
     return F.array_join(F.transform(F.split(x, r"(?<=[^a-zA-Z])(?=[a-zA-Z])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")

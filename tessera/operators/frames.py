@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.functions.scalar import base_name, clamp, frame_index, label_key
-from tessera.operators.sampling import sample_times
+from tessera.operators.sampling import SCAN_SUMS, sample_times
 
 
 def prefetch_indices(items: DataFrame, steps: tuple[float, ...] = (2.0, 1.0, 1.0, 0.5)) -> DataFrame:
@@ -66,9 +66,6 @@ def provisional(rows: DataFrame) -> DataFrame:
     return rows.withColumn("embedding_source", F.when(take, "provisional").otherwise(F.col("embedding_source"))).withColumn("embedding", F.when(take, F.col("seed_embedding")).otherwise(F.col("embedding")))
 
 
-SCAN_SUMS = ("seeds", "faces", "low_area", "scene_changes", "dense_added", "static_skipped")
-
-
 def scan_totals(infos: DataFrame) -> DataFrame:
     """Scan counters of an entity's windows: sums, and the best seed."""
     return infos.groupBy("entity_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SCAN_SUMS), F.coalesce(F.max("best_seed"), F.lit(0.0)).alias("best_seed"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
 from tessera.functions.scalar import base_name, folder_name, stem, suffix, title
 from tessera.operators.graph import components
+from tessera.operators.ordered import last_before, numbered
 from tessera.session import carried, cut, dealt_by, small
 
 carried(__name__)
@@ -134,6 +135,15 @@ def scan_duplicates(media: DataFrame, most: float = 8.0, exact: bool = False) ->
     return all_.join(p, "group_id").select("kind", "group_id", "path", "primary_path", d.alias("distance"))
 
 
+def duplicate_report(scanned: DataFrame, media: DataFrame) -> DataFrame:
+    """A row for each group of scan_duplicates(): kind, group_id, primary_path, duplicate_paths in order, their distances to the primary,
+    duplicate_count and the primary's quality (resolution, bitrate, size). A group's paths are its result, so they meet in its row."""
+    far = F.col("path") != F.col("primary_path")
+    groups = scanned.groupBy("kind", "group_id", "primary_path").agg(F.array_sort(F.collect_list(F.when(far, F.struct("path", "distance")))).alias("distances"))
+    quality = media.select(F.col("path").alias("primary_path"), F.struct((F.col("width") * F.col("height")).alias("resolution"), F.col("bitrate"), F.col("size")).alias("quality"))
+    return groups.join(quality, "primary_path").select("kind", "group_id", "primary_path", F.col("distances.path").alias("duplicate_paths"), "distances", F.size("distances").alias("duplicate_count"), "quality")
+
+
 def infer_names(rows: DataFrame, group: str = "group_id", path: str = "path") -> DataFrame:
     """group and name: the token in at least half of a group's file names (and two), most frequent, then longest, then last by letter."""
     files = rows.select(F.col(group).alias("g"), F.lower(stem(F.col(path))).alias("stem"))
@@ -175,26 +185,44 @@ def move_plan(moves: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """path, folder and target of moves(path, folder, name): in order of path each gets the first free name of
     name, stem_1, stem_2 ...; names in taken(folder, name) are not free. No two targets of a folder are equal.
 
-    Only names of one family, which differ in a trailing _n alone, can meet. A family whose wishes are all one name
-    and meet nothing that is taken is numbered by a rank, which may be split over tasks by Spark's window; in others
-    every choice depends on those before, so one task goes through the family, a batch at a time.
+    Only names of one family, which differ in a trailing _n alone, can meet. In a family whose wishes are all one name the k-th
+    wish gets the k-th free number, so ranks and gaps settle it (`_spread`), however many files it has; where wishes of a
+    family differ every choice depends on those before, so one task goes through the family, a batch at a time.
     """
     family = F.concat(F.regexp_replace(stem(F.col("name")), r"(_\d+)+$", ""), F.lit("\x00"), suffix(F.col("name")))
     want = moves.select("path", "folder", "name", family.alias("family"))
     by = ["folder", "family"]
-    mixed = want.groupBy(*by).agg(F.min("name").alias("least"), F.max("name").alias("most")).where("least <> most").select(*by)
-    held = None
-    if taken is not None:
-        held = taken.select("folder", "name", family.alias("family")).join(want.select(*by).distinct(), by, "left_semi")
-        mixed = mixed.unionByName(held.select(*by)).distinct()
-    easy = want.join(mixed, by, "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1)
-    numbered = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem(F.col("name")), F.lit("_"), F.col("k").cast("string"), suffix(F.col("name"))))
+    wishes = cut(want.groupBy(*by).agg(F.min("name").alias("least"), F.max("name").alias("most")))
+    mixed, even = wishes.where("least <> most").select(*by), wishes.where("least = most").select(*by, F.col("least").alias("wish"))
+    held = None if taken is None else taken.select("folder", "name", family.alias("family"))
+    easy = _spread(want.join(mixed, by, "left_anti"), even, held)
     hard = want.join(mixed, by, "left_semi").select("folder", "family", "path", "name", stem(F.col("name")).alias("stem"), suffix(F.col("name")).alias("suffix"))
     if held is not None:  # what is taken comes first, and gets no target
-        hard = hard.unionByName(held.select("folder", "family", F.lit(None).cast("string").alias("path"), "name", F.lit("").alias("stem"), F.lit("").alias("suffix")))
+        hard = hard.unionByName(held.join(mixed, by, "left_semi").select("folder", "family", F.lit(None).cast("string").alias("path"), "name", F.lit("").alias("stem"), F.lit("").alias("suffix")))
     dealt = dealt_by(hard, "folder", "family").sortWithinPartitions("folder", "family", F.col("path").asc_nulls_first())
     chosen = dealt.mapInPandas(_first_free, "path string, folder string, target string")
-    return easy.select("path", "folder", numbered.alias("target")).unionByName(chosen)
+    return easy.unionByName(chosen)
+
+
+def _spread(wishes: DataFrame, even: DataFrame, held: DataFrame | None) -> DataFrame:
+    """path, folder and target of wishes(path, folder, name, family) with one name to a family, `wish` in even(folder, family, wish).
+
+    Ranks give the wish number k and the order i of the numbers t that are taken. There are t - i free numbers below the i-th taken
+    one, so the k-th wish passes over as many taken numbers as have t - i <= k: the last of them before it, with wishes
+    and taken numbers in one order. No family meets in one task.
+    """
+    by = ["folder", "family"]
+    k = numbered(wishes, by, ["path"], "k")
+    if held is not None:
+        at = held.join(small(even), by).withColumn("_s", stem(F.col("name"))).withColumn("_w", stem(F.col("wish")))
+        digits = F.expr("substring(_s, length(_w) + 2)")
+        number = F.when(F.col("name") == F.col("wish"), F.lit(0).cast("bigint")).when(F.col("_s").startswith(F.concat("_w", F.lit("_"))) & digits.rlike("^[1-9][0-9]*$"), digits.try_cast("bigint"))
+        t = numbered(at.select(*by, number.alias("t")).where("t is not null").distinct(), by, ["t"], "i")
+        both = k.select(*by, F.col("k").alias("_x"), F.lit(1).alias("_y"), "path", "name").unionByName(t.select(*by, (F.col("t") - F.col("i")).alias("_x"), F.lit(0).alias("_y"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("name"), "i"), allowMissingColumns=True)
+        passed = last_before(both, by, ["_x", "_y", "i"], F.when(F.col("_y") == 0, F.col("i") + 1), "_n").where("_y = 1")
+        k = passed.withColumn("k", F.col("_x") + F.coalesce("_n", F.lit(0)))
+    target = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem(F.col("name")), F.lit("_"), F.col("k").cast("string"), suffix(F.col("name"))))
+    return k.select("path", "folder", target.alias("target"))
 
 
 def _first_free(batches):

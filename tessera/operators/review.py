@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import clamp, folder_name, half_up, label_key, safe_float, safe_int
+from tessera.functions.scalar import base_name, clamp, folder_name, half_up, label_key, safe_float, safe_int
 from tessera.operators.memory import ABSENT, FOUND, UNCERTAIN
 
 #: Reason tags in order of priority, and the sentence of each.
@@ -141,8 +141,6 @@ def tally(rows: DataFrame) -> DataFrame:
 
 def report_rows(rows: DataFrame) -> DataFrame:
     """The per-item report."""
-    from tessera.functions.scalar import base_name
-
     return rows.select("path", base_name(F.col("path")).alias("name"), "decision_label", half_up(F.col("confidence"), 3).alias("confidence"), F.coalesce("reason_summary", F.lit("")).alias("reason_summary"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce("applied", F.lit(False)).alias("memory_applied"), F.coalesce("destination", F.lit("")).alias("destination"))
 
 
@@ -151,3 +149,40 @@ def write_reports(summary: DataFrame, rows: DataFrame, folder: str) -> None:
     for name, df in (("summary", summary), ("items", rows)):
         df.write.mode("overwrite").json(f"{folder}/{name}_json")
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}_csv")
+
+
+def confidence_histogram(rows: DataFrame, column: str = "confidence", bins: int = 10) -> DataFrame:
+    """bin and n: shares by tenths, 1 in the last bin; those that are null count as 0."""
+    v = clamp(F.coalesce(safe_float(F.col(column)), F.lit(0.0)))
+    return rows.groupBy(F.least(F.lit(bins - 1), F.floor(v * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The keys of a result, in order, and the kind of each: text, flag, count, score (4 places) or as it is.
+PAYLOAD = {
+    "video": "text", "video_name": "text", "decision_label": "text", "confidence_score": "share", "reason_summary": "text", "reason_tags": "tags", "reason_metrics": "metrics", "decision_reason": "text", "memory_match_label": "text",
+    "memory_match_score": "score", "memory_match_arcface_score": "score", "memory_match_reid_score": "maybe", "memory_match_rerank_mode": "text", "memory_applied": "flag", "learning_applied": "flag", "adaptive_threshold_used": "score",
+    "feedback_consistency_snapshot": "map", "suggested_folder_name": "text", "suggested_cluster_id": "asis", "samples_used": "count", "embedding": "vector", "embedding_source": "text", "reid_enabled": "flag", "reid_embedding_present": "flag",
+    "reid_backend": "text", "reid_model_tier": "text", "reid_embedding": "vector", "stopped": "flag", "error": "text",
+}
+
+
+def result_payload(rows: DataFrame, reid_tier: str = "", reid_backend: str = "") -> DataFrame:
+    """path and value: the JSON object of each row of a run, with the keys of PAYLOAD; columns that are missing or null give empty
+    text, 0, false or null."""
+    has = set(rows.columns)
+    of = lambda c, t="string": F.col(c) if c in has else F.lit(None).cast(t)
+    inside = lambda c, t: F.col(f"match.{c}") if "match" in has else F.lit(None).cast(t)
+    measured = metrics(rows)
+    source = {
+        "video": of("path"), "video_name": base_name(of("path")), "decision_label": of("decision_label"), "confidence_score": of("confidence"), "reason_summary": of("reason_summary"), "reason_tags": of("tags", "array<string>"), "decision_reason": of("decision_reason"),
+        "reason_metrics": F.struct(*(F.col(c) for c in (*COUNTS, *SCORES, SHARE))), "memory_match_label": of("match_label"), "memory_match_score": inside("score", "double"), "memory_match_arcface_score": inside("primary", "double"), "memory_match_reid_score": inside("aux", "double"), "memory_match_rerank_mode": inside("mode", "string"),
+        "memory_applied": of("applied", "boolean"), "learning_applied": of("learning_applied", "boolean") if "learning_applied" in has else of("applied", "boolean"), "adaptive_threshold_used": of("threshold_used", "double"), "feedback_consistency_snapshot": of("feedback_snapshot", "map<string,double>"), "suggested_folder_name": of("folder"),
+        "suggested_cluster_id": of("cluster_id", "bigint"), "samples_used": of("stable", "int"), "embedding": of("embedding", "array<double>"), "embedding_source": of("embedding_source"), "reid_enabled": F.lit(bool(reid_backend)), "reid_embedding_present": F.size(F.coalesce(of("aux_embedding", "array<double>"), F.array().cast("array<double>"))) > 0,
+        "reid_backend": F.lit(reid_backend), "reid_model_tier": F.lit(reid_tier), "reid_embedding": of("aux_embedding", "array<double>"), "stopped": of("stopped", "boolean"), "error": of("error"),
+    }
+    fit = {
+        "text": lambda c: F.coalesce(c.cast("string"), F.lit("")), "flag": lambda c: F.coalesce(c.cast("boolean"), F.lit(False)), "count": lambda c: F.greatest(F.lit(0), safe_int(c)), "score": lambda c: half_up(safe_float(c), 4), "share": lambda c: half_up(clamp(safe_float(c)), 3),
+        "maybe": lambda c: half_up(c, 4), "tags": lambda c: F.coalesce(c, F.array().cast("array<string>")), "vector": lambda c: c.cast("array<double>"), "map": lambda c: F.coalesce(c, F.create_map().cast("map<string,double>")), "asis": lambda c: c, "metrics": lambda c: c,
+    }
+    body = F.struct(*(fit[kind](source[key]).alias(key) for key, kind in PAYLOAD.items()))
+    return measured.select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))

@@ -10,7 +10,7 @@ from tessera.functions import vec
 from tessera.functions.fusion import Fusion
 from tessera.functions.scalar import base_name, folder_name, half_up, label_key
 from tessera.operators import clusters as groups
-from tessera.operators import media, memory, review
+from tessera.operators import media, memory, review, sampling, votes
 from tessera.operators.memory import FOUND, UNCERTAIN
 from tessera.operators.similarity import best_identity
 from tessera.session import cut, small
@@ -26,11 +26,12 @@ def decisions(measured: DataFrame, identities: DataFrame, cfg: Config = Config()
     """Rows with decision_label, decision_reason, confidence, match, applied, match_label, tags and reason_summary.
 
     measured has path, error, stopped, embedding, the columns of `review.decide`, faces and low_area; identities has
-    position, label and prototype, and may have locked and match_threshold. Rows that failed or were stopped
+    position, label and prototype, and may have locked and match_threshold. With cfg.reid a second vector (aux_embedding of a row,
+    aux_prototype of an identity) decides where the first is in doubt. Rows that failed or were stopped
     are labelled so, with confidence 0, and match nothing.
     """
     rows = review.decide(measured, cfg.min_stable, cfg.min_votes, cfg.least_ratio)
-    rows = best_identity(rows, identities, cfg.same_threshold, Fusion(enabled=False))
+    rows = best_identity(rows, identities, cfg.same_threshold, Fusion(cfg.reid, cfg.reid_weight, cfg.reid_least, cfg.reid_low, cfg.reid_high))
     ended = F.when(F.col("error").isNotNull(), "error").when(F.coalesce("stopped", F.lit(False)), "stopped")
     rows = rows.withColumn("match", F.when(ended.isNull() & F.col("match.label").isNotNull(), F.col("match")))
     known = identities.select(F.col("label").alias("_known"), *(F.col(c) if c in identities.columns else F.lit(None).cast(t).alias(c) for c, t in (("locked", "boolean"), ("match_threshold", "double"))))
@@ -77,6 +78,21 @@ def sort_run(measured: DataFrame, identities: DataFrame, cfg: Config = Config(),
     return routed(decided, clustered(decided, cfg) if clusters is None else clusters, cfg, taken)
 
 
+def seed_gate(cfg: Config = Config()) -> votes.Gate:
+    """The gate of a run's detections."""
+    return votes.Gate(cfg.gate_side, cfg.gate_sharpness, cfg.gate_yaw, cfg.gate_pitch, cfg.gate_landmark)
+
+
+def schedule(spans: DataFrame, frames: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(entity_id, ts) at which a run looks at spans(entity_id, duration): on its grid, and by cfg.scene_aware also around scene changes of
+    frames(entity_id, ts, hist, deviation, edges), without still frames."""
+    if not cfg.scene_aware:
+        return spans.select("entity_id", F.explode(sampling.sample_times(F.col("duration"), cfg.sample_every)).alias("ts"))
+    still = (F.coalesce("deviation", F.lit(0.0)) <= cfg.scene_static_deviation) & (F.coalesce("edges", F.lit(0.0)) <= cfg.scene_static_edges)
+    seen = cut(sampling.scene_changes(frames.select("entity_id", "ts", "hist", still.alias("static")), cfg.scene_threshold))
+    return sampling.scene_schedule(spans, seen.where("change").select("entity_id", "ts"), seen.where("static").select("entity_id", "ts"), cfg.sample_every, cfg.scene_dense_window, cfg.scene_dense_step, cfg.scene_scan_step)
+
+
 def queue_items(rows: DataFrame) -> DataFrame:
     """The review items of a routed run, all pending."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))

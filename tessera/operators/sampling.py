@@ -9,6 +9,9 @@ from tessera.functions import vec
 from tessera.operators.ordered import last_before
 from tessera.session import small
 
+#: Counts of a scan that add up over windows.
+SCAN_SUMS = ("seeds", "faces", "low_area", "scene_changes", "dense_added", "static_skipped")
+
 
 def sample_times(length: Column, step: float) -> Column:
     """0, step, ... up to length plus half a step, exclusive; [0] for a step that is not positive."""
@@ -62,6 +65,21 @@ def first_success(windows: DataFrame) -> DataFrame:
     return until_first(windows, ["at"], "ok")
 
 
+def retry_merged(windows: DataFrame) -> DataFrame:
+    """A row for each entity of windows(entity_id, start, end, ok, best_seed and the counts SCAN_SUMS): what its windows up to the first
+    success, by start, have found together.
+
+    Windows that end where they start are not scanned. found_at and scan_end are of the first success, null where there is none;
+    attempted has the starts scanned, counts add up, best_seed is the highest, 0 at least. All of it combines before the shuffle.
+    """
+    real = windows.where("end > start").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    seen = until_first(real, ["start"], "ok")
+    sums = [F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in SCAN_SUMS if c in windows.columns]
+    best = F.greatest(F.lit(0.0), F.max(F.coalesce("best_seed", F.lit(0.0)))).alias("best_seed")
+    found = [F.max(F.when(F.col("ok"), F.col(c))).alias(n) for c, n in (("start", "found_at"), ("end", "scan_end"))]
+    return seen.groupBy("entity_id").agg(*found, F.array_sort(F.collect_list("start")).alias("attempted"), best, *sums)
+
+
 def scene_changes(frames: DataFrame, threshold: float = 15.0) -> DataFrame:
     """Adds diff (Bhattacharyya distance x 100 to the previous readable frame) and change to frames
     (entity_id, ts, hist, static); rows without a histogram are skipped, not compared. A long video is spread over tasks."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,60 +167,87 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
         return saved(visited(*got).groupBy("a", "b").applyInArrow(pairs, schema), "similar-pairs")
 
 
-def best_identity(results: DataFrame, identities: DataFrame, threshold: float, rule: Fusion = Fusion(enabled=False)) -> DataFrame:
-    """Columns of results and `match` struct(label, score, primary, aux, mode): the accepted identity of highest fused score.
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray | None:
+    """Unit rows, NaN where a row has no vector; None where none has."""
+    column = column.combine_chunks()
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    if not there.any():
+        return None
+    some = matrix(column.drop_null())
+    out = np.full((len(there), some.shape[1]), np.nan)
+    out[there] = some
+    return out
+
 
-    results has `embedding` (and may have `aux_embedding`); identities has position, label, prototype and may
-    have same_threshold, aux_prototype. The first position wins ties; no accepted identity gives null.
-    Both sides are dealt to blocks; a pair of blocks is one matrix product in one task, which gives each result's best in that
-    block of identities; the best of those is a maximum that combines before the shuffle. Vectors of a column share one length.
+def met_in_blocks(results: DataFrame, identities: DataFrame, threshold: float, each: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(results with `_row`, what each(asked, known) gives for every block of results with every block of identities).
+
+    asked has _row, x and y (the unit vectors), known has position, label, p, q and t. A result has `embedding` and may have
+    `aux_embedding`, an identity position, label and prototype, and may have same_threshold and aux_prototype; those without
+    a usable first vector, and identities without a label, are left out.
     """
     has_aux, has_thr = "aux_prototype" in identities.columns and "aux_embedding" in results.columns, "same_threshold" in identities.columns
-    aux = vec.normalized(F.col("aux_prototype")) if has_aux else F.lit(None).cast("array<double>")
+    none = F.lit(None).cast("array<double>")
     thr = F.coalesce(F.col("same_threshold"), F.lit(threshold)) if has_thr else F.lit(threshold)
-    known = cut(identities.select(F.col("position").cast("long").alias("position"), F.col("label").cast("string").alias("label"), vec.normalized(F.col("prototype")).alias("p"), aux.alias("q"), thr.cast("double").alias("t")).where(F.col("p").isNotNull() & (F.trim("label") != "")))
+    known = identities.select(F.col("position").cast("long").alias("position"), F.col("label").cast("string").alias("label"), vec.normalized(F.col("prototype")).alias("p"), (vec.normalized(F.col("aux_prototype")) if has_aux else none).alias("q"), thr.cast("double").alias("t"))
+    known = cut(known.where(F.col("p").isNotNull() & (F.trim("label") != "")))
     rows = cut(results.withColumn("_row", F.monotonically_increasing_id()))
-    second = vec.normalized(F.col("aux_embedding")) if has_aux else F.lit(None).cast("array<double>")
-    asked = rows.select("_row", vec.normalized(F.col("embedding")).alias("x"), second.alias("y")).where("x is not null")
+    asked = rows.select("_row", vec.normalized(F.col("embedding")).alias("x"), (vec.normalized(F.col("aux_embedding")) if has_aux else none).alias("y")).where("x is not null")
     i_blocks, r_blocks = max(1, -(-known.count() // IDENTITIES)), max(1, -(-rows.count() // RESULTS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("r", F.pmod(F.xxhash64("_row"), F.lit(r_blocks)).cast("int")).withColumn("i", every(i_blocks))
     right = known.withColumn("i", F.pmod(F.xxhash64("position"), F.lit(i_blocks)).cast("int")).withColumn("r", every(r_blocks))
+    return rows, left.groupBy("r", "i").cogroup(right.groupBy("r", "i")).applyInArrow(each, schema)
+
+
+def rerank_counts(results: DataFrame, identities: DataFrame, threshold: float, rule: Fusion) -> DataFrame:
+    """mode, accepted and n: how many pairs of a result and an identity end in each mode of the fusion."""
+
+    def counts(asked: pa.Table, known: pa.Table) -> pa.Table:
+        n = np.zeros((len(MODES), 2), np.int64)
+        if asked.num_rows and known.num_rows:
+            p, t, q = matrix(known["p"].combine_chunks()), known["t"].to_numpy(), unit_rows(known["q"])
+            for lo in range(0, asked.num_rows, 512):
+                part = asked.slice(lo, 512)
+                y = unit_rows(part["y"])
+                ok, _, mode = rerank_arrays(matrix(part["x"].combine_chunks()) @ p.T, None if y is None or q is None else y @ q.T, t[None, :], rule)
+                n += np.bincount((mode * 2 + ok).ravel(), minlength=2 * len(MODES)).reshape(-1, 2)
+        mode, ok = np.nonzero(n)
+        return pa.table({"mode": pa.array([MODES[m] for m in mode], pa.string()), "accepted": pa.array(ok == 1, pa.bool_()), "n": pa.array(n[mode, ok], pa.int64())})
+
+    met = met_in_blocks(results, identities, threshold, counts, "mode string, accepted boolean, n bigint")[1]
+    return met.groupBy("mode", "accepted").agg(F.sum("n").alias("n"))
+
+
+def best_identity(results: DataFrame, identities: DataFrame, threshold: float, rule: Fusion = Fusion(enabled=False)) -> DataFrame:
+    """Columns of results and `match` struct(label, score, primary, aux, mode): the accepted identity of highest fused score.
+
+    results and identities as in met_in_blocks(). The first position wins ties; no accepted identity gives null. A pair of blocks is one
+    matrix product in one task, which gives each result's best in that block of identities; the best of those is a
+    maximum that combines before the shuffle. Vectors of a column share one length.
+    """
     kind = "label string, score double, primary double, aux double, mode string"
 
-    def second_matrix(column: pa.ChunkedArray) -> np.ndarray | None:
-        """Unit rows, NaN where a row has no vector; None where none has."""
-        column = column.combine_chunks()
-        there = column.is_valid().to_numpy(zero_copy_only=False)
-        if not there.any():
-            return None
-        some = matrix(column.drop_null())
-        out = np.full((len(there), some.shape[1]), np.nan)
-        out[there] = some
-        return out
-
-    def best(asked_: pa.Table, known_: pa.Table) -> pa.Table:
-        empty = pa.table({"row": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "label": pa.array([], pa.string()), **{c: pa.array([], pa.float64()) for c in ("score", "primary", "aux")}, "mode": pa.array([], pa.string())})
-        if not (asked_.num_rows and known_.num_rows):
-            return empty
-        known_ = known_.sort_by("position")
-        p, t, q = matrix(known_["p"].combine_chunks()), known_["t"].to_numpy(), second_matrix(known_["q"])
-        label, position, out = known_["label"].combine_chunks(), known_["position"].to_numpy(), [empty]
-        for lo in range(0, asked_.num_rows, 512):
-            part = asked_.slice(lo, 512)
-            s = matrix(part["x"].combine_chunks()) @ p.T
-            y = second_matrix(part["y"])
+    def best(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = [pa.table({"row": pa.array([], pa.int64()), "place": pa.array([], pa.int64()), "label": pa.array([], pa.string()), **{c: pa.array([], pa.float64()) for c in ("score", "primary", "aux")}, "mode": pa.array([], pa.string())})]
+        if not (asked.num_rows and known.num_rows):
+            return out[0]
+        known = known.sort_by("position")
+        p, t, q = matrix(known["p"].combine_chunks()), known["t"].to_numpy(), unit_rows(known["q"])
+        label, position = known["label"].combine_chunks(), known["position"].to_numpy()
+        for lo in range(0, asked.num_rows, 512):
+            part = asked.slice(lo, 512)
+            s, y = matrix(part["x"].combine_chunks()) @ p.T, unit_rows(part["y"])
             z = None if y is None or q is None else y @ q.T
             ok, fused, mode = rerank_arrays(s, z, t[None, :], rule)
-            ranked = np.where(ok, fused, -np.inf)
-            i = ranked.argmax(axis=1)  # the first of equals
+            i = np.where(ok, fused, -np.inf).argmax(axis=1)  # the first of equals
             r = np.flatnonzero(ok.any(axis=1))
             i = i[r]
-            fused_aux = pa.array(np.zeros(len(r)) if z is None else z[r, i], pa.float64(), mask=mode[r, i] != 3)
-            out.append(pa.table({"row": part["_row"].take(pa.array(r)), "place": pa.array(-position[i], pa.int64()), "label": label.take(pa.array(i)), "score": fused[r, i], "primary": s[r, i], "aux": fused_aux, "mode": pa.array(np.array(MODES)[mode[r, i]], pa.string())}))
+            aux = pa.array(np.zeros(len(r)) if z is None else z[r, i], pa.float64(), mask=mode[r, i] != 3)
+            out.append(pa.table({"row": part["_row"].take(pa.array(r)), "place": pa.array(-position[i], pa.int64()), "label": label.take(pa.array(i)), "score": fused[r, i], "primary": s[r, i], "aux": aux, "mode": pa.array(np.array(MODES)[mode[r, i]], pa.string())}))
         return pa.concat_tables(out)
 
-    met = left.groupBy("r", "i").cogroup(right.groupBy("r", "i")).applyInArrow(best, f"row bigint, place bigint, {kind}")
+    rows, met = met_in_blocks(results, identities, threshold, best, f"row bigint, place bigint, {kind}")
     top = met.groupBy("row").agg(F.max(F.struct("score", "place", "label", "primary", "aux", "mode")).alias("m"))
     match = F.when(F.col("m.label").isNotNull(), F.struct("m.label", "m.score", "m.primary", "m.aux", "m.mode")).alias("match")
     return rows.join(top, rows["_row"] == top["row"], "left").select(*(rows[c] for c in results.columns), match)

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
-from tessera.functions.fusion import Fusion, rerank
+from tessera.functions.fusion import Fusion
 from tessera.functions.scalar import half_up
 from tessera.config import Config
 from tessera.operators import clusters, memory, run
-from tessera.operators.similarity import best_identity, similar_pairs
+from tessera.operators.similarity import best_identity, rerank_counts, similar_pairs
 from tessera.plans.registry import query, table
 
 EPS = 0.60
@@ -58,12 +58,23 @@ SELECT mode, accepted, count(*) AS n FROM r GROUP BY mode, accepted"""
 
 @query(_RERANK)
 def rerank_mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _identities(spark, sf_dir).select("prototype")
-    e = table(spark, sf_dir, "embeddings").select("embedding")
-    # identities are few by nature; they are broadcast only if a count says so
-    pairs = e.crossJoin(F.broadcast(p) if p.count() <= 10_000 else p)
-    r = rerank(vec.cosine(F.col("embedding"), F.col("prototype")), vec.cosine(F.reverse("embedding"), F.col("prototype")), SAME, Fusion(least_aux=0.1))
-    return pairs.select(r.alias("r")).groupBy("r.mode", "r.accepted").agg(F.count(F.lit(1)).alias("n"))
+    """Every vector against every prototype; the vector backwards stands for the second one."""
+    p = _identities(spark, sf_dir).select("position", "label", "prototype", F.col("prototype").alias("aux_prototype"))
+    e = table(spark, sf_dir, "embeddings").select("embedding", F.reverse("embedding").alias("aux_embedding"))
+    return rerank_counts(e, p, SAME, Fusion(least_aux=0.1))
+
+
+@query(f"""WITH {V}, {PROTO},
+s AS (SELECT e.vec_id, p.label, list_dot_product(e.v, p.v) / (e.n * p.n + 1e-8) AS a, list_dot_product(list_reverse(e.v), p.v) / (e.n * p.n + 1e-8) AS b FROM e CROSS JOIN p),
+f AS (SELECT vec_id, label, CASE WHEN a >= {SAME} + 0.06 THEN 'direct_accept' WHEN a < {SAME} - 0.08 THEN 'direct_reject' ELSE 'ambiguous_fused' END AS mode, a, b, 0.65 * a + 0.35 * b AS f FROM s),
+r AS (SELECT *, CASE mode WHEN 'direct_accept' THEN a WHEN 'ambiguous_fused' THEN CASE WHEN f >= {SAME} AND b >= 0.1 THEN f END END AS score FROM f)
+SELECT vec_id, CAST(label AS VARCHAR) AS matched, mode, round(score, 4) AS score, CASE WHEN mode = 'ambiguous_fused' THEN round(b, 4) END AS aux FROM r WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1""")
+def reid_top1_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best identity by both vectors; the vector backwards stands for the second one."""
+    p = _identities(spark, sf_dir).withColumn("aux_prototype", F.col("prototype"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("aux_embedding"))
+    m = best_identity(e, p, SAME, Fusion(least_aux=0.1)).where("match is not null")
+    return m.select("vec_id", F.col("match.label").alias("matched"), F.col("match.mode").alias("mode"), F.round("match.score", 4).alias("score"), F.round("match.aux", 4).alias("aux"))
 
 
 _ASSIST = f"""WITH {V}, {PROTO}, s AS (SELECT e.vec_id, p.label, list_dot_product(e.v, p.v) / (e.n * p.n + 1e-8) AS s FROM e CROSS JOIN p),
@@ -134,15 +145,35 @@ def dbscan_min_samples_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.dbscan(table(spark, sf_dir, "embeddings"), EPS, 3)
 
 
-@query()
+_GREEDY = _EDGES + _CC + """, k AS (SELECT e.vec_id, coalesce(min(r.seen), e.vec_id) AS root FROM e LEFT JOIN r ON r.node = e.vec_id GROUP BY e.vec_id),
+u AS (SELECT vec_id, root, list_transform(v, lambda x: x / n) AS v FROM e JOIN k USING (vec_id)),
+h AS (SELECT root, i, avg(x) AS x FROM (SELECT root, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM u) GROUP BY root, i), m AS (SELECT root, list(x ORDER BY i) AS m FROM h GROUP BY root),
+s AS (SELECT vec_id, root, v, row_number() OVER (PARTITION BY root ORDER BY list_dot_product(v, m) / (sqrt(list_dot_product(m, m)) + 1e-8) DESC, vec_id) AS place, count(*) OVER (PARTITION BY root) AS size FROM u JOIN m USING (root)),
+t AS (SELECT root, i, avg(x) AS x FROM (SELECT root, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM s WHERE place <= ceil(size * 0.8)) GROUP BY root, i),
+c AS (SELECT root, list(x ORDER BY i) AS c, sqrt(sum(x * x)) AS n FROM t GROUP BY root),
+q AS (SELECT a.root AS a, b.root AS b FROM c a JOIN c b ON a.root < b.root WHERE list_dot_product(a.c, b.c) / (a.n * b.n) >= 0.45),
+o AS (SELECT root AS node, list_sort(coalesce((SELECT list(b) FROM q WHERE q.a = c.root), [])) AS near FROM c),
+g AS (SELECT 0 AS step, CAST(NULL AS BIGINT) AS seed, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS got
+  UNION ALL SELECT step + 1, node, list_concat(taken, w), w FROM (SELECT g.step, g.taken, o.node, list_filter(list_prepend(o.node, o.near), lambda x: NOT list_contains(g.taken, x)) AS w FROM g JOIN o ON o.node = (SELECT min(x.node) FROM o x WHERE NOT list_contains(g.taken, x.node)))),
+z AS (SELECT step AS cluster_id, unnest(got) AS root FROM g WHERE step > 0)
+SELECT vec_id, cluster_id FROM k JOIN z USING (root)"""
+
+
+@query(_GREEDY)
 def greedy_merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent; tests hold it against the plain loop."""
+    """Order-dependent; tests hold it against the plain loop, too."""
     return clusters.cluster(table(spark, sf_dir, "embeddings"), EPS, merge=0.45)
 
 
-@query()
+_FOLD = """WITH RECURSIVE e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT label, k, v AS p FROM e WHERE k = 1
+  UNION ALL SELECT label, k, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM (SELECT e.label, e.k, list_transform(range(1, len(v) + 1), lambda i: (p[i] / sqrt(list_dot_product(p, p)) * f.k + v[i]) / (f.k + 1)) AS m FROM f JOIN e ON e.label = f.label AND e.k = f.k + 1))
+SELECT CAST(label AS VARCHAR) AS label, k AS sample_count, k * 0.5::DOUBLE AS confidence_sum, round(p[1], 4) AS x0, round(p[2], 4) AS x1 FROM f QUALIFY k = max(k) OVER (PARTITION BY label)"""
+
+
+@query(_FOLD)
 def prototype_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent; tests hold it against the plain loop."""
+    """Order-dependent; tests hold it against the plain loop, too."""
     e = table(spark, sf_dir, "embeddings")
     log = e.select(F.col("label").cast("string").alias("label"), F.col("vec_id").alias("ts"), F.col("vec_id").alias("event_id"), F.lit(0.5).alias("confidence"), "embedding")
     f = memory.prototypes(log)
@@ -163,9 +194,18 @@ def identity_merge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("label", "sample_count", "locked", F.round(F.element_at("prototype", 1), 4).alias("x0"))
 
 
-@query()
+_TRACK = """WITH RECURSIVE e AS (SELECT label AS entity_id, CAST(embedding AS DOUBLE[]) AS v, vec_id * 3 % 50 + vec_id * 7 % 50 AS x, vec_id * 5 % 50 + vec_id * 11 % 50 AS y, vec_id % 4 <> 0 AS pos, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+s AS (SELECT entity_id, k, CAST(1 AS BIGINT) AS kept, v AS mean, v AS last, x, y, CAST(1 AS BIGINT) AS votes, CASE WHEN pos THEN 1 ELSE 0 END AS p, CASE WHEN pos THEN 0 ELSE 1 END AS o FROM e WHERE k = 1
+  UNION ALL SELECT entity_id, k, CASE WHEN ok THEN kept + 1 ELSE kept END, CASE WHEN ok THEN list_transform(m, lambda a: a / sqrt(list_dot_product(m, m))) ELSE mean END, CASE WHEN ok THEN v ELSE last END, CASE WHEN ok THEN nx ELSE x END, CASE WHEN ok THEN ny ELSE y END, CASE WHEN ok THEN votes + 1 ELSE votes END, CASE WHEN ok AND pos THEN p + 1 ELSE p END, CASE WHEN ok AND NOT pos THEN o + 1 ELSE o END
+  FROM (SELECT s.*, e.k AS nk, e.v, e.x AS nx, e.y AS ny, e.pos, list_transform(range(1, len(e.v) + 1), lambda i: mean[i] + (e.v[i] - mean[i]) / (kept + 1)) AS m,
+    list_dot_product(mean, e.v) / ((sqrt(list_dot_product(mean, mean)) + 1e-8) * (sqrt(list_dot_product(e.v, e.v)) + 1e-8)) >= -0.1 AND abs(e.x - s.x) + abs(e.y - s.y) <= 640 * 0.8 AND list_dot_product(last, e.v) / ((sqrt(list_dot_product(last, last)) + 1e-8) * (sqrt(list_dot_product(e.v, e.v)) + 1e-8)) < 0.985 AS ok
+    FROM s JOIN e ON e.entity_id = s.entity_id AND e.k = s.k + 1) t(entity_id, old, kept, mean, last, x, y, votes, p, o, k, v, nx, ny, pos, m, ok))
+SELECT entity_id, kept, votes, floor(p * 0.8::DOUBLE * 10000 + 0.5) / 10000 AS pos_score, floor(o * 0.8::DOUBLE * 10000 + 0.5) / 10000 AS neg_score FROM s QUALIFY k = max(k) OVER (PARTITION BY entity_id)"""
+
+
+@query(_TRACK)
 def stabilize_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential state; tests hold it against the plain loop."""
+    """Sequential state; tests hold it against the plain loop, too."""
     e = table(spark, sf_dir, "embeddings")
     t = e.select(F.col("label").alias("entity_id"), F.col("vec_id").alias("seq"), "embedding", *((F.col("vec_id") * k % 50).alias(c) for k, c in ((3, "x1"), (5, "y1"), (7, "x2"), (11, "y2"))), F.lit(640).alias("extent"), F.when(F.col("vec_id") % 4 == 0, "other").otherwise("target").alias("label"), F.lit(0.8).alias("label_conf"))
     return clusters.stabilized(t, same=-0.1).select("entity_id", F.size("kept").cast("bigint").alias("kept"), "votes", half_up(F.col("pos_score"), 4).alias("pos_score"), half_up(F.col("neg_score"), 4).alias("neg_score"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.functions.scalar import half_up
-from tessera.operators import memory, review, sampling, votes
+from tessera.operators import identity, memory, review, sampling, votes
+from tessera.operators.ordered import numbered
 from tessera.plans.registry import query, table
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -36,9 +37,9 @@ def decision_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, floor(greatest(0, epoch(max(ts)) - epoch(min(ts))) * 1000 + 0.5) / 1000 AS elapsed_s, count(*) AS n, floor(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) / 100.0 * 1000 + 0.5) / 1000 AS total FROM events GROUP BY user_id")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp").cast("double"))
+    e = table(spark, sf_dir, "events")
     cents = F.sum(F.floor(F.col("value") * 100 + 0.5).cast("bigint"))
-    return e.groupBy("user_id").agg(half_up(F.greatest(F.lit(0.0), F.max("t") - F.min("t")), 3).alias("elapsed_s"), F.count(F.lit(1)).alias("n"), half_up(cents / 100.0, 3).alias("total"))
+    return e.groupBy("user_id").agg(scalar.elapsed_seconds(F.min("ts"), F.max("ts")).alias("elapsed_s"), F.count(F.lit(1)).alias("n"), half_up(cents / 100.0, 3).alias("total"))
 
 
 @query(f"WITH {_DEC}, n AS (SELECT *, coalesce(folder, 'Entity_' || cluster_id) AS named, bad OR stopped AS ended FROM dec) SELECT event_id, CASE WHEN ended THEN NULL WHEN label = 'uncertain' THEN 'queue' WHEN label = 'target_found' AND conf < 0.75 THEN 'queue' WHEN label = 'target_absent' THEN 'direct_absent' ELSE 'direct' END AS route, CASE WHEN ended THEN NULL WHEN label = 'uncertain' THEN 'Uncertain' WHEN label = 'target_found' AND conf < 0.75 THEN 'Review_Pending/' || coalesce(named, 'Entity_Unknown') WHEN label = 'target_absent' THEN 'Absent' ELSE coalesce(named, 'Absent') END AS destination FROM n")
@@ -196,7 +197,7 @@ def recency_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(least(9, floor(value / 500 * 10)) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY 1")
 def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.least(F.lit(9), F.floor(F.col("value") / 500 * 10)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return review.confidence_histogram(table(spark, sf_dir, "events").withColumn("confidence", F.col("value") / 500))
 
 
 _ROLL = """WITH p AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done FROM events),
@@ -207,10 +208,8 @@ SELECT event_id, round(CASE WHEN t - coalesce(fpt, ft) > 0 THEN (done - coalesce
 
 @query(_ROLL)
 def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events")
-    p = e.select(F.col("user_id").alias("stream"), "event_id", "ts", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("done"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), "event_id", "ts")
+    p = numbered(e, ["stream"], ["ts", "event_id"], "k").select("stream", "event_id", "ts", (F.col("k") + 1).alias("done"))
     return sampling.rolling_rate(p, 86400).select("event_id", F.round("per_minute", 4).alias("per_minute"))
 
 
@@ -247,13 +246,73 @@ def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", scalar.eta(k % 50, F.lit(40), (k % 3) / 4.0).alias("eta"))
 
 
-@query("""WITH m AS (SELECT event_id AS i, 'a/' || event_id AS source_path, 'b/' || event_id AS final_path FROM events WHERE event_id % 3 = 0),
-c AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'A/' ELSE 'b/' END || event_id AS path, value FROM events WHERE event_id % 5 <> 0)
+@query("""WITH m AS (SELECT event_id AS i, 'a/' || event_id AS source_path, 'b/' || event_id AS final_path FROM events),
+c AS (SELECT CASE event_id % 5 WHEN 0 THEN 'C/' WHEN 1 THEN 'b/' WHEN 2 THEN 'B/' ELSE 'A/' END || event_id AS path, value FROM events)
 SELECT m.source_path, m.final_path, coalesce(s.value, f.value) AS value, CASE WHEN s.path IS NOT NULL THEN 'source' WHEN f.path IS NOT NULL THEN 'final' ELSE 'none' END AS found_by FROM m LEFT JOIN c s ON lower(s.path) = m.source_path LEFT JOIN c f ON lower(f.path) = m.final_path""")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the events as moves (the operator's input), a fifth of which the cache does not know."""
+    """Every event as a move and as an entry of the cache, under its source's path, its final one or neither."""
     i = F.col("event_id")
     e = table(spark, sf_dir, "events")
-    moves = e.where(i % 3 == 0).select(F.concat(F.lit("a/"), i).alias("source_path"), F.concat(F.lit("b/"), i).alias("final_path"))
-    cache = e.where(i % 5 != 0).select(F.concat(F.when(i % 2 == 0, "A/").otherwise("b/"), i).alias("path"), "value")
+    moves = e.select(F.concat(F.lit("a/"), i).alias("source_path"), F.concat(F.lit("b/"), i).alias("final_path"))
+    cache = e.select(F.concat(F.when(i % 5 == 0, "C/").when(i % 5 == 1, "b/").when(i % 5 == 2, "B/").otherwise("A/"), i).alias("path"), "value")
     return memory.cache_lookup(moves, cache).select("source_path", "final_path", "value", "found_by")
+
+
+_RETRY = f"""WITH {_EV}, w AS (SELECT user_id, CAST(event_id AS DOUBLE) AS s, event_id + k - 2.0::DOUBLE AS e, event_type = 'purchase' AND value > 300 AS ok, k, value / 500 AS best, event_id % 4 AS seeds, event_id % 3 AS low FROM ev),
+r AS (SELECT * FROM w WHERE e > s), f AS (SELECT user_id, min(s) AS s FROM r WHERE ok GROUP BY user_id),
+x AS (SELECT r.*, f.s AS f FROM r LEFT JOIN f USING (user_id) WHERE f.s IS NULL OR r.s <= f.s)
+SELECT user_id, coalesce(max(f), -1) AS found_at, coalesce(max(e) FILTER (s = f), -1) AS scan_end, count(*) AS attempted, round(sum(s), 1) AS starts, round(max(best), 4) AS best_seed, CAST(sum(seeds) AS BIGINT) AS seeds, CAST(sum(k) AS BIGINT) AS faces, CAST(sum(low) AS BIGINT) AS low_area FROM x GROUP BY user_id"""
+
+
+@query(_RETRY)
+def retry_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a retry window of its user; some end before they start."""
+    i = F.col("event_id")
+    w = _events(spark, sf_dir).select(F.col("user_id").alias("entity_id"), i.cast("double").alias("start"), (i + F.col("k") - 2.0).alias("end"), ((F.col("event_type") == "purchase") & (F.col("value") > 300)).alias("ok"), (F.col("value") / 500).alias("best_seed"), (i % 4).alias("seeds"), F.col("k").alias("faces"), (i % 3).alias("low_area"))
+    m = sampling.retry_merged(w)
+    total = F.aggregate("attempted", F.lit(0.0), lambda s, x: s + x)
+    return m.select(F.col("entity_id").alias("user_id"), *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("found_at", "scan_end")), F.size("attempted").cast("bigint").alias("attempted"), F.round(total, 1).alias("starts"), F.round("best_seed", 4).alias("best_seed"), "seeds", "faces", "low_area")
+
+
+_MERGED = f"""WITH {_EV}, f AS (SELECT doc_id, 'P' || (doc_id % 5) || '/clip' || (doc_id // 5) || CASE WHEN doc_id % 11 = 0 THEN '.txt' ELSE '.mp4' END AS path FROM documents),
+m AS (SELECT a.path AS old, 'P2/clip' || (a.doc_id // 5) || CASE WHEN b.path IS NULL THEN '' ELSE '_1' END || '.mp4' AS new FROM f a LEFT JOIN f b ON b.path = replace(a.path, 'P1/', 'P2/') WHERE a.path LIKE 'P1/%.mp4'),
+l AS (SELECT event_id, 'P' || (event_id % 5) AS label, CASE WHEN event_id % 3 = 0 THEN 'p' || (k % 5) END AS match_label, CASE WHEN event_id % 7 = 0 THEN 'P1/deep/' || event_id ELSE 'P' || (event_id % 5) || '/clip' || (event_id // 5) || '.mp4' END AS final_path FROM ev)
+"""
+
+
+def _merged(spark: SparkSession, sf_dir: str):
+    """Folder P1 merged into P2: documents as files, events as the log, every file with an entry in the cache."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    path = F.concat(F.lit("P"), n % 5, F.lit("/clip"), F.floor(n / 5), F.when(n % 11 == 0, ".txt").otherwise(".mp4"))
+    files = d.select("doc_id", path.alias("path"))
+    i, none = F.col("event_id"), F.lit(None).cast("string")
+    folder = F.concat(F.lit("P"), i % 5)
+    log = _events(spark, sf_dir).select(
+        i.cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.lit("positive").alias("event_type"), folder.alias("label"), F.when(i % 3 == 0, F.concat(F.lit("p"), F.col("k") % 5)).alias("match_label"), *(none.alias(c) for c in ("from_label", "to_label", "predicted_label", "negative_label")),
+        F.lit(0.5).alias("confidence"), none.alias("source_path"), F.when(i % 7 == 0, F.concat(F.lit("P1/deep/"), i)).otherwise(F.concat(folder, F.lit("/clip"), F.floor(i / 5), F.lit(".mp4"))).alias("final_path"),
+    )
+    cache = files.select("path", F.array(F.lit(1.0), (n % 7).cast("double")).alias("embedding"), F.lit(0.5).alias("confidence"), F.lit(None).cast("timestamp").alias("updated_at"))
+    ids = spark.range(5).select(F.concat(F.lit("P"), "id").alias("label"), F.array(F.lit(0.0), F.lit(1.0)).alias("prototype"), F.lit(1).alias("sample_count"), F.lit(0.5).alias("confidence_sum"), F.lit(0).alias("pos_count"), F.lit(0).alias("neg_count"), (F.col("id") == 1).alias("locked"), none.alias("locked_at"), none.alias("last_used"), F.lit(None).cast("timestamp").alias("last_corrected_at"))
+    return identity.merge({"files": files, "log": log, "cache": cache, "identities": ids}, "P1", "P2", "2024-05-01 10:00:00", keep=10**9)
+
+
+@query(_MERGED + "SELECT doc_id, coalesce(m.new, f.path) AS path FROM f LEFT JOIN m ON m.old = f.path")
+def identity_merge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0]["files"].select("doc_id", "path")
+
+
+@query(_MERGED + "SELECT event_id, CASE label WHEN 'P1' THEN 'P2' ELSE label END AS label, CASE match_label WHEN 'p1' THEN 'P2' ELSE match_label END AS match_label, CASE WHEN m.new IS NOT NULL THEN m.new WHEN final_path LIKE 'P1/%' THEN replace(final_path, 'P1/', 'P2/') ELSE final_path END AS final_path FROM l LEFT JOIN m ON m.old = l.final_path")
+def identity_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _merged(spark, sf_dir)[0]["log"].where(~F.col("event_id").startswith("identity"))
+    return log.select(F.col("event_id").cast("bigint").alias("event_id"), "label", "match_label", "final_path")
+
+
+@query(_MERGED + "SELECT CASE WHEN coalesce(m.new, f.path) LIKE 'P2/%' THEN 'P2' ELSE 'other' END AS folder, m.new IS NOT NULL AS touched, count(*) AS entries, count(DISTINCT coalesce(m.new, f.path)) AS paths FROM f LEFT JOIN m ON m.old = f.path GROUP BY 1, 2")
+def identity_merge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _merged(spark, sf_dir)[0]["cache"]
+    return c.groupBy(F.when(F.col("path").startswith("P2/"), "P2").otherwise("other").alias("folder"), F.col("updated_at").isNotNull().alias("touched")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("path").alias("paths"))
+
+
+@query(_MERGED + ", n AS (SELECT count(*) AS n FROM m) SELECT 'P' || p AS label, CASE p WHEN 2 THEN 2 + n WHEN 1 THEN 0 ELSE 1 END::INTEGER AS sample_count, CASE p WHEN 2 THEN n ELSE 0 END::INTEGER AS pos_count, CASE p WHEN 1 THEN n ELSE 0 END::INTEGER AS neg_count, p = 2 AS locked FROM range(5) r(p), n WHERE p <> 1 OR n > 0")
+def identity_merge_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0]["identities"].select("label", "sample_count", "pos_count", "neg_count", "locked")

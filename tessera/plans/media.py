@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vec
-from tessera.functions.scalar import base_name, folder_name, stem, suffix
+from tessera.functions.scalar import base_name, folder_name, normal_path, stem, suffix
 from tessera.operators import media, sampling
 from tessera.plans.registry import query, table
 
@@ -66,7 +66,7 @@ def phash_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.near_groups(_vectors(spark, sf_dir), 22.0)
 
 
-@query("WITH t AS (SELECT page_id % 40 AS g, lower(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)\\.[^.]+$', '\\1')) AS stem FROM pages), n AS (SELECT g, count(*) AS files FROM t GROUP BY g), k AS (SELECT g, unnest(list_distinct(list_filter(regexp_split_to_array(stem, '[^a-z0-9]+'), lambda x: len(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ('video','vid','clip','movie','scene','part','take','edit','final','draft','new','copy','female','girl','girls','woman','women','face','faces','sorted')))) AS token FROM t), c AS (SELECT g, token, count(*) AS c FROM k GROUP BY g, token), b AS (SELECT g, token, c, row_number() OVER (PARTITION BY g ORDER BY c DESC, len(token) DESC, token DESC) AS rn FROM c) SELECT n.g AS group_id, CASE WHEN b.c >= greatest(2, (files + 1) // 2) THEN upper(token[1]) || token[2:] END AS name FROM n LEFT JOIN b ON b.g = n.g AND b.rn = 1")
+@query("WITH t AS (SELECT page_id % 40 AS g, lower(regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)\\.[^.]+$', '\\1')) AS stem FROM pages), n AS (SELECT g, count(*) AS files FROM t GROUP BY g), k AS (SELECT g, unnest(list_distinct(list_filter(regexp_split_to_array(stem, '[^a-z0-9]+'), lambda x: len(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN (" + ",".join(f"'{w}'" for w in media.STOPWORDS) + ")))) AS token FROM t), c AS (SELECT g, token, count(*) AS c FROM k GROUP BY g, token), b AS (SELECT g, token, c, row_number() OVER (PARTITION BY g ORDER BY c DESC, len(token) DESC, token DESC) AS rn FROM c) SELECT n.g AS group_id, CASE WHEN b.c >= greatest(2, (files + 1) // 2) THEN upper(token[1]) || token[2:] END AS name FROM n LEFT JOIN b ON b.g = n.g AND b.rn = 1")
 def folder_name_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("group_id"), F.col("url").alias("path"))
     return media.infer_names(p)
@@ -152,3 +152,23 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(k % 6 == 0, "Uncertain").when(k % 6 == 1, ".hidden").otherwise(F.concat(F.lit("c"), k % 6))
     path = F.concat(folder, F.when(k % 7 == 0, "/sub/").otherwise("/"), k, F.when(k % 4 == 0, ".txt").when(k % 4 == 1, ".wmv").when(k % 4 == 2, ".M4V").otherwise(".MKV"))
     return media.folder_counts(table(spark, sf_dir, "part").select(path.alias("path")))
+
+
+@query(f"""WITH {_MEDIA}, g AS (SELECT *, min(path) OVER (PARTITION BY size, sha1) AS group_id, count(*) OVER (PARTITION BY size, sha1) AS members, first_value(path) OVER (PARTITION BY size, sha1 ORDER BY width * height DESC, size DESC, path) AS primary_path, first_value(width * height) OVER (PARTITION BY size, sha1 ORDER BY width * height DESC, size DESC, path) AS resolution FROM d)
+SELECT group_id, primary_path, string_agg(path, ',' ORDER BY path) FILTER (path <> primary_path) AS duplicates, CAST(max(members) - 1 AS INTEGER) AS duplicate_count, max(resolution) AS resolution, 100.0::DOUBLE AS bitrate, max(size) AS size FROM g WHERE members > 1 GROUP BY group_id, primary_path""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts with their copies in order (no item is near another here: hashes are far apart)."""
+    m = _documents(spark, sf_dir).withColumn("phash", F.array().cast("array<bigint>"))
+    r = media.duplicate_report(media.scan_duplicates(m), m)
+    return r.select("group_id", "primary_path", F.array_join("duplicate_paths", ",").alias("duplicates"), "duplicate_count", "quality.resolution", "quality.bitrate", "quality.size")
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/' || g || '/' || n WHEN 1 THEN g || '/' || n WHEN 2 THEN '../' || n WHEN 3 THEN n WHEN 4 THEN '/' || n ELSE '.' END AS path FROM (SELECT page_id, 'g' || (page_id % 7) AS g, CAST(page_id AS VARCHAR) AS n FROM pages)")
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    g, n = F.concat(F.lit("g"), F.col("page_id") % 7), F.col("page_id").cast("string")
+    forms = [F.concat(F.lit("//"), g, F.lit("/./x/../"), n, F.lit("/")), F.concat(F.lit("./"), g, F.lit("//"), n), F.concat(g, F.lit("/../../"), n), F.concat(g, F.lit("/h/../../"), n), F.concat(F.lit("/../"), g, F.lit("/../"), n), F.concat(g, F.lit("/.."))]
+    raw = forms[-1]
+    for k, form in enumerate(forms[:-1]):
+        raw = F.when(F.col("page_id") % 6 == k, form).otherwise(raw)
+    return p.select("page_id", normal_path(raw).alias("path"))

@@ -27,12 +27,15 @@ def json_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.text(path, wholetext=True).where(F.trim("value").startswith("{")).select(parsed.alias("r")).where("r._broken is null").select("r.*").drop("_broken")
 
 
-def identity_records(raw: DataFrame) -> DataFrame:
-    """Identity rows with defaults: counts not negative, thresholds in [0, 1], labels trimmed."""
+def identity_records(raw: DataFrame, auto: float = 0.82, suggest: float = 0.74) -> DataFrame:
+    """Identity rows with defaults: counts not negative, thresholds in [0, 1], labels trimmed; consistency, adaptive threshold and
+    trend are worked out anew from the counts, whatever was stored."""
     from tessera.functions.scalar import clamp, label_key
+    from tessera.operators.memory import learned
 
     count = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c)
-    return raw.select(F.trim("label").alias("label"), label_key(F.col("label")).alias("label_key"), "prototype", count("sample_count"), F.coalesce(F.col("confidence_sum").cast("double"), F.lit(0.0)).alias("confidence_sum"), F.coalesce("locked", F.lit(False)).alias("locked"), count("pos_count"), count("neg_count"), clamp(F.col("same_threshold").cast("double")).alias("same_threshold")).where("label_key <> ''")
+    rows = raw.select(F.trim("label").alias("label"), label_key(F.col("label")).alias("label_key"), "prototype", count("sample_count"), F.coalesce(F.col("confidence_sum").cast("double"), F.lit(0.0)).alias("confidence_sum"), F.coalesce("locked", F.lit(False)).alias("locked"), count("pos_count"), count("neg_count"), clamp(F.col("same_threshold").cast("double")).alias("same_threshold"))
+    return learned(rows.where("label_key <> ''"), auto, suggest)
 
 
 def result_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:

@@ -178,3 +178,53 @@ def test_merge_keeps_what_has_no_count(spark):
     r = memory.merged(spark.createDataFrame([a, b], kind), F.lit("b")).first()
     assert r["prototype"] == [0.0, 1.0] and r["sample_count"] == 0 and r["locked"] and r["locked_at"] == "t" and r["aux_threshold"] == 0.4
     assert np.allclose(r["aux_prototype"], np.array([3, 1]) / np.sqrt(10)) and r["aux_sample_count"] == 4 and r["aux_last_used"] == "5" and r["last_used"] == "2"
+
+
+@pytest.mark.parametrize("parts", ["1", "16"])
+def test_last_before_and_ranks_across_parts(spark, parts):
+    """A stream of all rows in many parts, with nulls between the values and groups that are null."""
+    from tessera.operators.ordered import last_before, numbered
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = [("a" if k % 9 else None, k, None if k % 5 < 3 and k < 80 else k) for k in range(200)]
+        df = spark.createDataFrame(rows, "g string, k bigint, v bigint").repartition(3)
+        got = {r["k"]: (r["n"], r["b"]) for r in numbered(last_before(df, ["g"], ["k"], F.col("v"), "b"), ["g"], ["k"], "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in ("a", None):
+        last = None
+        for n, (_, k, v) in enumerate(r for r in rows if r[0] == g):
+            assert got[k] == (n, last)
+            last = v if v is not None else last
+
+
+def test_first_hits_and_rates_of_one_stream(spark):
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.choice(4000, 300, replace=False))
+    df = spark.createDataFrame([("s", int(x), k, k, bool(k in (170, 200))) for k, x in enumerate(t)], "entity_id string, ts bigint, rank bigint, done bigint, hit boolean").repartition(5)
+    hits, seen = sampling.first_hits(df)
+    assert [r["rank"] for r in hits.collect()] == [170] and seen.first()["evaluated"] == 171
+    p = df.select(F.col("entity_id").alias("stream"), F.timestamp_seconds("ts").alias("ts"), "done")
+    got = {r["done"]: r["per_minute"] for r in sampling.rolling_rate(p).collect()}
+    for k in range(300):
+        o = max([j for j in range(k) if t[j] < t[k] - 300], default=0)
+        assert got[k] == pytest.approx((k - o) / (t[k] - t[o]) * 60 if t[k] > t[o] else 0.0)
+
+
+def test_a_family_of_many_wishes_is_spread(spark):
+    """Against the loop: one name wished 400 times, with taken numbers in runs, odd ones among them."""
+    taken = [("f", f"x_{k}.mp4") for k in (1, 2, 3, 7, 50, 51, 399, 1000)] + [("f", "x.mp4"), ("f", "x_05.mp4"), ("f", "x_9_1.mp4"), ("f", "x_99999999999999999999.mp4"), ("g", "x_2.mp4")]
+    wishes = [(f"p{k:03d}", "f", "x.mp4") for k in range(400)] + [("q0", "g", "x_2.mp4"), ("q1", "g", "x_2.mp4"), ("q2", "h", "y")]
+    used, want = set(taken), {}
+    for path, folder, name in sorted(wishes):
+        stem, dot, end = name.partition(".")
+        target, k = name, 0
+        while (folder, target) in used:
+            k += 1
+            target = f"{stem}_{k}{dot}{end}"
+        used.add((folder, target))
+        want[path] = target
+    m = spark.createDataFrame(wishes, "path string, folder string, name string").repartition(4)
+    assert {r["path"]: r["target"] for r in media.move_plan(m, spark.createDataFrame(taken, "folder string, name string")).collect()} == want

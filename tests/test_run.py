@@ -103,3 +103,58 @@ def test_run_from_the_command_line(spark, measured, identities, tmp_path):
     out = cli.result(cli.parser().parse_args(args), spark)
     assert out.count() == 2
     assert spark.read.json(str(tmp_path / "out" / "summary_json")).first()["scanned"] == 2
+
+
+def test_second_vector_decides_in_doubt(spark):
+    """First vectors at the threshold: the second one accepts one track and turns the other down; without cfg.reid both go by the first."""
+    a, doubt = [1.0, 0.0], [0.74, 0.6726]
+    rows = [(*track(f"in/{n}.mp4", doubt), aux) for n, aux in (("same", [0.0, 1.0]), ("other", [1.0, 0.0]), ("none", None))]
+    m = spark.createDataFrame(rows, MEASURED + ", aux_embedding array<double>")
+    ids = spark.createDataFrame([(0, "A", a, [0.0, 2.0], True, 0.74)], "position int, label string, prototype array<double>, aux_prototype array<double>, locked boolean, match_threshold double")
+    got = {r["path"]: r["match"] for r in run.decisions(m, ids, Config(reid=True)).collect()}
+    assert got["in/same.mp4"]["mode"] == "ambiguous_fused" and got["in/same.mp4"]["score"] == pytest.approx(0.65 * 0.74 + 0.35, abs=1e-3) and got["in/same.mp4"]["aux"] == pytest.approx(1.0)
+    assert got["in/other.mp4"] is None and got["in/none.mp4"]["mode"] == "ambiguous_primary"
+    assert all(r["match"]["mode"] == "ambiguous_primary" for r in run.decisions(m, ids, Config()).collect())
+
+
+def test_schedule_of_a_run(spark):
+    spans = spark.createDataFrame([("v", 6.0)], "entity_id string, duration double")
+    frames = spark.createDataFrame([("v", float(t), [1.0, 9.0] if t < 3 else [9.0, 1.0], 50.0, 90.0) for t in range(6)], "entity_id string, ts double, hist array<double>, deviation double, edges double")
+    plain = [r["ts"] for r in run.schedule(spans, frames, Config(scene_aware=False)).orderBy("ts").collect()]
+    aware = [r["ts"] for r in run.schedule(spans, frames, Config()).orderBy("ts").collect()]
+    assert plain == [0.0, 2.0, 4.0, 6.0] and set(plain) < set(aware) and 2.5 in aware and 3.5 in aware
+    assert run.seed_gate(Config(gate_side=10)).least_side == 10
+
+
+def test_result_payload(spark, measured, identities):
+    from tessera.operators import review
+
+    out = run.decisions(measured, identities, Config())
+    rows = {r["path"]: json.loads(r["value"]) for r in review.result_payload(out).collect()}
+    assert all(list(r) == list(review.PAYLOAD) and len(r) == 29 for r in rows.values())
+    one = rows["Uncertain/7.mp4"]
+    assert one["memory_applied"] and one["learning_applied"] and one["memory_match_score"] == 1.0 and one["video_name"] == "7.mp4" and one["embedding"] == [1.0, 0.0, 0.0] and one["memory_match_reid_score"] is None
+    assert rows["in/4.mp4"]["error"] == "broken" and rows["in/5.mp4"]["stopped"] and rows["in/2.mp4"]["embedding"] is None and rows["in/2.mp4"]["reason_metrics"]["faces"] == 9
+
+
+def test_retries_end_at_the_first_success(spark):
+    from tessera.operators import sampling
+
+    rows = [("a", 25.0, 45.0, False, 0.5, 1, 4), ("a", 50.0, 70.0, True, 0.9, 1, 9), ("a", 75.0, 95.0, True, 0.99, 5, 5), ("a", 80.0, 80.0, True, 1.0, 7, 7), ("b", 10.0, 5.0, True, 0.2, 1, 1), ("b", 20.0, 30.0, None, None, None, 2)]
+    m = {r["entity_id"]: r for r in sampling.retry_merged(spark.createDataFrame(rows, "entity_id string, start double, end double, ok boolean, best_seed double, seeds int, faces int")).collect()}
+    assert (m["a"]["found_at"], m["a"]["scan_end"], m["a"]["attempted"], m["a"]["seeds"], m["a"]["faces"], m["a"]["best_seed"]) == (50.0, 70.0, [25.0, 50.0], 2, 13, 0.9)
+    assert (m["b"]["found_at"], m["b"]["attempted"], m["b"]["seeds"], m["b"]["best_seed"]) == (None, [20.0], 0, 0.0)
+
+
+def test_paths_times_and_derived_fields(spark):
+    from datetime import datetime
+
+    from tessera.functions import scalar
+    from tessera.sources import files
+
+    for raw, want in {"a/b/../c": "a/c", "/../a": "/a", "../a/./b//": "../a/b", "a/..": ".", "": ".", "/": "/", "../../x": "../../x"}.items():
+        assert spark.range(1).select(scalar.normal_path(F.lit(raw)).alias("x")).first()["x"] == want
+    assert datetime.strptime(spark.range(1).select(scalar.utc_now().alias("x")).first()["x"], "%Y-%m-%dT%H:%M:%SZ")
+    raw = spark.createDataFrame([(" A ", None, -3, None, None, 10, 2, 1.5), ("", None, 1, 0.0, True, 1, 1, 0.5)], "label string, prototype array<double>, sample_count int, confidence_sum double, locked boolean, pos_count int, neg_count int, same_threshold double")
+    r = files.identity_records(raw).collect()
+    assert len(r) == 1 and (r[0]["label"], r[0]["sample_count"], r[0]["same_threshold"], r[0]["adaptive_threshold"], r[0]["trend"]) == ("A", 0, 1.0, 0.7917, "improving")

@@ -31,20 +31,48 @@ def test_media_files(spark, tmp_path):
     assert [(r["path"], r["size"]) for r in files.media_files(spark, str(tmp_path)).collect()] == [("sub/a.mp4", 2)]
 
 
+def streamed(spark, folder, df, parts, seed=1):
+    """df as files in shuffled order, a row that lets the watermark pass everything last."""
+    import random
+
+    order = list(range(parts))
+    random.Random(seed).shuffle(order)
+    rows = df.withColumn("_f", F.pmod(F.xxhash64(*df.columns[:3]), F.lit(parts))).cache()
+    for k in order:
+        rows.where(F.col("_f") == k).drop("_f").coalesce(1).write.mode("append").parquet(folder)
+
+
 def test_streamed_prototypes_equal_the_fold(spark, tmp_path):
+    """Events out of order, at equal times, with zero vectors, and ones without a vector."""
     from tessera.operators import memory
 
-    rows = [(f"l{i % 2}", i, i, 0.5, [float(i % 5), 1.0]) for i in range(20)]
+    rows = [(f"l{i % 2}", i // 3, i, None if i % 7 == 0 else 0.5, [0.0, 0.0] if i in (0, 1, 9) else None if i == 5 else [float(i % 5), 1.0]) for i in range(40)]
     schema = "label string, ts bigint, event_id bigint, confidence double, embedding array<double>"
-    df = spark.createDataFrame(rows, schema)
-    for k in range(2):
-        df.where(F.col("ts").between(k * 10, k * 10 + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("ts") + 10**9))
+    streamed(spark, str(tmp_path / "in"), df, 4)
+    spark.createDataFrame([("end", 10**6, 99, 0.5, [1.0, 1.0])], schema).withColumn("ts", F.timestamp_seconds(F.col("ts") + 10**9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     seen = {}
-    stream = progress.prototype_state(progress.events(spark, str(tmp_path / "in"), schema, files=1))
+    stream = progress.prototype_state(progress.events(spark, str(tmp_path / "in"), df.schema, files=1), "1 hour")
     progress.drain(stream, str(tmp_path / "cp"), lambda b, _: seen.update({r["label"]: r for r in b.collect()}), "update")
-    for r in memory.prototypes(df).collect():
-        assert seen[r["label"]]["sample_count"] == r["sample_count"]
-        assert all(abs(a - b) < 1e-9 for a, b in zip(seen[r["label"]]["prototype"], r["prototype"]))
+    want = {r["label"]: r for r in memory.prototypes(df).collect()}
+    assert set(want) == set(seen) - {"end"}
+    for label, r in want.items():
+        assert seen[label]["sample_count"] == r["sample_count"] and abs(seen[label]["confidence_sum"] - r["confidence_sum"]) < 1e-9
+        assert all(abs(a - b) < 1e-9 for a, b in zip(seen[label]["prototype"], r["prototype"]))
+
+
+def test_streamed_rate_equals_the_rolling_one(spark, tmp_path):
+    from tessera.operators import sampling
+
+    points = [(k % 2, (k * k) % 5000 + k, k) for k in range(80)]
+    df = spark.createDataFrame(points, "stream bigint, ts bigint, done bigint").withColumn("ts", F.timestamp_seconds(F.col("ts") + 10**9))
+    streamed(spark, str(tmp_path / "in"), df, 3)
+    spark.createDataFrame([(9, 10**7, 0)], "stream bigint, ts bigint, done bigint").withColumn("ts", F.timestamp_seconds(F.col("ts") + 10**9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    s = progress.rolling_state(progress.events(spark, str(tmp_path / "in"), df.schema, files=1), 300, "3 hours")
+    progress.drain(s, str(tmp_path / "cp"), lambda b, _: got.extend(tuple(r) for r in b.collect()), "update")
+    want = sorted((r["stream"], r["ts"], r["done"], round(r["per_minute"], 6)) for r in sampling.rolling_rate(df).collect())
+    assert sorted((a, b, c, round(d, 6)) for a, b, c, d in got if a != 9) == want and any(r[3] for r in want)
 
 
 def test_stream_counters_and_rates(spark, tmp_path):
