@@ -89,14 +89,14 @@ def learn(identities: DataFrame, events: DataFrame, source: str, target: str, at
     return out
 
 
-def _logged(log: DataFrame, events: DataFrame, action: str, source: str, target: str, at: str, keep: int) -> DataFrame:
+def _logged(log: DataFrame, events: DataFrame, action: str, source: str, target: str, at: str, keep: int | None) -> DataFrame:
     """The log after a structural event and the feedback, cut to the newest."""
     one = log.sparkSession.createDataFrame([(f"{action}-{at}", "structural", action, target, source, target, source, target)], "event_id string, event_type string, action string, label string, from_label string, to_label string, source_path string, final_path string")
     new = one.withColumn("ts", F.lit(at).cast("timestamp")).unionByName(events.drop("embedding", "aux_embedding"), allowMissingColumns=True)
     return memory.appended(log.withColumn("event_id", F.col("event_id").cast("string")), new, keep)
 
 
-def merge(tables: Tables, source: str, target: str, at: str, keep: int = 7000) -> tuple[Tables, DataFrame]:
+def merge(tables: Tables, source: str, target: str, at: str, keep: int | None = 7000) -> tuple[Tables, DataFrame]:
     """The tables after all of the source's files and what is known of it go to the target, and (old, new, nth) of the files.
 
     Files get the first free names there; log rows under the source's label, in any of its columns, get the target's, their paths
@@ -120,7 +120,7 @@ def merge(tables: Tables, source: str, target: str, at: str, keep: int = 7000) -
     }, moves
 
 
-def split(tables: Tables, source: str, target: str, chosen: DataFrame, at: str, keep: int = 7000) -> tuple[Tables, DataFrame]:
+def split(tables: Tables, source: str, target: str, chosen: DataFrame, at: str, keep: int | None = 7000) -> tuple[Tables, DataFrame]:
     """The tables after chosen(path) files of the source go to a new or other target, and (old, new, nth) of the files.
 
     Log rows of moved files get the target's label and the new path; the others stay. Chosen paths that are no files, or no media, are

@@ -184,9 +184,10 @@ def event_kind(event: Column, negative: Column) -> Column:
     return F.when(k == "", F.when(negative, "negative").otherwise("positive")).when(k.isin("negative", "structural"), k).otherwise("positive")
 
 
-def appended(log: DataFrame, events: DataFrame, keep: int = 7000, at: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The decision log after events, cut to the `keep` newest rows; columns that one side lacks are null."""
-    return bounded(log.unionByName(events, allowMissingColumns=True), at, tie, keep)
+def appended(log: DataFrame, events: DataFrame, keep: int | None = 7000, at: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The decision log after events, cut to the `keep` newest rows (None: all of them); columns that one side lacks are null."""
+    both = log.unionByName(events, allowMissingColumns=True)
+    return both if keep is None else bounded(both, at, tie, keep)
 
 
 def newest(rows: DataFrame, key: str, at: str, tie: str, keep: int | None = None) -> DataFrame:

@@ -293,7 +293,7 @@ def _merged(spark: SparkSession, sf_dir: str):
     )
     cache = files.select("path", F.array(F.lit(1.0), (n % 7).cast("double")).alias("embedding"), F.lit(0.5).alias("confidence"), F.lit(None).cast("timestamp").alias("updated_at"))
     ids = spark.range(5).select(F.concat(F.lit("P"), "id").alias("label"), F.array(F.lit(0.0), F.lit(1.0)).alias("prototype"), F.lit(1).alias("sample_count"), F.lit(0.5).alias("confidence_sum"), F.lit(0).alias("pos_count"), F.lit(0).alias("neg_count"), (F.col("id") == 1).alias("locked"), none.alias("locked_at"), none.alias("last_used"), F.lit(None).cast("timestamp").alias("last_corrected_at"))
-    return identity.merge({"files": files, "log": log, "cache": cache, "identities": ids}, "P1", "P2", "2024-05-01 10:00:00", keep=10**9)
+    return identity.merge({"files": files, "log": log, "cache": cache, "identities": ids}, "P1", "P2", "2024-05-01 10:00:00", keep=None)
 
 
 @query(_MERGED + "SELECT doc_id, coalesce(m.new, f.path) AS path FROM f LEFT JOIN m ON m.old = f.path")
