@@ -83,15 +83,18 @@ def packed(sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, many
 
 
-def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str) -> tuple[DataFrame, Cells] | None:
-    """Rows (id, x, cell) of usable vectors by their nearest pivot, and the cells; None without rows.
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """id and x: the unit vectors of rows that have one."""
+    return vectors.select(F.col(key).alias("id"), vec.normalized(F.col(vector)).alias("x")).where(F.col("x").isNotNull())
+
+
+def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str) -> tuple[DataFrame, Cells]:
+    """Rows (id, x, cell) of usable vectors, one at least, by their nearest pivot, and the cells.
 
     Pivots are the rows with the least hashes of their keys, so many that a cell has CELL rows on average, PIVOTS at most.
     """
-    rows = shelf.put(vectors.select(F.col(key).alias("id"), vec.normalized(F.col(vector)).alias("x")).where(F.col("x").isNotNull()))
+    rows = shelf.put(usable(vectors, key, vector))
     n = rows.count()
-    if not n:
-        return None
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // CELL))).select("x").collect()  # bounded
     pivots = np.unique(np.array([r["x"] for r in chosen]), axis=0)
     pivots = pivots[near_order(pivots)]
@@ -160,11 +163,12 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
         low, high = (pa.array(x[once], t["id"].type) for x in (np.minimum(u, v), np.maximum(u, v)))
         return pa.table({"u": low, "v": high, "similarity": s[once]})
 
+    rows = usable(vectors, key, vector)
+    if rows.limit(BLOCK + 1).count() <= BLOCK:  # one block
+        return rows.select("id", "x", *(F.lit(0).alias(c) for c in ("own", "a", "b"))).groupBy("a", "b").applyInArrow(pairs, schema)
     with Shelf(vectors.sparkSession, "similar") as shelf:
-        got = celled(vectors, least, shelf, key, vector)
-        if got is None:
-            return vectors.sparkSession.createDataFrame([], schema)
-        return saved(visited(*got).groupBy("a", "b").applyInArrow(pairs, schema), "similar-pairs")
+        met = visited(*celled(vectors, least, shelf, key, vector))
+        return saved(met.groupBy("a", "b").applyInArrow(pairs, schema), "similar-pairs")
 
 
 def unit_rows(column: pa.ChunkedArray) -> np.ndarray | None:
