@@ -110,25 +110,38 @@ def heads(rows: DataFrame) -> DataFrame:
 
 
 def settled(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level and at (adjusted turn) of calls(conv_id, call_id, refs, turn, answered) that depend on others; null where unresolved."""
+    """conv_id, call_id, level and at (adjusted turn) of calls(conv_id, call_id, refs, turn, answered) that depend on others; null where unresolved.
+
+    A round settles the calls whose references are all settled, and lets every reference to a waiting call that has a single reference
+    itself skip it, so that a chain of n calls takes about log n rounds. What skips keeps `steps` and the latest turn on its way.
+    """
     key = ["conv_id", "call_id"]
     on = F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("ref") == F.col("fi"))
     done = lambda df, at: df.select(F.col("conv_id").alias("fc"), F.col("call_id").alias("fi"), "level", F.greatest(at, "answered").alias("done"))
     free = done(calls.where(F.size("refs") <= 0).withColumn("level", F.lit(0)), F.col("turn"))
-    waiting = calls.where(F.size("refs") > 0).select(*key, "turn", "answered", F.explode(F.array_distinct("refs")).alias("ref"))
+    refs = F.array_distinct("refs")
+    waiting = calls.where(F.size("refs") > 0).select(*key, "answered", F.size(refs).alias("need"), F.explode(refs).alias("ref"), F.lit(1).alias("steps"), F.col("turn").alias("least"))
     # what waits, with level and last turn of what is known of its references
     seen = cut(waiting.join(free.hint("shuffle_hash"), on, "left").drop("fc", "fi"))
     all_ = seen.select(*key).distinct()
     found = None
     while True:
-        now = seen.groupBy(*key).agg(F.count("level").alias("have"), F.count(F.lit(1)).alias("need"), (F.max("level") + 1).alias("level"), F.greatest(F.max("turn"), F.max("done")).alias("at"), F.max("answered").alias("answered"))
+        now = seen.groupBy(*key).agg(F.count("level").alias("have"), F.max("need").alias("need"), F.max(F.col("level") + F.col("steps")).alias("level"), F.greatest(F.max("least"), F.max("done")).alias("at"), F.max("answered").alias("answered"))
         now = cut(now.where("have = need").select(*key, "level", "at", "answered"))
         if now.isEmpty():
             break
         found = now if found is None else found.unionByName(now)
-        seen = seen.join(now.select(F.col("conv_id").alias("fc"), F.col("call_id").alias("fi")), F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("call_id") == F.col("fi")), "left_anti")
+        rest = seen.join(now.select(F.col("conv_id").alias("fc"), F.col("call_id").alias("fi")), F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("call_id") == F.col("fi")), "left_anti")
         new = done(now, F.col("at")).withColumnsRenamed({"level": "new", "done": "then"})
-        seen = cut(seen.join(new.hint("shuffle_hash"), on, "left").select(*key, "turn", "answered", "ref", F.coalesce("level", "new").alias("level"), F.coalesce("done", "then").alias("done")))
+        rest = cut(rest.join(new.hint("shuffle_hash"), on, "left").select(*key, "answered", "need", "ref", "steps", "least", F.coalesce("level", "new").alias("level"), F.coalesce("done", "then").alias("done")))
+        if rest.isEmpty():
+            break
+        over = rest.where("level IS NULL AND need = 1").select(F.col("conv_id").alias("fc"), F.col("call_id").alias("fi"), F.col("ref").alias("next"), F.col("steps").alias("more"), F.greatest("least", "answered").alias("late"))
+        jumped = rest.join(over.hint("shuffle_hash"), on & F.col("level").isNull(), "left")
+        # a jump may land on what was settled long ago; so it looks there, too
+        jumped = jumped.select(*key, "answered", "need", F.coalesce("next", "ref").alias("ref"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("least", "late").alias("least"), F.col("level").alias("had"), F.col("done").alias("was"), F.col("next").isNotNull().alias("far"))
+        known = free.unionByName(done(found, F.col("at")))
+        seen = cut(jumped.join(known.hint("shuffle_hash"), on & F.col("far"), "left").select(*key, "answered", "need", "ref", "steps", "least", F.coalesce("had", "level").alias("level"), F.coalesce("was", "done").alias("done")))
     if found is None:
         return all_.withColumns({"level": F.lit(None).cast("int"), "at": F.lit(None).cast("bigint")})
     f = found.select(F.col("conv_id").alias("fc"), F.col("call_id").alias("fi"), "level", "at")

@@ -104,3 +104,40 @@ def test_links_are_hash_joined_and_nothing_grows_in_a_broadcast(spark, sf_dir):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_settled_against_a_walk(spark, monkeypatch):
+    """Chains of 70, random references to one to three calls, missing ones and rings, with turns and answers in any order."""
+    rng = __import__("random").Random(5)
+    calls = {}
+    for k in range(70):
+        calls[1, f"c{k}"] = ([f"c{k + 1}"] if k < 69 else [], rng.randrange(99), rng.choice([None, rng.randrange(99)]))
+    for k in range(120):
+        n = rng.choice([0, 1, 1, 1, 2, 3])
+        calls[2, f"d{k}"] = ([f"d{rng.randrange(k)}" for _ in range(n)] if k else [], rng.randrange(99), rng.choice([None, rng.randrange(99)]))
+    calls[2, "lost"] = (["nobody", "d0"], 1, None)
+    calls[2, "after"] = (["lost"], 1, None)
+    calls |= {(None, "x"): (["y"], 1, 1), (None, "y"): (["z"], 2, 2), (None, "z"): (["x"], 3, 3), (None, "w"): (["x"], 4, 4)}
+    want = {}
+
+    def walk(c, way=()):
+        if c not in calls or c in way:
+            return None
+        if c not in want:
+            refs, turn, _ = calls[c]
+            got = [walk((c[0], r), (*way, c)) for r in refs]
+            if None in got:
+                want[c] = None
+            else:
+                want[c] = (max([v[0] + 1 for v in got], default=0), max([turn, *(v[1] if (a := calls[c[0], r][2]) is None else max(v[1], a) for v, r in zip(got, refs))]))
+        return want[c]
+
+    __import__("sys").setrecursionlimit(5000)
+    for c in calls:
+        walk(c)
+    rounds, cut = [], chat.cut
+    monkeypatch.setattr(chat, "cut", lambda df: (rounds.append(1), cut(df))[1])
+    df = spark.createDataFrame([(*c, refs, turn, answered) for c, (refs, turn, answered) in calls.items()], "conv_id bigint, call_id string, refs array<string>, turn bigint, answered bigint")
+    got = {(r["conv_id"], r["call_id"]): None if r["level"] is None else (r["level"], r["at"]) for r in chat.settled(df).collect()}
+    assert got == {c: v for c, v in want.items() if calls[c][0]}
+    assert want[1, "c0"][0] == 69 and len(rounds) < 40
