@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import entities, events, frames, media
+from tessera.plans import entities, events, frames, media, states
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
 FLAGSHIP = entities.memory_assist_decisions
-_ = events, frames, media
+_ = events, frames, media, states
