@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import vec
+from tessera.functions import fusion, vec
 from tessera.functions.fusion import MODES, Fusion, rerank_arrays
 from tessera.session import Shelf, carried, cut, saved
 
-carried(__name__)
+for _module in (__name__, fusion.__name__, vec.__name__):
+    carried(_module)
 
 #: Rows of a block; two blocks and their products are what a task holds.
 BLOCK = 2048
