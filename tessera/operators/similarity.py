@@ -19,8 +19,8 @@ for _module in (__name__, fusion.__name__, vec.__name__):
 
 #: Rows of a block; two blocks and their products are what a task holds.
 BLOCK = 2048
-#: Rows around a pivot on average, and pivots at most.
-CELL, PIVOTS = 64, 4096
+#: Rows around a pivot on average, pivots at most, and rows that each of them is chosen from.
+CELL, PIVOTS, CHOICE = 64, 1024, 4
 #: Angle (radians) by which bounds are widened against rounding.
 SLACK = 1e-5
 #: Identities, and results, of a block of the top-1 match.
@@ -60,6 +60,15 @@ class Cells:
         return angle <= self.radius + self.reach + SLACK
 
 
+def far_apart(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` rows, each the one farthest from all before, so that groups apart have pivots of their own."""
+    chosen, best = [0], x @ x[0]
+    while len(chosen) < most and best.min() < 1 - 1e-9:
+        chosen.append(int(best.argmin()))
+        best = np.maximum(best, x @ x[chosen[-1]])
+    return x[chosen]
+
+
 def near_order(pivots: np.ndarray) -> np.ndarray:
     """Pivots in a chain, each followed by the nearest that is left."""
     left, chain = np.ones(len(pivots), bool), [0]
@@ -92,12 +101,14 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str) -> tuple[DataFrame, Cells]:
     """Rows (id, x, cell) of usable vectors, one at least, by their nearest pivot, and the cells.
 
-    Pivots are the rows with the least hashes of their keys, so many that a cell has CELL rows on average, PIVOTS at most.
+    Pivots are chosen, far from one another, from the rows with the least hashes of their keys; as many that a cell has CELL rows on
+    average, PIVOTS at most. A group that is in no pivot makes the cells that take it wide, which costs work and loses nothing.
     """
     rows = shelf.put(usable(vectors, key, vector))
     n = rows.count()
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-n // CELL))).select("x").collect()  # bounded
-    pivots = np.unique(np.array([r["x"] for r in chosen]), axis=0)
+    most = min(PIVOTS, -(-n // CELL))
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(CHOICE * most).select("x").collect()  # bounded
+    pivots = far_apart(np.array([r["x"] for r in some]), most)
     pivots = pivots[near_order(pivots)]
     kind = dict(rows.dtypes)["id"]
 
