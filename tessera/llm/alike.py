@@ -37,8 +37,8 @@ SHORT = 120
 COMMON, TOLD = 8, 100_000
 #: Members, and shingles of all members, that a block of a key has on average at most; counters of a sketch.
 BLOCK, WEIGHT, SLOTS = 256, 1 << 18, 256
-#: Words whose hashes a task remembers, and columns of a part of the incidence matrix.
-WORDS, COLUMNS = 1 << 18, 8192
+#: Words whose hashes a task remembers, rows whose shingles it holds at once, and columns of a part of the incidence matrix.
+WORDS, ROWS, COLUMNS = 1 << 17, 1024, 8192
 
 
 class Words(dict):
@@ -51,6 +51,12 @@ class Words(dict):
         return h
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def shingle_hashes(text: str | None, width: int = 5, known: Words | None = None) -> np.ndarray:
     """Sorted distinct hashes of a text's runs of `width` words; a shorter text is one run, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -262,7 +268,7 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             got = [g for t in b.column("text") if len(g := shingle_hashes(t.as_py(), width, words)) <= most]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got or [np.zeros(0, np.uint64)]).view(np.int64))], names=["s"])
 
@@ -271,7 +277,7 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             n, keys, h, same = [], [], [], []
             for t in b.column("text"):
                 text = t.as_py() or ""
@@ -287,7 +293,7 @@ def similar(docs: DataFrame, known: DataFrame, least: float = 0.8, width: int =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_hashes(t.as_py(), width, words).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "x"])
 
