@@ -104,10 +104,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
-    """The documents that op11 looks at: by its contract every tenth repeats a stretch of its own words up to its end."""
+    """The documents that op11 looks at: by its contract every tenth repeats a stretch of its own words up to its end; those without
+    a word stay as they are."""
     h = F.crc32(F.col("doc_id").cast("string"))
     words = F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    d = docs.select("doc_id", "text", words.alias("_w"), F.floor(h / 10).alias("_g")).withColumn("_n", F.size("_w")).withColumn("_a", (F.col("_g") % F.col("_n")).cast("int"))
+    d = docs.select("doc_id", "text", words.alias("_w"), F.floor(h / 10).alias("_g")).withColumn("_n", F.size("_w")).withColumn("_a", F.try_mod(F.col("_g"), F.col("_n").cast("bigint")).cast("int"))
     d = d.withColumn("_p", (F.floor((F.col("_n") - F.col("_a")) / (F.col("_g") % 8 + 3)) + 1).cast("int"))
     rest = F.col("_n") - F.col("_a")
     tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)

@@ -93,3 +93,15 @@ def test_long_text():
     got = runs.runs_of([t, np.zeros(40_000, np.int64)], 1000)
     assert (got[1][0].tolist(), got[1][1].tolist(), got[1][2].tolist()) == ([0], [40_000], [1])
     assert any((a <= 500 and n >= 35_000 and q == 7000) for a, n, q in zip(*got[0]))
+
+
+def test_query_on_texts_without_words(spark, tmp_path):
+    """Rows that the contract has repeat their words, and have none."""
+    ids = [d for d in range(400) if zlib.crc32(str(d).encode()) % 10 == 0][:4]
+    texts = ["", " \t\n ", None, "a b c d e f g h i j k l"]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op11_periodic_runs"](spark, str(tmp_path)).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert len(got) == 4
+    for d in ids[:3]:
+        assert (got[d]["n_runs"], got[d]["start"], got[d]["runs_sha256"], got[d]["collapsed_sha256"]) == (0, None, none, none)
