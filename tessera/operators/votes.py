@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,14 +76,22 @@ def subject_vote(rows: DataFrame, floor: float = 0.02, ceil: float = 0.12, least
 
 
 def verified(rows: DataFrame, frames: int = 2, least_conf: float = 0.65, least_ratio: float = 0.62) -> DataFrame:
-    """votes, scores and `verified` per entity_id over candidate votes (entity_id, label, label_conf)."""
+    """votes, scores and `verified` per entity_id over candidate votes (entity_id, label, label_conf).
+
+    Scores are summed and held against the ratio as decimals (confidences to 15 places), so a share of just the ratio counts
+    whatever order the votes are added in.
+    """
     if frames < 2:
         raise ValueError("two positive votes are always needed: frames must be 2 or more")
     c = F.col
+    conf = c("label_conf").try_cast("decimal(18,15)")
+    sum_of = lambda label: F.sum(F.when(c("label") == label, conf).otherwise(F.lit(0).cast("decimal(18,15)")))
     counted = rows.where(c("label").isin("target", "other") & (c("label_conf") > 0))
-    out = counted.groupBy("entity_id").agg(F.count(F.lit(1)).alias("votes"), F.count_if((c("label") == "target") & (c("label_conf") >= least_conf)).alias("pos_votes"), F.sum(F.when(c("label") == "target", c("label_conf")).otherwise(0.0)).alias("pos_score"), F.sum(F.when(c("label") == "other", c("label_conf")).otherwise(0.0)).alias("neg_score"))
-    total = c("pos_score") + c("neg_score")
-    return out.withColumn("verified", (c("votes") >= frames) & (c("pos_votes") >= max(2, frames - 1)) & (total > 0) & (c("pos_score") / total >= least_ratio) & (c("pos_score") > c("neg_score")))
+    out = counted.groupBy("entity_id").agg(F.count(F.lit(1)).alias("votes"), F.count_if((c("label") == "target") & (c("label_conf") >= least_conf)).alias("pos_votes"), sum_of("target").alias("_pos"), sum_of("other").alias("_neg"))
+    ratio = Decimal(str(least_ratio))
+    enough = c("_pos") * F.lit(1 - ratio) >= c("_neg") * F.lit(ratio)
+    out = out.withColumn("verified", (c("votes") >= frames) & (c("pos_votes") >= max(2, frames - 1)) & (c("_pos") + c("_neg") > 0) & enough & (c("_pos") > c("_neg")))
+    return out.select("entity_id", "votes", "pos_votes", c("_pos").cast("double").alias("pos_score"), c("_neg").cast("double").alias("neg_score"), "verified")
 
 
 def best_match(detections: DataFrame, similarity: Column) -> DataFrame:

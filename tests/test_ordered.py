@@ -133,6 +133,14 @@ def test_cluster_folders_of_one_name_are_not_tried_one_by_one(spark, monkeypatch
     assert got == {c: f"Entity_{c}" if c % 2 else "Entity_Beach" if c == 0 else f"Entity_Beach_{c // 2 + 1}" for c in range(40_000)}
 
 
+def test_votes_of_just_the_ratio_in_any_order(spark):
+    """31 to 19 is a share of 0.62, which sums of doubles miss in this order."""
+    pos, neg = [6, 9, 9, 6, 9, 9, 6, 8], [9, 5, 8, 4, 2, 2, 7, 1]
+    rows = [(1, "target", x / 10) for x in pos] + [(1, "other", x / 10) for x in neg] + [(2, "target", 0.7), (2, "target", 0.6), (2, "other", 0.9)]
+    got = {r["entity_id"]: r for r in votes.verified(spark.createDataFrame(rows, "entity_id int, label string, label_conf double").coalesce(1)).collect()}
+    assert got[1]["verified"] and (got[1]["pos_score"], got[1]["neg_score"], got[1]["votes"]) == (6.2, 3.8, 16) and not got[2]["verified"]
+
+
 def test_exact_group_members_are_never_near(spark):
     rows = [("a", 1, "s", 10.0, 1, 1, 1.0, [0]), ("b", 1, "s", 10.0, 2, 1, 1.0, [0]), ("c", 2, "t", 10.5, 1, 1, 1.0, [0]), ("d", 3, "u", 10.2, 1, 1, 1.0, [1])]
     m = spark.createDataFrame(rows, "path string, size bigint, sha1 string, duration double, width int, height int, bitrate double, phash array<bigint>")
