@@ -17,8 +17,13 @@ from tessera.session import Shelf, carried, cut, saved
 for _module in (__name__, fusion.__name__, vec.__name__):
     carried(_module)
 
-#: Rows of a block; two blocks and their products are what a task holds.
+#: Rows of a tile, and of a block at least; two blocks and the product of two tiles are what a task holds.
 BLOCK = 2048
+#: Blocks that rows are dealt to if these are not too small or large, and bytes of vectors in a block at most. Where nothing can be
+#: skipped every row is sent to every block, so blocks are few.
+BLOCKS, BYTES = 12, 16 << 20
+#: Rows of pairs that leave a task at once, and links that wait in it to be looked at together.
+LOT = 1 << 18
 #: Rows around a pivot on average, pivots at most, and rows that each of them is chosen from.
 CELL, PIVOTS, CHOICE = 64, 1024, 4
 #: Angle (radians) by which bounds are widened against rounding.
@@ -34,6 +39,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + vec.EPS)
 
 
+def raw(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column as they are; vectors share one length and have no null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, of rows that have one."""
+    x = x.astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
@@ -42,7 +59,7 @@ def angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 class Cells:
     """Cells of the unit sphere around pivots and the blocks that their rows fall into; of bounded size.
 
-    Cells of near pivots share a block up to BLOCK rows; a larger cell has `many` blocks from `first` on.
+    Cells of near pivots share a block up to its rows; a larger cell has `many` blocks from `first` on.
     """
 
     pivots: np.ndarray
@@ -80,13 +97,18 @@ def near_order(pivots: np.ndarray) -> np.ndarray:
     return np.array(chain)
 
 
-def packed(sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First block and number of blocks of each cell: neighbours in the order share a block up to BLOCK rows."""
+def block_rows(n: int, wide: int) -> int:
+    """Rows of a block for n vectors of `wide` bytes."""
+    return max(BLOCK, min(-(-n // BLOCKS), BYTES // wide))
+
+
+def packed(sizes: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbours in the order share a block up to `most` rows."""
     first, many, block, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
     for c in order:
-        if held and held + sizes[c] > BLOCK:
+        if held and held + sizes[c] > most:
             block, held = block + 1, 0
-        first[c], many[c] = block, max(1, -(-sizes[c] // BLOCK))
+        first[c], many[c] = block, max(1, -(-sizes[c] // most))
         held += sizes[c]
         if many[c] > 1:
             block, held = block + many[c], 0
@@ -94,8 +116,10 @@ def packed(sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and x: the unit vectors of rows that have one."""
-    return vectors.select(F.col(key).alias("id"), vec.normalized(F.col(vector)).alias("x")).where(F.col("x").isNotNull())
+    """id and x: the vectors, as they are, of rows whose vector has a direction."""
+    kind = dict(vectors.dtypes)[vector]
+    x = F.col(vector) if kind in ("array<float>", "array<double>") else vec.doubles(F.col(vector))
+    return vectors.where(vec.normalized(F.col(vector)).isNotNull()).select(F.col(key).alias("id"), x.alias("x"))
 
 
 def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str) -> tuple[DataFrame, Cells]:
@@ -108,28 +132,30 @@ def celled(vectors: DataFrame, least: float, shelf: Shelf, key: str, vector: str
     n = rows.count()
     most = min(PIVOTS, -(-n // CELL))
     some = rows.orderBy(F.xxhash64("id"), "id").limit(CHOICE * most).select("x").collect()  # bounded
-    pivots = far_apart(np.array([r["x"] for r in some]), most)
+    pivots = far_apart(unit(np.array([r["x"] for r in some])), most)
     pivots = pivots[near_order(pivots)]
-    kind = dict(rows.dtypes)["id"]
+    kind, wide = dict(rows.dtypes)["id"], dict(rows.dtypes)["x"]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = matrix(b.column("x")) @ pivots.T
-            cell = s.argmax(axis=1) if len(s) else np.zeros(0, np.int64)
+            if not b.num_rows:
+                continue
+            s = unit(raw(b.column("x"))) @ pivots.T
+            cell = s.argmax(axis=1)
             angle = np.arccos(np.clip(s.max(axis=1, initial=-1), -1, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float64())], names=["id", "x", "cell", "angle"])
 
-    dealt = shelf.put(rows.mapInArrow(nearest, f"id {kind}, x array<double>, cell int, angle double"))
+    dealt = shelf.put(rows.mapInArrow(nearest, f"id {kind}, x {wide}, cell int, angle double"))
     radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in dealt.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
         radius[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
-    first, many = packed(sizes, np.arange(len(pivots)))
+    first, many = packed(sizes, np.arange(len(pivots)), block_rows(n, pivots.shape[1] * (4 if wide == "array<float>" else 8)))
     return dealt.drop("angle"), Cells(pivots, np.where(sizes > 0, radius, -np.inf), first, many, float(np.arccos(np.clip(least, -1, 1))))
 
 
 def visited(dealt: DataFrame, cells: Cells) -> DataFrame:
     """(id, x, own, a, b): each row under every pair of blocks, its own and one in which it can have a partner."""
-    kind = dict(dealt.dtypes)["id"]
+    kind, wide = dict(dealt.dtypes)["id"], dict(dealt.dtypes)["x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = cells.blocks()
@@ -137,7 +163,7 @@ def visited(dealt: DataFrame, cells: Cells) -> DataFrame:
         for big in batches:
             for lo in range(0, big.num_rows, step):
                 b = big.slice(lo, step)
-                go = cells.visits(angles(matrix(b.column("x")), cells.pivots))
+                go = cells.visits(angles(unit(raw(b.column("x"))), cells.pivots))
                 edge = np.zeros((len(go), blocks + 1), np.int32)
                 row, cell = np.nonzero(go)
                 np.add.at(edge, (row, cells.first[cell]), 1)
@@ -151,36 +177,160 @@ def visited(dealt: DataFrame, cells: Cells) -> DataFrame:
                 )
 
     part = F.shiftrightunsigned(F.xxhash64("id"), 1).alias("part")
-    return dealt.select("id", "x", "cell", part).mapInArrow(run, f"id {kind}, x array<double>, own int, a int, b int")
-
-
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(u, v, similarity), u < v, of all pairs with cosine >= least. Degenerate vectors have no pair.
-
-    Rows fall into cells around pivots, cells into blocks; a pair of blocks is one task's matrix product, so memory is bounded
-    whatever the rows. A row goes to those blocks alone that can hold a partner by the triangle inequality of angles, so
-    where vectors cluster most pairs of blocks never meet, and nothing is lost. Vectors must share one length.
+    return dealt.select("id", "x", "cell", part).mapInArrow(run, f"id {kind}, x {wide}, own int, a int, b int")
+
+
+def hits(t: pa.Table, least: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i and j of t, and their cosine, of all pairs of rows of its two blocks with cosine >= least[0], tile by tile; least[0] may
+    rise on the way. Single precision rules out what is farther below than it can err; what is left is decided in double."""
+    if not t.num_rows:
+        return
+    ids, own, x, a, b = t["id"].to_numpy(), t["own"].to_numpy(), raw(t["x"]), t["a"][0].as_py(), t["b"][0].as_py()
+    left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+    slack = (x.shape[1] + 8) * 1.2e-7
+    for lo in range(0, len(left), BLOCK):
+        i = left[lo : lo + BLOCK]
+        xi = unit(x[i])
+        for hi in range(lo if a == b else 0, len(right), BLOCK):
+            j = right[hi : hi + BLOCK]
+            xj = unit(x[j])
+            p, q = np.nonzero(xi.astype(np.float32) @ xj.astype(np.float32).T >= least[0] - slack)
+            if a == b and lo == hi:
+                p, q = p[p < q], q[p < q]
+            if len(p) * 16 > len(i) * len(j):
+                s = (xi @ xj.T)[p, q]
+            else:
+                s = np.concatenate([np.einsum("ij,ij->i", xi[p[k : k + 16384]], xj[q[k : k + 16384]]) for k in range(0, max(len(p), 1), 16384)])
+            u, v = i[p], j[q]
+            keep = (s >= least[0]) & (ids[u] != ids[v])
+            yield u[keep], v[keep], s[keep]
+
+
+def united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of rows i with those of rows j; in `root` every row has its root, before and after."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not (root[root] == root).all():
+            root[:] = root[root]
+
+
+class Links:
+    """What links(i, j) of n rows come to: few pairs that hold them together, and how many links each row has.
+
+    With `need` of 1 at most the pairs are a spanning forest of all links. Else they are one of the links between rows that have `need`
+    links, and every link of the others, of which there are fewer than `need` for a row.
     """
-    kind = dict(vectors.dtypes)[key]
-    schema = f"u {kind}, v {kind}, similarity double"
-
-    def pairs(t: pa.Table) -> pa.Table:
-        ids, own, x = t["id"].to_numpy(), t["own"].to_numpy(), matrix(t["x"].combine_chunks())
-        a, b = t["a"][0].as_py(), t["b"][0].as_py()
-        i, j = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        s = x[i] @ x[j].T
-        p, q = np.nonzero(s >= least)
-        u, v, s = ids[i[p]], ids[j[q]], s[p, q]
-        once = u < v if a == b else u != v
-        low, high = (pa.array(x[once], t["id"].type) for x in (np.minimum(u, v), np.maximum(u, v)))
-        return pa.table({"u": low, "v": high, "similarity": s[once]})
 
+    def __init__(self, n: int, need: int) -> None:
+        self.root, self.need, self.degree, self.wait, self.waiting = np.arange(n), need, np.zeros(n, np.int64), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        n = len(self.root)
+        if self.need > 1:
+            self.degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+        apart = self.root[i] != self.root[j]
+        self.wait.append((i[apart], j[apart]))
+        self.waiting += int(apart.sum())
+        if self.waiting > LOT:
+            self.settle()
+
+    def settle(self) -> None:
+        """Links of rows that have enough go into the trees, others wait on."""
+        if not self.wait:
+            return
+        i, j = (np.concatenate([w[c] for w in self.wait]) for c in (0, 1))
+        sure = (self.degree[i] >= self.need) & (self.degree[j] >= self.need) if self.need > 1 else np.ones(len(i), bool)
+        united(self.root, i[sure], j[sure])
+        self.wait, self.waiting = [(i[~sure], j[~sure])], 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle()
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return tuple(np.concatenate([x, *(w[c] for w in self.wait)]) for c, x in ((0, at), (1, self.root[at])))
+
+
+def in_lots(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    b = pa.RecordBatch.from_pydict(columns)
+    for lo in range(0, b.num_rows, LOT):
+        yield b.slice(lo, LOT)
+
+
+def by_blocks(vectors: DataFrame, least: float, key: str, vector: str, each: Callable, schema: str) -> DataFrame:
+    """What each(batches) gives for every pair of blocks of usable vectors that can hold a pair at `least`: rows (id, x, own, a, b).
+
+    Rows fall into cells around pivots, cells into blocks; a pair of blocks is one task's work, product by product of two tiles, so
+    memory is bounded whatever the rows. A row goes to those blocks alone that can hold a partner by the triangle inequality of
+    angles, so where vectors cluster most pairs of blocks never meet, and nothing is lost. Vectors must share one length.
+    """
     rows = usable(vectors, key, vector)
     if rows.limit(BLOCK + 1).count() <= BLOCK:  # one block
-        return rows.select("id", "x", *(F.lit(0).alias(c) for c in ("own", "a", "b"))).groupBy("a", "b").applyInArrow(pairs, schema)
+        return rows.select("id", "x", *(F.lit(0).alias(c) for c in ("own", "a", "b"))).groupBy("a", "b").applyInArrow(each, schema)
     with Shelf(vectors.sparkSession, "similar") as shelf:
         met = visited(*celled(vectors, least, shelf, key, vector))
-        return saved(met.groupBy("a", "b").applyInArrow(pairs, schema), "similar-pairs")
+        return saved(met.groupBy("a", "b").applyInArrow(each, schema), "similar-pairs")
+
+
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", score: bool = True) -> DataFrame:
+    """(u, v, similarity; without `score` u and v alone), u < v, of all pairs with cosine >= least. Degenerate vectors have no pair.
+    Pairs of blocks are worked on as in by_blocks()."""
+    kind = dict(vectors.dtypes)[key]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids = t["id"].to_numpy()
+        for i, j, s in hits(t, [least]):
+            u, v = (pa.array(f(ids[i], ids[j]), t["id"].type) for f in (np.minimum, np.maximum))
+            yield from in_lots({"u": u, "v": v, **({"similarity": pa.array(s)} if score else {})})
+
+    return by_blocks(vectors, least, key, vector, pairs, f"u {kind}, v {kind}" + (", similarity double" if score else ""))
+
+
+def top_pairs(vectors: DataFrame, least: float, most: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The first `most` rows of similar_pairs() by similarity (highest first), u and v. A task hands on its own first ones alone."""
+    kind = dict(vectors.dtypes)[key]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids, floor = t["id"].to_numpy(), [least]
+        u, v, s = ids[:0], ids[:0], np.zeros(0)
+        for i, j, found in hits(t, floor):
+            u, v, s = np.r_[u, np.minimum(ids[i], ids[j])], np.r_[v, np.maximum(ids[i], ids[j])], np.r_[s, found]
+            if len(s) > most:
+                floor[0] = max(floor[0], float(np.partition(s, len(s) - most)[len(s) - most]))
+                u, v, s = u[s >= floor[0]], v[s >= floor[0]], s[s >= floor[0]]  # those level with the last stay
+                if len(s) > 4 * most:
+                    first = np.lexsort((v, u, -s))[:most]
+                    u, v, s = u[first], v[first], s[first]
+        yield from in_lots({"u": pa.array(u, t["id"].type), "v": pa.array(v, t["id"].type), "similarity": pa.array(s)})
+
+    found = by_blocks(vectors, least, key, vector, best, f"u {kind}, v {kind}, similarity double")
+    return found.orderBy(F.desc("similarity"), "u", "v").limit(most)
+
+
+def linked(vectors: DataFrame, least: float, need: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(u, v, n): pairs (n null) that hold together what pairs of cosine >= least do, by `Links` of each pair of blocks; with `need` over
+    1 also rows without v, whose n add up to how many such pairs u has.
+
+    A task gives less than need + 2 rows for each of its vectors, however many pairs it finds.
+    """
+    kind = dict(vectors.dtypes)[key]
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids, held = t["id"], Links(t.num_rows, need)
+        for i, j, _ in hits(t, [least]):
+            held.add(i, j)
+        i, j = held.pairs()
+        yield from in_lots({"u": ids.take(pa.array(i)).combine_chunks(), "v": ids.take(pa.array(j)).combine_chunks(), "n": pa.nulls(len(i), pa.int64())})
+        at = np.flatnonzero(held.degree)
+        yield from in_lots({"u": ids.take(pa.array(at)).combine_chunks(), "v": pa.nulls(len(at), ids.type), "n": pa.array(held.degree[at])})
+
+    return by_blocks(vectors, least, key, vector, links, f"u {kind}, v {kind}, n bigint")
 
 
 def unit_rows(column: pa.ChunkedArray) -> np.ndarray | None:

@@ -10,7 +10,7 @@ from tessera.functions.fusion import Fusion
 from tessera.functions.scalar import half_up
 from tessera.config import Config
 from tessera.operators import clusters, memory, run
-from tessera.operators.similarity import best_identity, rerank_counts, similar_pairs
+from tessera.operators.similarity import best_identity, rerank_counts, similar_pairs, top_pairs
 from tessera.plans.registry import query, table
 
 EPS = 0.60
@@ -39,7 +39,7 @@ def vec_normalize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {V} SELECT a.vec_id AS u, b.vec_id AS v, round(list_dot_product(a.v, b.v) / (a.n * b.n), 4) AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.3 ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, u, v LIMIT 50")
 def cosine_topk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report."""
-    return similar_pairs(table(spark, sf_dir, "embeddings"), 0.3).orderBy(F.desc("similarity"), "u", "v").limit(50).withColumn("similarity", F.round("similarity", 4))
+    return top_pairs(table(spark, sf_dir, "embeddings"), 0.3, 50).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(f"WITH {V}, {PROTO}, s AS (SELECT e.vec_id, p.label, list_dot_product(e.v, p.v) / (e.n * p.n + 1e-8) AS s FROM e CROSS JOIN p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS k FROM s WHERE s >= {SAME}) SELECT vec_id, CAST(label AS VARCHAR) AS matched, round(s, 4) AS score FROM r WHERE k = 1")

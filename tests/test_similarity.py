@@ -172,3 +172,20 @@ def test_distances_and_centroids_of_one_hot_group(spark):
     assert c["n"] == 400 and np.allclose(c["centroid"], keep / np.linalg.norm(keep), atol=1e-6)
     plan = clusters.robust_centroids(df, "g")._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("spread, least", [(0.05, 0.9), (0.4, 0.6)])
+def test_top_pairs_and_pairs_over_tiles(spark, monkeypatch, spread, least):
+    """Blocks of several tiles; a task hands on its first pairs alone, and all of them are found."""
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "BLOCKS", 4)
+    x = clustered(300, 12, 15, spread, 8).astype(np.float32)
+    df = table(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = pairs(x, least)
+    assert {(r["u"], r["v"]) for r in similarity.similar_pairs(df, least, score=False).collect()} == want
+    top = sorted(want, key=lambda p: (-x[p[0]] @ x[p[1]], p))[:20]
+    assert [(r["u"], r["v"]) for r in similarity.top_pairs(df, least, 20).collect()] == top
+    handed = similarity.linked(df, least).count()
+    assert handed <= 300 * 7 and (spread > 0.05 or handed < len(want))  # forests, not pairs
