@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vec
 from tessera.operators.graph import components
 from tessera.operators.moments import top_share, vector_sums
-from tessera.operators.similarity import similar_pairs
+from tessera.operators.similarity import linked, similar_pairs
 from tessera.session import Shelf, carried, cut, dealt_by, small
 
 carried(__name__)
@@ -26,23 +26,22 @@ def dbscan(vectors: DataFrame, eps: float = 0.35, min_samples: int = 1, pool_noi
 
     Core rows have min_samples rows within eps, themselves included; clusters are the components of core rows; a
     border row joins its neighbouring cluster of smallest root; noise stays alone or, with `pool_noise`, shares
-    the null root.
+    the null root. Links between core rows come as forests from each task (`similarity.linked`), never all of them.
     """
     nodes = vectors.select(F.col(key).alias("node"), vec.normalized(F.col(vector)).alias("x")).where("x is not null").select("node")
-    edges = cut(similar_pairs(vectors, 1 - eps, key, vector).select("u", "v"))
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.groupBy("u").agg((F.count(F.lit(1)) + 1).alias("d"))
-    core = nodes.join(degree, nodes["node"] == degree["u"], "left").where(F.coalesce("d", F.lit(1)) >= min_samples).select("node")
-    if min_samples > 1:
-        inner = edges.join(core.select(F.col("node").alias("u")), "u", "left_semi").join(core.select(F.col("node").alias("v")), "v", "left_semi")
-    else:
-        inner = edges
-    root = components(inner)
-    roots = core.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    if min_samples > 1:
-        border = both.join(core.select(F.col("node").alias("u")), "u", "left_anti").join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("root")).select(F.col("u").alias("node"), "root")
+    found = cut(linked(vectors, 1 - eps, min_samples - 1, key, vector))
+    edges = found.where("v is not null").select("u", "v")
+    if min_samples > 2:
+        core = cut(found.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") + 1 >= min_samples).select("u"))
+        ends = lambda c: core.select(F.col("u").alias(c))
+        root = components(edges.join(ends("u"), "u", "left_semi").join(ends("v"), "v", "left_semi"))
+        roots = ends("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        border = both.join(core, "u", "left_anti").join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("root")).select(F.col("u").alias("node"), "root")
         roots = roots.unionByName(border)
-    alone = F.lit(None).cast(dict(vectors.dtypes)[key]) if pool_noise else F.col("node")
+    else:  # every row with a link is core
+        roots = components(edges)
+    alone = F.lit(None).cast(dict(vectors.dtypes)[key]) if pool_noise and min_samples > 1 else F.col("node")
     return nodes.join(roots, "node", "left").select(F.col("node").alias(key), F.coalesce("root", alone).alias("root"))
 
 

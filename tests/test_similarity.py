@@ -189,3 +189,19 @@ def test_top_pairs_and_pairs_over_tiles(spark, monkeypatch, spread, least):
     assert [(r["u"], r["v"]) for r in similarity.top_pairs(df, least, 20).collect()] == top
     handed = similarity.linked(df, least).count()
     assert handed <= 300 * 7 and (spread > 0.05 or handed < len(want))  # forests, not pairs
+
+
+@pytest.mark.parametrize("samples", [1, 2, 3, 5])
+@pytest.mark.parametrize("lot", [1 << 18, 10])
+def test_clusters_from_forests(spark, monkeypatch, samples, lot):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "LOT", lot)
+    x = clustered(160, 5, 40, 0.25, 9)
+    s = x @ x.T >= 0.9
+    core = s.sum(axis=1) >= samples
+    root = np.arange(160)
+    for _ in range(160):
+        root = np.array([min([root[i], *(root[j] for j in np.flatnonzero(s[i] & core))]) if core[i] else i for i in range(160)])
+    want = {i: int(root[i] if core[i] else min([root[j] for j in np.flatnonzero(s[i] & core)], default=i)) for i in range(160)}
+    got = {r["vec_id"]: r["root"] for r in clusters.dbscan(table(spark, x), 0.1, samples).collect()}
+    assert got == want and (samples < 3 or not core.all())
