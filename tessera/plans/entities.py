@@ -121,7 +121,7 @@ _EDGES = f"WITH RECURSIVE {V}, p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e
 
 @query(_EDGES + " SELECT u, v FROM p")
 def epsilon_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "embeddings"), 1 - EPS).select("u", "v")
+    return similar_pairs(table(spark, sf_dir, "embeddings"), 1 - EPS, score=False)
 
 
 _CC = ", b AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p), r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen)"
