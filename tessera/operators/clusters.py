@@ -67,7 +67,7 @@ def greedy_merge(centroids: DataFrame, threshold: float = 0.78, group: str = "ro
     Similar pairs are found in Spark; the pass over them is a greedy independent set, run in rounds: a group whose
     earlier neighbours are all taken is a seed, and takes its later neighbours.
     """
-    pairs = cut(similar_pairs(centroids, threshold, group, "centroid").select("u", "v"))
+    pairs = cut(similar_pairs(centroids, threshold, group, "centroid", score=False))
     nodes = centroids.select(F.col(group).alias("node"))
     if pairs.limit(DRIVER_PAIRS + 1).count() <= DRIVER_PAIRS:
         return _merge_here(nodes, pairs, group)
