@@ -41,8 +41,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def median_of(v: Column) -> Column:
-    s, n = F.array_sort(doubles(v)), F.size(v)
-    return F.when(n > 0, (F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, (n / 2 + 1).cast("int"))) / 2)
+    n = F.size(v)
+    middle = F.transform(F.array(F.array_sort(doubles(v))), lambda s: (F.element_at(s, ((n + 1) / 2).cast("int")) + F.element_at(s, (n / 2 + 1).cast("int"))) / 2)  # sorted once
+    return F.when(n > 0, F.element_at(middle, 1))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -53,10 +54,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def hash_bits(v: Column) -> Column:
-    """As sign_hash, in two 32-bit halves: exact without decimals."""
-    m = median_of(F.slice(v, 2, F.size(v) - 1))
-    half = lambda at: F.aggregate(F.slice(v.cast("array<double>"), at, 32), F.lit(0).cast("bigint"), lambda s, x: s * 2 + F.when(x > m, 1).otherwise(0))
-    return F.shiftleft(half(1), 32).bitwiseOR(half(33))
+    """As sign_hash, in two 32-bit halves: exact without decimals. The median is found once, not for every entry."""
+    half = lambda at, m: F.aggregate(F.slice(v.cast("array<double>"), at, 32), F.lit(0).cast("bigint"), lambda s, x: s * 2 + F.when(x > m, 1).otherwise(0))
+    bits = F.transform(F.array(median_of(F.slice(v, 2, F.size(v) - 1))), lambda m: F.shiftleft(half(1, m), 32).bitwiseOR(half(33, m)))
+    return F.element_at(bits, 1)
 
 
 def bhattacharyya(a: Column, b: Column) -> Column:

@@ -205,3 +205,31 @@ def test_clusters_from_forests(spark, monkeypatch, samples, lot):
     want = {i: int(root[i] if core[i] else min([root[j] for j in np.flatnonzero(s[i] & core)], default=i)) for i in range(160)}
     got = {r["vec_id"]: r["root"] for r in clusters.dbscan(table(spark, x), 0.1, samples).collect()}
     assert got == want and (samples < 3 or not core.all())
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_hash_groups_come_as_forests(spark, monkeypatch, exact):
+    """Hot durations in several parts: the groups of all pairs, from far fewer links than pairs."""
+    monkeypatch.setattr(media, "PART", 40)
+    monkeypatch.setattr(media, "TILE", 16)
+    rng = np.random.default_rng(10)
+    signed = lambda v: int(v) - 2**64 if v >= 2**63 else int(v)
+    base = [int(rng.integers(0, 2**63)) for _ in range(6)]
+    rows = []
+    for k in range(240):
+        h = base[int(rng.integers(6))]
+        for b in rng.choice(64, int(rng.integers(0, 9)), replace=False):
+            h ^= 1 << int(b)
+        rows.append((f"p{k:03d}", k, str(k), 30.0 if k % 3 else float(rng.uniform(0.5, 60)), [signed(h)]))
+    df = spark.createDataFrame(rows, "path string, size bigint, sha1 string, duration double, phash array<bigint>").repartition(3)
+    pairs_ = [(r["u"], r["v"]) for r in media.near_pairs(df, 22.0, exact).collect()]
+    close = lambda a, b: abs(a - b) <= max(1.0, max(a, b) * 0.08) and (exact or abs(a // 2 - b // 2) <= 2)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and close(a[3], b[3]) and distance(a[4], b[4]) <= 22}
+    assert len(pairs_) == len(set(pairs_)) and set(pairs_) == want
+    root = {p: p for pair in want for p in pair}
+    for _ in range(240):
+        for u, v in want:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {r["path"]: r["group_id"] for r in media.near_groups(df, 22.0, exact).collect()} == root
+    links = media._by_buckets(*media._bucketed(df, exact), 22.0, True).count()
+    assert links < len(want) / 2
