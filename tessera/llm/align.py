@@ -27,6 +27,7 @@ import os
 import re
 import sys
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from tessera.session import Shelf, looked_up
 carried(__name__)
 
 #: Characters of a batch and pieces that a task remembers.
-BATCH, PIECES = 2_000_000, 250_000
+BATCH, PIECES = 500_000, 400_000
 #: Pieces that are encoded as one text.
 JOINED = 2000
 #: Distinct pairs whose counts may be broadcast; counted first.
@@ -52,8 +53,10 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space and the white space after it, then all up to the next space that follows no white space.
 PIECE = re.compile(f" [{SPACE}]*(?:[^{SPACE}]+(?:[{SPACE.replace(' ', '')}][{SPACE}]*[^{SPACE}]+)*(?:[{SPACE}]+\\Z)?)?")
 
-#: Whether a character is white space.
-WHITE = re.compile(f"[{SPACE}]").match
+#: White space before a space or at the end; without it, each space begins a piece.
+ODD = re.compile(f"[{SPACE}](?: |\\Z)").search
+#: All white space.
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 
 def byte_letters() -> dict[str, int]:
@@ -63,6 +66,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def cut_up(text: str | None) -> list[str]:
+    """The pieces of a space and a text."""
+    if not text or ODD(" " + text):
+        return PIECE.findall(" " + text) if text else []
+    return [" " + w for w in text.split(" ")]
+
+
 class Pair:
     """Both tokenizers, the bytes of their tokens, and the pieces seen so far."""
 
@@ -85,12 +95,12 @@ class Pair:
         if any(re.search("[^▁]▁", p) for p in pieces) or any(re.search(f"[^{SPACE}] ", x.decode("utf-8", "replace")) for x in self.a_bytes):
             raise ValueError("a tokenizer joins a space with what stands before it")
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "allocator_flush_threshold": "8MB", "allocator_bulk_deallocation_flush_threshold": "8MB"})
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.groups = [], [], [], []
+        self.sizes, self.groups = np.zeros((3, 0), np.int64), []
         self.db.execute("CREATE OR REPLACE TABLE pairs (piece INTEGER, pair BIGINT, times INTEGER)")
 
     def _each(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,7 +140,7 @@ class Pair:
 
     def learn(self, fresh: list[str]) -> None:
         """Aligns pieces that are not known yet."""
-        plain, lone = [p for p in fresh if not WHITE(p[-1])], [p for p in fresh if WHITE(p[-1])]
+        plain, lone = [p for p in fresh if p[-1] not in WHITE], [p for p in fresh if p[-1] in WHITE]
         fresh, first = plain + lone, len(self.known)
         parts = [self._joined(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)] + ([self._each(lone)] if lone else [])
         (a, n_a), (b, n_b) = ((np.concatenate([p[side][0] for p in parts]), np.concatenate([p[side][1] for p in parts])) for side in (0, 1))
@@ -145,9 +155,7 @@ class Pair:
         n_groups, groups = self._texts(t["piece"] - first, t["g"], t["side"], t["id"], len(fresh))
         for table in ("cuts", "ag", "bg"):
             run(f"DROP TABLE {table}")
-        self.n_a += n_a.tolist()
-        self.n_b += n_b.tolist()
-        self.n_groups += n_groups.tolist()
+        self.sizes = np.concatenate([self.sizes, [n_a, n_b, n_groups]], 1)
         self.groups += groups
         for p in fresh:
             self.known[p] = len(self.known)
@@ -166,22 +174,24 @@ class Pair:
         cuts = offsets[np.searchsorted(piece, np.arange(n + 1))].tolist()
         return np.bincount(piece[new_group], minlength=n), [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def pieces(self, texts: list[str | None]) -> list[list[int]]:
-        """Numbers of the pieces of each text; none where a tokenizer does not give the text back."""
+    def pieces(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and how many each text has; none where a tokenizer does not give the text back."""
         if len(self.known) > PIECES:
             self.forget()
-        cut = [PIECE.findall(" " + t) if t else [] for t in texts]
-        fresh = {p for c in cut for p in c}.difference(self.known)
+        cut = list(map(cut_up, texts))
+        fresh = set(chain.from_iterable(cut)).difference(self.known)
         if fresh:
             self.learn(list(fresh))
-        out = [list(map(self.known.__getitem__, c)) for c in cut]
-        n_a = self.n_a
-        return [c if all([n_a[i] for i in c]) else [] for c in out]
-
-    def linked(self, pieces: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, times), ordered by text and pair; the texts' pairs are added to the partial counts."""
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((i for x in pieces for i in x), np.int64, int(n.sum()))
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        text, lost = np.repeat(np.arange(len(n)), n), self.sizes[0][flat] == 0
+        if lost.any():
+            whole = np.bincount(text[lost], minlength=len(n)) == 0
+            n, flat = n * whole, flat[whole[text]]
+        return flat, n
+
+    def linked(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pair, times), ordered by text and pair, of pieces(); the texts' pairs are added to the partial counts."""
         at, times = np.unique(np.repeat(np.arange(len(n)), n) << 32 | flat, return_counts=True)
         self.db.register("held", pa.table({"text": (at >> 32).astype(np.int32), "piece": (at & 0xFFFFFFFF).astype(np.int32), "n": times}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE links AS SELECT text, pair, CAST(sum(n * times) AS BIGINT) AS times FROM held JOIN pairs USING (piece) GROUP BY text, pair")
@@ -207,14 +217,14 @@ def both(a_path: str, b_path: str) -> Pair:
     return kept[a_path, b_path]
 
 
-def batches_of(texts: list[str | None]) -> Iterator[slice]:
+def batches_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     lo = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t or "") > BATCH:
-            yield slice(lo, k)
+    for k, n in enumerate(pc.utf8_length(b.column("text")).fill_null(0).to_pylist()):
+        if size and size + n > BATCH:
+            yield b.slice(lo, k - lo)
             lo, size = k, 0
-        size += len(t or "")
-    yield slice(lo, len(texts))
+        size += n
+    yield b.slice(lo)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -230,21 +240,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         pair.begin()
         for b in batches:
             kinds = b.schema.field("doc_id").type
-            texts = b.column("text").to_pylist()
-            for s in batches_of(texts):
-                pieces = pair.pieces(texts[s])
-                text, pairs, times = pair.linked(pieces)
-                ends = np.searchsorted(text, np.arange(len(pieces) + 1))
-                total = lambda of, p: sum([of[i] for i in p])
-                offsets = pa.array(ends, pa.int32())
-                sums = np.concatenate([[0], np.cumsum(times)])
+            for part in batches_of(b):
+                flat, n = pair.pieces(part.column("text").to_pylist())
+                text, pairs, times = pair.linked(flat, n)
+                ends, cuts = np.searchsorted(text, np.arange(len(n) + 1)), np.concatenate([[0], np.cumsum(n)])
+                total = lambda x, at: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[at]), pa.int64())
+                offsets, said = pa.array(ends, pa.int32()), list(map(pair.groups.__getitem__, flat.tolist()))
                 cols = [
-                    pa.array(np.arange(row, row + len(pieces))), b.column("doc_id")[s.start : s.stop], pa.array([total(pair.n_a, p) for p in pieces], pa.int64()), pa.array([total(pair.n_b, p) for p in pieces], pa.int64()),
-                    pa.array([total(pair.n_groups, p) for p in pieces], pa.int64()), pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64()), pa.array([";".join([pair.groups[i] for i in p]) for p in pieces], pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                    pa.array(np.arange(row, row + len(n))), part.column("doc_id"), *[total(x[flat], cuts) for x in pair.sizes], total(times, ends),
+                    pa.array([";".join(said[i:j]) for i, j in pairwise(cuts.tolist())], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(pairs, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
                 ]
-                row += len(pieces)
+                row += len(n)
                 yield pa.RecordBatch.from_arrays(cols, names=NAMES)
+                del flat, n, text, pairs, times, ends, cuts, offsets, said, cols
+                pa.default_memory_pool().release_unused()
         if kinds is not None:
             t = pair.counted()
             for lo in range(0, t.num_rows, 1 << 16):

@@ -1,7 +1,10 @@
 import hashlib
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -87,3 +90,33 @@ def test_memory_starts_anew(docs, monkeypatch):
     monkeypatch.setattr(align, "PARTIAL", 5)
     rows = [(k, f"word{k % 7} and then word{k % 3} the end {k}") for k in range(60)]
     assert got(docs(rows)) == expected(rows)
+
+
+def test_pieces_by_splitting():
+    """Texts that are cut by a plain split give the pieces of the pattern."""
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab \n\t\xa0　\x1c"), int(rng.integers(1, 9))))
+        assert align.cut_up(text) == align.PIECE.findall(" " + text) and "".join(align.cut_up(text)) == " " + text
+    assert align.cut_up(None) == align.cut_up("") == []
+
+
+def test_memory_of_a_long_batch(monkeypatch):
+    """A task's Python objects and arrays do not grow with the Arrow batch that it is given."""
+
+    class Docs:
+        dtypes = [("doc_id", "bigint")]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    run, words = align.aligned(Docs(), *align.tokenizers()), [f"word{k}" for k in range(200)]
+    texts = [" ".join(words[k % 50 :]) for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert sum(map(len, texts)) > 3_500_000
+    list(run(iter([batch.slice(0, 50)])))
+    tracemalloc.start()
+    rows = sum(sum(x.column("row").is_valid().to_pylist()) for x in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 25_000_000, peak
