@@ -48,12 +48,12 @@ _BAND = "SELECT a.path AS a, b.path AS b FROM s a JOIN s b ON a.path < b.path AN
 
 @query(f"WITH {_HASH} {_BAND} AND abs(floor(a.duration / 2) - floor(b.duration / 2)) <= 2")
 def dup_candidates_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.banded_pairs(_vectors(spark, sf_dir)).select("a", "b")
+    return media.banded_pairs(_vectors(spark, sf_dir), hashes=False).select("a", "b")
 
 
 @query(f"WITH {_HASH} {_BAND}")
 def dup_candidates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.banded_pairs(_vectors(spark, sf_dir), exact=True).select("a", "b")
+    return media.banded_pairs(_vectors(spark, sf_dir), exact=True, hashes=False).select("a", "b")
 
 
 @query(f"WITH {_HASH} SELECT u, v, CAST(distance AS DOUBLE) AS distance FROM p WHERE distance <= 22")

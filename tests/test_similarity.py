@@ -233,3 +233,31 @@ def test_hash_groups_come_as_forests(spark, monkeypatch, exact):
     assert {r["path"]: r["group_id"] for r in media.near_groups(df, 22.0, exact).collect()} == root
     links = media._by_buckets(*media._bucketed(df, exact), 22.0, True).count()
     assert links < len(want) / 2
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_close_pairs_by_loops(spark, exact):
+    """Blocks smaller than buckets, durations of all sizes, null and repeated paths."""
+    rng = np.random.default_rng(11)
+    rows = [(f"p{int(k):04d}", float(d)) for k, d in zip(rng.integers(0, 900, 700), rng.choice([rng.uniform(0.1, 30), 25.0, 27.0, 400.0], 700) + rng.integers(0, 3, 700))]
+    rows += [(None, 25.0), ("null", None), ("zero", 0.0), ("less", -1.0)]
+    m = spark.createDataFrame([(p, d, [1]) for p, d in rows], "path string, duration double, phash array<bigint>").repartition(3)
+    near = lambda x, y: abs(x - y) <= max(1.0, max(x, y) * 0.08) and (exact or abs(x // 2 - y // 2) <= 2)
+    held = [(p, d) for p, d in rows if p and d and d > 0]
+    want = sorted((a, x, b, y) for a, x in held for b, y in held if a < b and near(x, y))
+    got = media.banded_pairs(m, exact=exact)
+    assert got.columns == ["a", "da", "ha", "b", "db", "hb"] and sorted(tuple(r) for r in got.drop("ha", "hb").collect()) == want
+    assert media.banded_pairs(m, exact=exact, hashes=False).columns == ["a", "da", "b", "db"]
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_close_pairs_of_one_duration(spark, tmp_path, exact):
+    """A bucket's pairs come from several tasks, and take little room when they are written."""
+    n = 2500
+    m = spark.range(n).select(F.format_string("v%06d", F.col("id") * 7919 % 100_003).alias("path"), F.lit(30.0).alias("duration"), F.array(F.col("id")).alias("phash"))
+    pairs = media.banded_pairs(m, exact=exact).select("a", "b")
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    parts = [spark.read.parquet(str(p)).count() for p in (tmp_path / "pairs").glob("*.parquet")]
+    room = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet"))
+    assert sum(parts) == n * (n - 1) // 2 and max(parts) < 0.7 * sum(parts)
+    assert room < 0.5 * sum(parts), room / sum(parts)
